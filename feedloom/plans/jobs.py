@@ -1,19 +1,21 @@
 """The end-user jobs: many requests over a table of captured pages, in one plan each.
 
-``requests`` has the columns of REQUEST_SCHEMA, ``snapshots`` those of SNAPSHOT_SCHEMA. Results hold ``req_id`` and
-the four post columns. Nothing here runs an action.
-
-Order of work: pages nobody asked for, failed captures and sign-in pages go before extraction, because
-filters do not pass a Python function; ``html`` is dropped by extraction, before any shuffle of
-results; hashtag and profile jobs finish a page's rules on its own row. Hashtag jobs and ``user_posts_a`` read
-the one capture made after scrolling ended; ``user_posts_b`` reads every scroll.
+``requests`` has the columns of REQUEST_SCHEMA, ``snapshots`` those of SNAPSHOT_SCHEMA. Where many jobs read
+the same captures, run ``extract_snapshots`` once, write the result as a table and pass that instead.
+Results hold ``req_id`` and the four post columns.
+
+Order of work: failed captures and sign-in pages go before extraction, because filters do not pass a
+Python function. Extraction runs where the page is read and drops ``html``, so markup is never shuffled; what
+meets the requests afterwards are arrays of cards. Hashtag and profile jobs then finish a page's rules on
+its own row. Hashtag jobs and ``user_posts_a`` read the one capture made after scrolling ended;
+``user_posts_b`` reads every scroll.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import presets
@@ -64,6 +66,30 @@ def _usable(snapshots: DataFrame, blocked: Sequence[str]) -> DataFrame:
     return usable_sources(snapshots).where(not_blocked("url", blocked))
 
 
+def extract_snapshots(snapshots: DataFrame, spec: CardSpec) -> DataFrame:
+    """Snapshots with their cards instead of their markup, to be kept as a table."""
+    return read_cards(snapshots, spec)
+
+
+def _cards_of(snapshots: DataFrame, spec: CardSpec, cap: Column | None = None) -> DataFrame:
+    columns = ["requested_url", "scroll"]
+    if "cards" in snapshots.columns:
+        return snapshots.select(*columns, "found", "cards")
+    return read_cards(snapshots.select(*columns, "html"), spec, cap).drop("page_error")
+
+
+def only_requested(snapshots: DataFrame, candidates: DataFrame, most: int = 100_000) -> DataFrame:
+    """Leave out pages nobody asked for before they are extracted, if the addresses are few.
+
+    Counts the addresses first, reading no more than ``most`` of them. Beyond that the pages stay as they
+    are: the jobs drop unasked cards anyway, and shuffling markup would cost more than reading it.
+    """
+    addresses = candidates.select("requested_url").distinct()
+    if addresses.limit(most + 1).count() > most:
+        return snapshots
+    return snapshots.join(F.broadcast(addresses), "requested_url", "left_semi")
+
+
 def page_results(
     requests: DataFrame,
     snapshots: DataFrame,
@@ -76,17 +102,20 @@ def page_results(
     """One row per (request, address) that was captured: ``found`` cards and its array of ``posts``.
 
     A page is read once however many requests want it, and no further than the largest candidate cap
-    any of them has.
+    any request has.
     """
-    reads = _captures_read(snapshots, candidates_of(requests, address_book), blocked)
-    capture = ["requested_url", "scroll"]
-    cap = F.when(F.min("max_tweets") >= 0, F.max("max_tweets"))
-    wanted = reads.groupBy(*capture).agg(cap.alias("_cap"))
-    pages = _usable(snapshots, blocked).select(*capture, "html").join(wanted, capture)
-    cards = read_cards(pages, spec, F.col("_cap")).drop("_cap")
+    candidates = candidates_of(requests, address_book)
+    reads = _captures_read(snapshots, candidates, blocked)
+    widest = with_defaults(requests).agg(F.when(F.min("max_tweets") >= 0, F.max("max_tweets")))
+    cards = _cards_of(_usable(snapshots, blocked), spec, widest.scalar())
     term = F.col("clean") if by_keyword else None
     return page_posts(
-        cards.join(reads, capture), spec, engine, F.col("max_tweets"), F.col("min_tweets"), term
+        cards.join(reads, ["requested_url", "scroll"]),
+        spec,
+        engine,
+        F.col("max_tweets"),
+        F.col("min_tweets"),
+        term,
     ).drop("cards")
 
 
@@ -162,32 +191,23 @@ def user_posts_b(
     sources = candidates.join(chosen, ["req_id", "priority"]).select(
         "req_id", "requested_url", "max_tweets", "min_tweets", "max_scrolls"
     )
-    # The source a request uses is known only after the landing check, but its scroll limit is known now.
-    wanted = sources.where(F.col("max_tweets") > 0).groupBy("requested_url").agg(
-        F.max("max_scrolls").alias("_last")
-    )
-    pages = (
-        ok.select("requested_url", "scroll", "html")
-        .join(wanted, "requested_url")
-        .where(F.col("scroll") < F.col("_last"))
-        .drop("_last")
-    )
-    built = read_cards(pages, spec).select(
+    longest = with_defaults(requests).agg(F.max("max_scrolls")).scalar()
+    cards = _cards_of(ok.where(F.col("scroll") < longest), spec)
+    built = cards.select(
         "requested_url",
         "scroll",
         F.filter(
             F.transform("cards", lambda c: card_post(c, spec)), lambda p: p["keep"]
         ).alias("posts"),
     )
-    # One row per capture, also for a scroll without posts: the stop rule counts scrolls.
-    captures = built.join(sources, "requested_url")
-    rows = captures.select(
+    rows = built.join(sources, "requested_url").select(
         "req_id", "max_tweets", "min_tweets", "max_scrolls", "scroll", F.explode("posts").alias("_p")
     ).select(
         "req_id", "max_tweets", "min_tweets", "max_scrolls", "scroll",
         *[F.col("_p")[c].alias(c) for c in _RECORD],
         F.col("_p")["numero"].alias("pos"),
     )
+    # Scrolls without posts count too.
     spine = sources.join(ok.select("requested_url", "scroll"), "requested_url")
     return scroll_stop(
         rows, ["req_id"], _RECORD, "min_tweets", "max_tweets", "max_scrolls", spine, strict_max

@@ -38,6 +38,8 @@ STOPPED_SCHEMA = T.StructType(
     [f for f in SCROLL_SCHEMA.fields if f.name != "n_cards"] + [T.StructField("numero", T.LongType())]
 )
 
+_SIGHTING_SCHEMA = "target string, texto string, usuario string, timestamp string, scroll int, pos long"
+
 # Scroll being waited for, records so far, whether the rule has stopped the target, the records seen, and
 # cards of scrolls that are not complete or arrived early.
 _STATE_SCHEMA = T.StructType(
@@ -66,9 +68,25 @@ def run_distinct(scrolls: DataFrame, spark: SparkSession) -> DataFrame:
     A batch emits the records it touched, in a folder named by the batch, so a repeated batch replaces its
     own output. The earliest sighting over all batches is the result.
     """
-    out = _run_batches(distinct_updates(scrolls), spark, "update")
-    schema = "target string, texto string, usuario string, timestamp string, scroll int, pos long"
-    return first_sightings(_read_batches(spark, out, schema), ["target"], RECORD)
+    base = run_dir(spark, "scroll-distinct")
+    out = os.path.join(base, "out")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    (
+        distinct_updates(scrolls)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", os.path.join(base, "state"))
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+        .awaitTermination()
+    )
+    updates = (
+        spark.read.schema(_SIGHTING_SCHEMA).option("recursiveFileLookup", True).parquet(out)
+    )
+    return first_sightings(updates, ["target"], RECORD)
 
 
 def stop_rule(least: int, most: int, max_scrolls: int) -> Callable:
@@ -138,27 +156,15 @@ def run_stopped(
     scrolls: DataFrame, spark: SparkSession, least: int, most: int, max_scrolls: int
 ) -> DataFrame:
     """Run the stop rule over what has arrived and return the numbered records."""
-    out = _run_batches(stopped(scrolls, least, most, max_scrolls), spark, "append")
-    return _read_batches(spark, out, STOPPED_SCHEMA)
-
-
-def _run_batches(stream: DataFrame, spark: SparkSession, mode: str) -> str:
-    base = run_dir(spark, "scroll-stream")
+    base = run_dir(spark, "scroll-stop")
     out = os.path.join(base, "out")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-
     (
-        stream.writeStream.outputMode(mode)
+        stopped(scrolls, least, most, max_scrolls)
+        .writeStream.format("parquet")
+        .outputMode("append")
         .option("checkpointLocation", os.path.join(base, "state"))
         .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
+        .start(out)
         .awaitTermination()
     )
-    return out
-
-
-def _read_batches(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+    return spark.read.schema(STOPPED_SCHEMA).parquet(out)
