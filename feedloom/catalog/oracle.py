@@ -188,6 +188,15 @@ SELECT s.req_id, s.texto, 'Unknown' AS usuario, s.href AS "timestamp",
        row_number() OVER (PARTITION BY s.req_id ORDER BY s.scroll, s.pos) AS numero
 FROM sighted s JOIN stops t ON s.req_id = t.req_id WHERE s.scroll <= t.stop"""
 
+# Profiles whose addresses were captured once: the first page that is no sign-in page, its distinct posts.
+ONE_SCROLL = f"""WITH {LINKS}, {GRID}, {BOOK}, {reqs(30_000_000)},
+usable AS (
+  SELECT clean, min(page_id) AS page_id FROM filed
+  WHERE NOT contains(url, '://m.') AND (NOT contains(url, 'spam-farm') OR page_id = 3) GROUP BY clean)
+SELECT DISTINCT r.req_id, {strip("k.texto")}, k.href
+FROM reqs r JOIN usable u ON r.clean = u.clean JOIN links k ON k.page_id = u.page_id
+WHERE r.most > 0 AND {strip("k.texto")} <> ''"""
+
 # Whole visible page: block boundaries (2) and line breaks (1) as marks, then merged into line ends.
 _PAGE = r"regexp_replace(html, '^.*?</head>', '', 's')"
 _PAGE = rf"regexp_replace({_PAGE}, '<!--.*?-->', '', 'gs')"
@@ -266,6 +275,11 @@ SELECT target, pos, CAST(least AS BIGINT) AS least FROM (
          row_number() OVER (PARTITION BY target ORDER BY pos) AS rn
   FROM docs WHERE {strip("texto")} <> '') d WHERE rn <= greatest(least, 1)""",
     "scroll_stop": f"WITH {STOPPED}",
+    "scroll_progress": f"""WITH {SCROLLS}, {sighted("target", "texto", "scrolls")},
+{stop_rule("target", "10", "30", "10", "SELECT DISTINCT target, scroll FROM scrolls")}
+SELECT c.target, c.scroll, new AS n_new, CAST(cum AS BIGINT) AS n_unique,
+       (c.scroll > 0 AND cum >= 10) OR cum >= 30 OR c.scroll + 1 >= 10 AS stopped
+FROM cums c JOIN stops t ON c.target = t.target WHERE c.scroll <= t.stop""",
     "shortfall_report": f"""WITH {CONV}
 SELECT target, count(*) AS found, count(*) < 6 AS shortfall FROM conv GROUP BY target""",
     "number_source_pos": f"""WITH {RAW_LINKS}
@@ -296,7 +310,7 @@ FROM conv GROUP BY target""",
 FROM (SELECT doc_id, {strip("' ' || chr(9) || '##' || text || '# '")} AS raw, {strip("text")} AS bare FROM documents) d""",
     "strip_whitespace": f"SELECT doc_id, {strip('text')} AS texto FROM documents",
     "clean_handles": f"SELECT doc_id, replace({strip(chr(39) + ' @' + chr(39) + ' || text || ' + chr(39) + '@ ' + chr(39))}, '@', '') AS usuario FROM documents",
-    "parse_times": """SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_ms(ts) END AS millis FROM events""",
+    "parse_times": """SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS millis FROM events""",
     "csv_roundtrip": """SELECT ' #' || text || ', "quoted" ' AS texto, CASE WHEN role <> 'system' THEN role END AS usuario,
        CAST(NULL AS VARCHAR) AS "timestamp", conv_id * 1000 + turn + 1 AS numero FROM conversations""",
     "csv_per_target": """SELECT CAST(conv_id AS VARCHAR) || '_tweets_pw.csv' AS file_name, count(*) AS n_rows,
@@ -314,15 +328,25 @@ FROM documents WHERE contains(lower(text), '☃ no such text')""",
     "job_hashtag_b": f"WITH {LINKS}, {JOB_HASHTAG_B} SELECT req_id - 10000000 AS req_id, texto, usuario, \"timestamp\", numero FROM picked",
     "job_user_a": f"WITH {PARAS}, {JOB_USER_A} SELECT req_id - 20000000 AS req_id, texto, usuario, \"timestamp\", numero FROM picked",
     "job_user_b": JOB_USER_B,
+    "job_page_report": f"""WITH {LINKS}, {JOB_HASHTAG_A},
+per_page AS (SELECT req_id, priority, count(*) AS n_posts FROM stopped GROUP BY req_id, priority),
+found AS (SELECT page_id, max(n) AS n FROM links GROUP BY page_id)
+SELECT CAST(r.req_id AS BIGINT) AS req_id, f.page_id AS priority, coalesce(c.n, 0) AS found,
+       CAST(CASE WHEN r.most >= 0 THEN least(r.most, coalesce(c.n, 0)) ELSE greatest(coalesce(c.n, 0) + r.most, 0) END AS BIGINT) AS inspected,
+       coalesce(p.n_posts, 0) AS n_posts, coalesce(c.n, 0) < r.least AS shortfall
+FROM reqs r JOIN filed f ON r.clean = f.clean LEFT JOIN found c ON c.page_id = f.page_id
+     LEFT JOIN per_page p ON p.req_id = r.req_id AND p.priority = f.page_id
+WHERE NOT contains(f.url, '://m.') AND NOT contains(f.url, 'spam-farm')""",
     "request_batch": f"""WITH {GRID}, {BOOK},
 asked AS (
-  {" UNION ALL ".join(f"SELECT req_id, clean, least, '{k}' AS kind, '{e}' AS engine FROM (WITH {reqs(p)} SELECT * FROM reqs) q{p}" for k, e, p in (("hashtag", "a", 0), ("hashtag", "b", 10_000_000), ("user", "a", 20_000_000)))}),
+  {" UNION ALL ".join(f"SELECT req_id, clean, least, '{k}' AS kind, '{e}' AS engine FROM (WITH {reqs(p)} SELECT * FROM reqs) q{p}" for k, e, p in (("hashtag", "a", 0), ("hashtag", "b", 10_000_000), ("user", "a", 20_000_000), ("user", "b", 30_000_000)))}),
 got AS (
   SELECT req_id FROM (WITH {LINKS}, {JOB_HASHTAG_A} SELECT req_id FROM picked) a UNION ALL
   SELECT req_id FROM (WITH {LINKS}, {JOB_HASHTAG_B} SELECT req_id FROM picked) b UNION ALL
-  SELECT req_id FROM (WITH {PARAS}, {JOB_USER_A} SELECT req_id FROM picked) c),
+  SELECT req_id FROM (WITH {PARAS}, {JOB_USER_A} SELECT req_id FROM picked) c UNION ALL
+  SELECT req_id FROM ({ONE_SCROLL}) d),
 counted AS (SELECT req_id, count(*) AS n FROM got GROUP BY req_id)
-SELECT CAST(a.req_id AS BIGINT) AS req_id, kind, engine, clean, coalesce(n, 0) AS n_rows, coalesce(n, 0) < least AS shortfall
+SELECT CAST(a.req_id AS BIGINT) AS req_id, kind, engine, clean, coalesce(n, 0) AS n_rows, coalesce(n, 0) < least AS short_of_min
 FROM asked a LEFT JOIN counted c ON a.req_id = c.req_id""",
     "failed_requests": """SELECT page_id AS req_id, url AS target FROM pages WHERE contains(url, '://m.')""",
 }

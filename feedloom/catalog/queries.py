@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,7 +264,7 @@ def cap_candidates_by_request(spark, sf_dir):
     asked = posts.groupBy("target").agg(
         (4 - 5 * F.count_if(F.col("usuario") == "system")).cast("int").alias("most")
     )
-    rows = posts.join(asked, "target")
+    rows = blocks.attach(posts, asked, ["target"], "pos")
     return limits.cap_candidates(rows, ["target"], "most").select("target", "pos", F.col("most").cast("long"))
 
 
@@ -290,9 +291,9 @@ def prefix_min_b_zero(spark, sf_dir):
 @query
 def prefix_min_by_request(spark, sf_dir):
     """Limits per group, beyond what a task-local cut can take: a tenth of the language's documents."""
-    posts = v.posts_docs(spark, sf_dir).where(non_blank("texto"))
-    asked = posts.groupBy("target").agg(F.floor(F.count(F.lit(1)) / 10).alias("least"))
-    rows = posts.join(asked, "target").select("target", "pos", "least")
+    posts = v.posts_docs(spark, sf_dir).where(non_blank("texto")).select("target", "pos")
+    sized = blocks.with_group_size(posts, ["target"], "pos", "n")
+    rows = sized.select("target", "pos", F.floor(F.col("n") / 10).alias("least"))
     return limits.stop_at_min_a(rows, ["target"], "least")
 
 
@@ -304,6 +305,14 @@ def scroll_stop(spark, sf_dir):
     )
 
 
+@query
+def scroll_progress(spark, sf_dir):
+    rows = v.scrolls_events(spark, sf_dir)
+    return limits.scroll_progress(rows, ["target"], ["texto"], **SCROLL_LIMITS).withColumn(
+        "scroll", F.col("scroll").cast("long")
+    )
+
+
 @query
 def shortfall_report(spark, sf_dir):
     return report.shortfall_report(v.posts_conv(spark, sf_dir), ["target"], 6)
@@ -353,13 +362,11 @@ def first_unblocked(spark, sf_dir):
 @query
 def skip_failed(spark, sf_dir):
     """Mobile captures failed; of the others the first page of each language with a fitting link wins."""
-    captured = usable_sources(v.snapshots(spark, sf_dir)).select(
-        F.regexp_extract("url", v.LANG_IN_URL, 1).alias("target"), "url", "html"
+    captured = usable_sources(v.pages(spark, sf_dir), v.capture_status("url")).select(
+        F.regexp_extract("url", v.LANG_IN_URL, 1).alias("target"), F.col("page_id").alias("priority"), "html"
     )
-    filed = v.table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("priority"))
     cards = explode_flat(captured, v.FLAT_LINKS, "texto").where(keyword_ci("texto", "an"))
-    rows = cards.join(filed, "url").withColumn("order", F.col("priority") * 100_000 + F.col("pos"))
-    return first_nonempty_source(rows, ["target"], "order").select("target", "priority", "pos", "texto")
+    return first_nonempty_source(cards, ["target"], "priority", width=1 << 12)
 
 
 # ------------------------------------------------------------------------------------- reports
@@ -484,7 +491,8 @@ def _scroll_files(spark, sf_dir) -> str:
     cards = v.scrolls_events(spark, sf_dir)
     shown = cards.groupBy("target", "scroll").agg(F.count(F.lit(1)).alias("n_cards"))
     folder = run_dir(spark, "scroll-files")
-    cards.join(shown, ["target", "scroll"]).select(*SCROLL_SCHEMA.names).repartition(3).write.parquet(folder)
+    named = cards.join(shown, ["target", "scroll"]).withColumn("target", F.col("target").cast("string"))
+    named.select(*SCROLL_SCHEMA.names).repartition(3).write.parquet(folder)
     return folder
 
 
@@ -492,7 +500,7 @@ def _scroll_files(spark, sf_dir) -> str:
 def stream_scroll_dedup(spark, sf_dir):
     stream = read_scroll_stream(spark, _scroll_files(spark, sf_dir), SCROLL_SCHEMA, files_per_batch=2)
     return run_distinct(stream, spark).select(
-        "target", "texto", "usuario", "timestamp", F.col("scroll").cast("long").alias("scroll"), "pos"
+        F.col("target").cast("long").alias("target"), "texto", "usuario", "timestamp", F.col("scroll").cast("long").alias("scroll"), "pos"
     )
 
 
@@ -500,7 +508,7 @@ def stream_scroll_dedup(spark, sf_dir):
 def stream_scroll_stop(spark, sf_dir):
     stream = read_scroll_stream(spark, _scroll_files(spark, sf_dir), SCROLL_SCHEMA, files_per_batch=2)
     return run_stopped(stream, spark, **SCROLL_LIMITS).select(
-        "target", "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
+        F.col("target").cast("long").alias("target"), "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
     )
 
 
@@ -540,15 +548,33 @@ def job_user_b(spark, sf_dir):
     )
 
 
+@query
+def job_page_report(spark, sf_dir):
+    """Counts per stage for every page every hashtag request could use."""
+    results = jobs.page_results(
+        v.requests(spark, sf_dir, "hashtag", "a"),
+        v.snapshots(spark, sf_dir),
+        v.LINK_SPEC,
+        "a",
+        True,
+        v.address_book(spark, sf_dir),
+        BLOCKED,
+    )
+    return jobs.page_report(results)
+
+
 def _all_requests(spark, sf_dir):
-    return v.requests(spark, sf_dir, "hashtag", "a").unionByName(
-        v.requests(spark, sf_dir, "hashtag", "b").withColumn("req_id", F.col("req_id") + 10_000_000)
-    ).unionByName(v.requests(spark, sf_dir, "user", "a").withColumn("req_id", F.col("req_id") + 20_000_000))
+    kinds = [("hashtag", "a"), ("hashtag", "b"), ("user", "a"), ("user", "b")]
+    each = [
+        v.requests(spark, sf_dir, kind, engine).withColumn("req_id", F.col("req_id") + i * 10_000_000)
+        for i, (kind, engine) in enumerate(kinds)
+    ]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query
 def request_batch(spark, sf_dir):
-    """Requests of several kinds in one plan, and the report on them."""
+    """Requests of all kinds in one plan, and the report on them."""
     asked = _all_requests(spark, sf_dir)
     specs = {
         ("hashtag", "a"): v.LINK_SPEC,

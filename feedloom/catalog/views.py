@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import presets
@@ -84,13 +84,17 @@ def scrolls_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def capture_status(url: str) -> Column:
+    return F.when(F.contains(F.col(url), F.lit("://m.")), "error").otherwise("ok")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captures. Mobile hosts stand for captures that failed."""
     return pages(spark, sf_dir).select(
         F.col("url").alias("requested_url"),
         F.lit(0).alias("scroll"),
         "url",
-        F.when(F.contains("url", F.lit("://m.")), "error").otherwise("ok").alias("status"),
+        capture_status("url").alias("status"),
         "html",
     )
 

@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import _col, strip_ws
+from feedloom.functions.text import WHITESPACE, _col
 
 
 def non_blank(c: Column | str) -> Column:
     """Text with something other than whitespace in it. NULL counts as blank."""
-    return F.coalesce(strip_ws(c) != "", F.lit(False))
+    return F.coalesce(F.ltrim(_col(c), F.lit(WHITESPACE)) != "", F.lit(False))
 
 
 def keyword_ci(c: Column | str, term: Column | str | None) -> Column:
@@ -48,8 +48,10 @@ def not_blocked(url: Column | str, markers: Sequence[str]) -> Column:
 
     An unknown final URL is not a sign-in page.
     """
-    u = F.coalesce(_col(url), F.lit(""))
-    return reduce(lambda a, b: a & b, [~F.contains(u, F.lit(m)) for m in markers], F.lit(True))
+    u = _col(url)
+    return reduce(
+        lambda a, b: a & b, [u.isNull() | ~F.contains(u, F.lit(m)) for m in markers], F.lit(True)
+    )
 
 
 def any_pattern(c: Column | str, patterns: Sequence[str]) -> Column:

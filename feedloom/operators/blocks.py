@@ -102,6 +102,20 @@ def with_group_size(
     return blocked.join(totals, [*keys, "_block"]).select(*rows.columns, out)
 
 
+def attach(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], order: str, width: int = BLOCK_WIDTH
+) -> DataFrame:
+    """Inner-join one row of ``facts`` per group to the group's rows, spread by block.
+
+    The facts meet the table of (key, block) first and travel on with it, so a large group is not
+    gathered the way a plain join on the key would gather it.
+    """
+    keys = list(keys)
+    blocked = rows.withColumn("_block", block_of(order, width))
+    cells = blocked.select(*keys, "_block").distinct().join(facts, keys)
+    return blocked.join(cells, [*keys, "_block"]).drop("_block")
+
+
 def keep_lowest(
     rows: DataFrame, keys: Sequence[str], rank: str, order: str, width: int = BLOCK_WIDTH
 ) -> DataFrame:

@@ -41,8 +41,10 @@ def explode_cards_flat(pages: DataFrame, patterns: list[tuple[str, int]], out: s
 
     Stays in the JVM; use it where cards do not nest.
     """
-    tries = [F.regexp_extract_all("html", F.lit(p), F.lit(g)) for p, g in patterns]
-    picked = F.coalesce(*[F.when(F.size(t) > 0, t) for t in tries])
+    nothing = F.array().cast("array<string>")
+    picked = F.coalesce(
+        *[F.nullif(F.regexp_extract_all("html", F.lit(p), F.lit(g)), nothing) for p, g in patterns]
+    )
     kept = [c for c in pages.columns if c != "html"]
     return pages.select(*kept, F.posexplode(picked).alias("_i", out)).select(
         *kept, (F.col("_i") + 1).cast("long").alias("pos"), out

@@ -18,7 +18,10 @@ def first_nonempty_source(
     priority: str = "priority",
     width: int = BLOCK_WIDTH,
 ) -> DataFrame:
-    """Rows of the lowest-numbered source that has any row left after filtering; no mixing."""
+    """Rows of the lowest-numbered source that has any row left after filtering; no mixing.
+
+    ``order`` spreads a large source: an id of the rows or of their pages.
+    """
     return keep_lowest(rows, keys, priority, order, width)
 
 

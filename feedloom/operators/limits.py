@@ -81,6 +81,72 @@ def first_sightings(rows: DataFrame, keys: Sequence[str], record: Sequence[str])
     )
 
 
+def _scroll_cells(
+    seen: DataFrame,
+    captured: DataFrame,
+    by: list[str],
+    least: Column,
+    most: Column,
+    max_scrolls: Column,
+) -> DataFrame:
+    """(by, scroll, block) with first sightings counted and the stop rule applied.
+
+    A group's window runs over counts per scroll (and per block of a very long scroll), never over cards.
+    """
+    cell = [*by, "scroll", "_block"]
+    empty = captured.select(*by, F.col("scroll").cast("int"), F.lit(0).alias("_block"))
+    counts = (
+        seen.select(*cell, F.lit(1).alias("_n"))
+        .unionByName(empty.withColumn("_n", F.lit(0)))
+        .groupBy(*cell)
+        .agg(F.sum("_n").alias("_n"))
+    )
+    group = Window.partitionBy(*by)
+    before = group.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    through = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
+    return (
+        counts.withColumns(
+            {
+                "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+                "_cum": F.sum("_n").over(through),
+            }
+        )
+        .withColumn(
+            "_done",
+            ((F.col("scroll") > 0) & (F.col("_cum") >= least))
+            | (F.col("_cum") >= most)
+            | (F.col("scroll") + 1 >= max_scrolls),
+        )
+        .withColumn("_over", F.coalesce(F.bool_or("_done").over(earlier), F.lit(False)))
+    )
+
+
+def _value(limit: int | str) -> Column:
+    return F.lit(limit) if isinstance(limit, int) else F.col(limit)
+
+
+def _scrolled(
+    rows: DataFrame,
+    keys: list[str],
+    record: list[str],
+    least: int | str,
+    most: int | str,
+    max_scrolls: int | str,
+    spine: DataFrame | None,
+    width: int,
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(first sightings, counted cells, grouping columns). Scrolls past the limit cannot matter; they go
+    first."""
+    limits = dict.fromkeys(x for x in (least, most, max_scrolls) if isinstance(x, str))
+    by = [*keys, *[c for c in limits if c not in keys]]
+    live = (_value(most) > 0) & (F.col("scroll") < _value(max_scrolls))
+    seen = first_sightings(rows.where(live), by, record).withColumn("_block", block_of("pos", width))
+    captured = (rows if spine is None else spine).where(live)
+    cells = _scroll_cells(seen, captured, by, _value(least), _value(most), _value(max_scrolls))
+    return seen, cells.where(~F.col("_over")), by
+
+
 def scroll_stop(
     rows: DataFrame,
     keys: Sequence[str],
@@ -98,52 +164,32 @@ def scroll_stop(
     scroll 0, or has ``most`` records, or is the last one allowed. The whole stopping scroll counts, so the
     result may exceed ``most``; ``strict_max`` cuts it. ``spine`` lists the (keys, scroll) that were
     captured, for scrolls that may be empty. Limits may be names of columns that are constant in a group.
-
-    No scroll past ``max_scrolls`` can matter, so those rows go first. A group's window runs over counts
-    per scroll (and per block of a very long scroll), and rows meet those by an equi-join on the same.
     """
-    keys, record = list(keys), list(record)
-    limits = list(dict.fromkeys(x for x in (least, most, max_scrolls) if isinstance(x, str)))
-
-    def value(x: int | str) -> Column:
-        return F.lit(x) if isinstance(x, int) else F.col(x)
-
-    by = [*keys, *[c for c in limits if c not in keys]]
-    cell = [*by, "scroll", "_block"]
-    live = (value(most) > 0) & (F.col("scroll") < value(max_scrolls))
-    seen = first_sightings(rows.where(live), by, record).withColumn("_block", block_of("pos", width))
-    captured = rows if spine is None else spine
-    empty = captured.where(live).select(*by, F.col("scroll").cast("int"), F.lit(0).alias("_block"))
-    counts = (
-        seen.select(*cell, F.lit(1).alias("_n"))
-        .unionByName(empty.withColumn("_n", F.lit(0)))
-        .groupBy(*cell)
-        .agg(F.sum("_n").alias("_n"))
-    )
-
-    group = Window.partitionBy(*by)
-    before = group.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    through = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *cell,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(through).alias("_cum"),
-    ).withColumn(
-        "_done",
-        ((F.col("scroll") > 0) & (F.col("_cum") >= value(least)))
-        | (F.col("_cum") >= value(most))
-        | (F.col("scroll") + 1 >= value(max_scrolls)),
-    )
-    open_cells = (
-        counts.withColumn("_over", F.coalesce(F.bool_or("_done").over(earlier), F.lit(False)))
-        .where(~F.col("_over"))
-        .select(*cell, "_before")
+    seen, cells, by = _scrolled(
+        rows, list(keys), list(record), least, most, max_scrolls, spine, width
     )
+    cell = [*by, "scroll", "_block"]
     inside = Window.partitionBy(*cell).orderBy("pos")
-    numbered = seen.join(open_cells, cell).withColumn(
+    numbered = seen.join(cells.select(*cell, "_before"), cell).withColumn(
         "numero", (F.col("_before") + F.row_number().over(inside)).cast("long")
     )
     if strict_max:
-        numbered = numbered.where(F.col("numero") <= value(most))
+        numbered = numbered.where(F.col("numero") <= _value(most))
     return numbered.select(*by, *record, "scroll", "pos", "numero")
+
+
+def scroll_progress(
+    rows: DataFrame,
+    keys: Sequence[str],
+    record: Sequence[str],
+    least: int | str,
+    most: int | str,
+    max_scrolls: int | str,
+    spine: DataFrame | None = None,
+    width: int = BLOCK_WIDTH,
+) -> DataFrame:
+    """The scrolls looked at until the stop, with new and total distinct records after each."""
+    _, cells, by = _scrolled(rows, list(keys), list(record), least, most, max_scrolls, spine, width)
+    return cells.groupBy(*by, "scroll").agg(
+        F.sum("_n").alias("n_new"), F.max("_cum").alias("n_unique"), F.bool_or("_done").alias("stopped")
+    )

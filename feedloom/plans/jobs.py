@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from feedloom import presets
 from feedloom.functions.predicates import not_blocked
-from feedloom.operators.cards import card_post, page_posts, read_cards
+from feedloom.operators.cards import candidate_cap, card_post, page_posts, read_cards
 from feedloom.operators.fallback import first_nonempty_page, first_unblocked_source, usable_sources
 from feedloom.operators.limits import scroll_stop
 from feedloom.presets import CardSpec
@@ -238,13 +238,29 @@ def run_requests(
     return out
 
 
+def page_report(results: DataFrame) -> DataFrame:
+    """Counts per stage of ``page_results``: cards found, inspected under the cap, posts kept.
+
+    ``shortfall`` flags pages with fewer cards than asked for; they are used all the same.
+    """
+    found = F.col("found")
+    return results.select(
+        "req_id",
+        F.col("priority").cast("long").alias("priority"),
+        found.cast("long").alias("found"),
+        candidate_cap(found, F.col("max_tweets")).cast("long").alias("inspected"),
+        F.size("posts").cast("long").alias("n_posts"),
+        (found < F.col("min_tweets")).alias("shortfall"),
+    )
+
+
 def run_report(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """Per request: rows returned, and whether that is fewer than asked for. Requests without rows stay."""
+    """Per request: rows returned, and whether they are fewer than asked for. Requests without rows stay."""
     counts = results.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_rows"))
     joined = with_defaults(requests).join(counts, "req_id", "left")
     n = F.coalesce("n_rows", F.lit(0))
     return joined.select(
-        "req_id", "kind", "engine", "clean", n.alias("n_rows"), (n < F.col("min_tweets")).alias("shortfall")
+        "req_id", "kind", "engine", "clean", n.alias("n_rows"), (n < F.col("min_tweets")).alias("short_of_min")
     )
 
 
