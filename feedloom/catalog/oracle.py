@@ -277,8 +277,7 @@ SELECT target, pos, CAST(least AS BIGINT) AS least FROM (
     "scroll_stop": f"WITH {STOPPED}",
     "scroll_progress": f"""WITH {SCROLLS}, {sighted("target", "texto", "scrolls")},
 {stop_rule("target", "10", "30", "10", "SELECT DISTINCT target, scroll FROM scrolls")}
-SELECT c.target, c.scroll, new AS n_new, CAST(cum AS BIGINT) AS n_unique,
-       (c.scroll > 0 AND cum >= 10) OR cum >= 30 OR c.scroll + 1 >= 10 AS stopped
+SELECT c.target, c.scroll, new AS n_new, CAST(cum AS BIGINT) AS n_unique
 FROM cums c JOIN stops t ON c.target = t.target WHERE c.scroll <= t.stop""",
     "shortfall_report": f"""WITH {CONV}
 SELECT target, count(*) AS found, count(*) < 6 AS shortfall FROM conv GROUP BY target""",

@@ -29,11 +29,11 @@ from feedloom.functions.text import WHITESPACE
 from feedloom.functions.urls import urls_by_kind
 from feedloom.operators import blocks, limits, records, report
 from feedloom.operators.cards import (
-    card_post,
     card_text,
     card_time,
     card_user,
     explode_cards,
+    kept_posts,
     quarantined,
     read_cards,
 )
@@ -147,10 +147,9 @@ def card_text_visible(spark, sf_dir):
 @query
 def card_strict(spark, sf_dir):
     cards = read_cards(v.pages(spark, sf_dir).drop("url"), BOLD_STRICT)
-    built = F.transform("cards", lambda c: card_post(c, BOLD_STRICT))
-    return cards.select(
-        "page_id", F.explode(F.filter(built, lambda p: p["keep"])).alias("p")
-    ).select("page_id", "p.numero", "p.texto", "p.usuario", "p.timestamp")
+    return cards.select("page_id", F.explode(kept_posts(F.col("cards"), BOLD_STRICT)).alias("p")).select(
+        "page_id", "p.numero", "p.texto", "p.usuario", "p.timestamp"
+    )
 
 
 @query

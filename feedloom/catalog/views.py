@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom import presets
 from feedloom.operators.blocks import dense_number
 from feedloom.operators.cards import explode_cards_flat, read_cards
+from feedloom.sources.pages import read_pages
 
 # Cards of two kinds: navigation links (flat markup), and articles (nested, with unclosed paragraphs).
 # The leading selectors match nothing in these pages, so the ordered fallback is exercised.
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return read_pages(spark, os.path.join(sf_dir, "pages.parquet")).select("page_id", "url", "html")
 
 
 def link_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,8 @@ class PageTree(HTMLParser):
         attrs = {}
         for name, value in attr_list:
             attrs.setdefault(name, value if value is not None else "")
-        if not self._unseen:
+        hides = self._hides(tag, attrs)
+        if not (self._unseen or hides):
             self._boundary(tag)
         n = len(self.tags)
         self.tags.append(tag)
@@ -121,7 +122,7 @@ class PageTree(HTMLParser):
         self.by_tag.setdefault(tag, []).append(n)
         if tag not in VOID:
             self._open.append(n)
-            self._unseen += self._hides(tag, attrs)
+            self._unseen += hides
             self._pre += self._keeps_blanks(tag, attrs)
 
     def handle_startendtag(self, tag, attr_list):
@@ -169,9 +170,10 @@ class PageTree(HTMLParser):
             tag, attrs = self.tags[n], self.attrs[n]
             self.last[n] = len(self.pieces)
             self.end[n] = len(self.tags) - 1
-            self._unseen -= self._hides(tag, attrs)
+            hides = self._hides(tag, attrs)
+            self._unseen -= hides
             self._pre -= self._keeps_blanks(tag, attrs)
-            if not self._unseen:
+            if not (self._unseen or hides):
                 self._boundary(tag)
 
     def _fits(self, n: int, step: tuple) -> bool:
@@ -202,6 +204,7 @@ class PageTree(HTMLParser):
         """Rendered text: blanks collapsed, block boundaries and <br> as line breaks, hidden parts left out."""
         out: list[str] = []
         gap = 0
+        soft = False  # the text so far ends in a blank that a line end swallows
         for piece in self.pieces[self.first[n] : self.last[n]]:
             if isinstance(piece, int):
                 gap = max(gap, piece)
@@ -211,33 +214,26 @@ class PageTree(HTMLParser):
             elif piece == _BREAK:
                 shown = piece
             else:
-                fresh = gap or not out or out[-1][-1] in " \n"
+                fresh = gap or not out or soft or out[-1].endswith("\n")
                 shown = piece[1:] if fresh and piece.startswith(" ") else piece
             if not shown:
                 continue
-            if gap and out:
-                _drop_trailing_blank(out)
-                # The line after a <br> is already a new one where lines are what is written.
-                if not (self.lines and out[-1][-1] == "\n"):
-                    out.append("\n" * gap)
+            if soft and (shown == _BREAK or gap):
+                out[-1] = out[-1][:-1]
+            # The line after a <br> is already a new one where lines are what is written.
+            if gap and out and not (self.lines and out[-1].endswith("\n")):
+                out.append("\n" * gap)
             gap = 0
-            if shown == _BREAK:
-                _drop_trailing_blank(out)
             out.append(shown)
-        _drop_trailing_blank(out)
+            soft = isinstance(piece, str) and shown.endswith(" ")
+        if soft:
+            out[-1] = out[-1][:-1]
         text = "".join(out)
         if self.lines:
             return "\n".join(line.strip() for line in text.replace("\xa0", " ").split("\n")).strip()
         return text
 
 
-def _drop_trailing_blank(out: list[str]) -> None:
-    if out and out[-1].endswith(" "):
-        out[-1] = out[-1][:-1]
-        if not out[-1]:
-            out.pop()
-
-
 def _within(tree: PageTree, hits: list[int], card: int) -> list[int]:
     return hits[bisect_right(hits, card) : bisect_left(hits, tree.end[card] + 1)]
 

@@ -7,7 +7,8 @@ is windowed per key; its running totals go back to the rows by an equi-join on (
 more than one block of rows, and results are exact for any skew. Blocks are a function of the data, so
 a lost executor's work is redone alike.
 
-Group keys and the order column must not be NULL.
+Group keys and the order column must not be NULL, and the order column must be unique inside a group
+(for ``attach`` and ``keep_lowest`` it only decides how finely a group is spread).
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ TASK_LOCAL_LIMIT = 1000
 
 
 def block_of(order: Column | str, width: int = BLOCK_WIDTH) -> Column:
-    """The block an order value falls into; the order column must be unique inside a group."""
-    c = F.col(order) if isinstance(order, str) else order
-    return F.floor(c.cast("long") / F.lit(width)).cast("long")
+    """The block an integer falls into, named by its lowest value."""
+    c = (F.col(order) if isinstance(order, str) else order).cast("long")
+    return c - F.pmod(c, F.lit(width))
 
 
 def _cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -127,6 +128,6 @@ def keep_lowest(
     keys = list(keys)
     blocked = rows.withColumn("_block", block_of(order, width))
     cells = blocked.select(*keys, rank, "_block").distinct()
-    best = cells.groupBy(*keys).agg(F.min(rank).alias(rank))
-    cells = cells.join(best, [*keys, rank], "left_semi")
+    best = F.min(rank).over(Window.partitionBy(*keys))
+    cells = cells.withColumn("_best", best).where(F.col(rank) == F.col("_best")).drop("_best")
     return blocked.join(cells, [*keys, rank, "_block"], "left_semi").drop("_block")

@@ -104,34 +104,48 @@ def card_time(card: Column, spec: CardSpec) -> Column:
     return F.when(F.size(hits) > 0, F.get(hits, F.lit(0))["attr"]).otherwise(F.lit(""))
 
 
-def card_is_post(
-    card: Column, text: Column, spec: CardSpec, term: Column | str | None = None
-) -> Column:
-    """Whether the mode keeps the card. ``term`` is the keyword (A modes) or the tag (B_visible)."""
+def card_fields(card: Column, spec: CardSpec) -> Column:
+    """The card's fields by the mode's rules, with its source position, before any filter.
+
+    ``sound`` is false for a card that could not be read, and in strict mode for one that lacks an
+    element: presence counts there, not value, so empty text is kept.
+    """
     sound = card["error"].isNull()
     if spec.mode == "A_strict":
-        # Presence counts, not value: empty text is kept, a missing element drops the card.
-        present = [F.size(F.get(card[f], F.lit(0))) > 0 for f in ("texts", "users", "times")]
-        return sound & present[0] & present[1] & present[2] & keyword_ci(text, term)
-    keep = sound & non_blank(text)
-    if spec.mode == "A_lenient":
-        return keep & keyword_ci(text, term)
-    if spec.mode == "B_visible":
-        return keep & hashtag_cs(text, term)
-    return keep
-
-
-def card_post(card: Column, spec: CardSpec, term: Column | str | None = None) -> Column:
-    """The card as a post struct with its source position, plus the ``keep`` flag."""
-    text = card_text(card, spec)
-    shown = strip_ws(text) if spec.mode == "B_visible" else text
+        for name in ("texts", "users", "times"):
+            sound = sound & (F.size(F.get(card[name], F.lit(0))) > 0)
     return F.struct(
-        shown.alias("texto"),
+        card_text(card, spec).alias("texto"),
         card_user(card, spec).alias("usuario"),
         card_time(card, spec).alias("timestamp"),
         card["pos"].alias("numero"),
-        F.coalesce(card_is_post(card, text, spec, term), F.lit(False)).alias("keep"),
+        F.coalesce(sound, F.lit(False)).alias("sound"),
+    )
+
+
+def _is_post(fields: Column, spec: CardSpec, term: Column | str | None) -> Column:
+    text = fields["texto"]
+    keep = fields["sound"]
+    if spec.mode != "A_strict":
+        keep = keep & non_blank(text)
+    if spec.mode in ("A_lenient", "A_strict"):
+        keep = keep & keyword_ci(text, term)
+    if spec.mode == "B_visible":
+        keep = keep & hashtag_cs(text, term)
+    return keep
+
+
+def kept_posts(cards: Column, spec: CardSpec, term: Column | str | None = None) -> Column:
+    """The posts among an array of cards. ``term`` is the keyword (A modes) or the tag (B_visible).
+
+    Fields are built first and judged after, so each is worked out once per card.
+    """
+    posts = F.filter(
+        F.transform(cards, lambda c: card_fields(c, spec)), lambda p: _is_post(p, spec, term)
     )
+    if spec.mode == "B_visible":
+        return F.transform(posts, lambda p: p.withField("texto", strip_ws(p["texto"])))
+    return posts
 
 
 def candidate_cap(found: Column, limit: Column) -> Column:
@@ -144,18 +158,16 @@ def capped(cards: Column, found: Column, limit: Column) -> Column:
     return F.slice(cards, F.lit(1), candidate_cap(found, limit).cast("int"))
 
 
-def stopped_at_min(posts: Column, least: Column, engine: str) -> Column:
-    """The kept posts up to the early stop; ``posts`` holds the capped candidates in order.
+def stopped_at_min(kept: Column, least: Column, engine: str) -> Column:
+    """The page's kept posts up to the early stop.
 
     Engine A looks after each kept post, so at least one passes. Engine B looks after each candidate, so
     with a minimum of zero or less only the first candidate is ever seen.
     """
-    kept = F.filter(posts, lambda p: p["keep"])
+    first = F.slice(kept, F.lit(1), F.greatest(least, F.lit(1)).cast("int"))
     if engine == "a":
-        return F.slice(kept, F.lit(1), F.greatest(least, F.lit(1)).cast("int"))
-    return F.when(least > 0, F.slice(kept, F.lit(1), F.greatest(least, F.lit(0)).cast("int"))).otherwise(
-        F.filter(kept, lambda p: p["numero"] == 1)
-    )
+        return first
+    return F.when(least > 0, first).otherwise(F.filter(kept, lambda p: p["numero"] == 1))
 
 
 def page_posts(
@@ -167,9 +179,8 @@ def page_posts(
     term: Column | str | None = None,
 ) -> DataFrame:
     """Add ``posts``: the page's posts after cap, field choice, filters and early stop, in page order."""
-    taken = capped(F.col("cards"), F.col("found"), limit)
-    built = F.transform(taken, lambda c: card_post(c, spec, term))
-    return cards.withColumn("posts", stopped_at_min(built, least, engine))
+    kept = kept_posts(capped(F.col("cards"), F.col("found"), limit), spec, term)
+    return cards.withColumn("posts", stopped_at_min(kept, least, engine))
 
 
 def quarantined(cards: DataFrame, keys: list[str]) -> DataFrame:

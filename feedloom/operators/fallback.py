@@ -31,14 +31,11 @@ def first_nonempty_page(
     """``first_nonempty_source`` while each page's posts are still one array.
 
     One aggregate with map-side combining: each task sends one page per target, however many sources
-    a target has.
+    a target has. Pages without posts have no rank, which keeps ``posts`` from being worked out a second time
+    in a filter. Targets without any post have NULL.
     """
-    return (
-        pages.where(F.size(posts) > 0)
-        .groupBy(*keys)
-        .agg(F.min_by(F.struct(*order, posts), F.struct(*order)).alias("_page"))
-        .select(*keys, *[F.col("_page")[c].alias(c) for c in order], F.col("_page")[posts].alias(posts))
-    )
+    rank = F.when(F.size(posts) > 0, F.struct(*order))
+    return pages.groupBy(*keys).agg(F.min_by(posts, rank).alias(posts))
 
 
 def first_unblocked_source(

@@ -81,70 +81,27 @@ def first_sightings(rows: DataFrame, keys: Sequence[str], record: Sequence[str])
     )
 
 
-def _scroll_cells(
-    seen: DataFrame,
-    captured: DataFrame,
-    by: list[str],
-    least: Column,
-    most: Column,
-    max_scrolls: Column,
-) -> DataFrame:
-    """(by, scroll, block) with first sightings counted and the stop rule applied.
+def _value(limit: int | str) -> Column:
+    return F.lit(limit) if isinstance(limit, int) else F.col(limit)
 
-    A group's window runs over counts per scroll (and per block of a very long scroll), never over cards.
-    """
-    cell = [*by, "scroll", "_block"]
-    empty = captured.select(*by, F.col("scroll").cast("int"), F.lit(0).alias("_block"))
-    counts = (
-        seen.select(*cell, F.lit(1).alias("_n"))
-        .unionByName(empty.withColumn("_n", F.lit(0)))
-        .groupBy(*cell)
-        .agg(F.sum("_n").alias("_n"))
-    )
-    group = Window.partitionBy(*by)
-    before = group.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    through = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.withColumns(
-            {
-                "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-                "_cum": F.sum("_n").over(through),
-            }
-        )
-        .withColumn(
-            "_done",
-            ((F.col("scroll") > 0) & (F.col("_cum") >= least))
-            | (F.col("_cum") >= most)
-            | (F.col("scroll") + 1 >= max_scrolls),
-        )
-        .withColumn("_over", F.coalesce(F.bool_or("_done").over(earlier), F.lit(False)))
-    )
 
+def _live(most: int | str, max_scrolls: int | str) -> Column:
+    """Scrolls that are looked at at all; for other rows nothing can follow."""
+    return (_value(most) > 0) & (F.col("scroll") < _value(max_scrolls))
 
-def _value(limit: int | str) -> Column:
-    return F.lit(limit) if isinstance(limit, int) else F.col(limit)
 
+def _grouping(keys: Sequence[str], *limits: int | str) -> list[str]:
+    return list(dict.fromkeys([*keys, *[x for x in limits if isinstance(x, str)]]))
 
-def _scrolled(
-    rows: DataFrame,
-    keys: list[str],
-    record: list[str],
-    least: int | str,
-    most: int | str,
-    max_scrolls: int | str,
-    spine: DataFrame | None,
-    width: int,
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(first sightings, counted cells, grouping columns). Scrolls past the limit cannot matter; they go
-    first."""
-    limits = dict.fromkeys(x for x in (least, most, max_scrolls) if isinstance(x, str))
-    by = [*keys, *[c for c in limits if c not in keys]]
-    live = (_value(most) > 0) & (F.col("scroll") < _value(max_scrolls))
-    seen = first_sightings(rows.where(live), by, record).withColumn("_block", block_of("pos", width))
-    captured = (rows if spine is None else spine).where(live)
-    cells = _scroll_cells(seen, captured, by, _value(least), _value(most), _value(max_scrolls))
-    return seen, cells.where(~F.col("_over")), by
+
+def _is_reached(earlier: Column, scroll: Column, least: int | str, most: int | str) -> Column:
+    """Whether a scroll is still looked at, given the distinct records of the scrolls before it.
+
+    The loop goes on while there are fewer than ``most`` records, and ends after any scroll but the
+    first that leaves at least ``least``. Scrolls are counted from 0 without holes, so scroll 1 is always
+    looked at unless ``most`` ends it.
+    """
+    return (earlier < _value(most)) & ((scroll <= 1) | (earlier < _value(least)))
 
 
 def scroll_stop(
@@ -154,7 +111,6 @@ def scroll_stop(
     least: int | str,
     most: int | str,
     max_scrolls: int | str,
-    spine: DataFrame | None = None,
     strict_max: bool = False,
     width: int = BLOCK_WIDTH,
 ) -> DataFrame:
@@ -162,15 +118,34 @@ def scroll_stop(
 
     A group stops after the first scroll (0-based) at which it has ``least`` records and is past
     scroll 0, or has ``most`` records, or is the last one allowed. The whole stopping scroll counts, so the
-    result may exceed ``most``; ``strict_max`` cuts it. ``spine`` lists the (keys, scroll) that were
-    captured, for scrolls that may be empty. Limits may be names of columns that are constant in a group.
+    result may exceed ``most``; ``strict_max`` cuts it. Limits may be names of columns that are constant in
+    a group.
+
+    A group's window runs over counts per scroll (and per block of a very long scroll), never over
+    cards; cards meet it by an equi-join on the same.
     """
-    seen, cells, by = _scrolled(
-        rows, list(keys), list(record), least, most, max_scrolls, spine, width
-    )
+    by = _grouping(keys, least, most, max_scrolls)
     cell = [*by, "scroll", "_block"]
+    seen = first_sightings(rows.where(_live(most, max_scrolls)), by, record).withColumn(
+        "_block", block_of("pos", width)
+    )
+    group = Window.partitionBy(*by)
+    before = group.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
+    cells = (
+        seen.groupBy(*cell)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+                "_earlier": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+            }
+        )
+        .where(_is_reached(F.col("_earlier"), F.col("scroll"), least, most))
+        .select(*cell, "_before")
+    )
     inside = Window.partitionBy(*cell).orderBy("pos")
-    numbered = seen.join(cells.select(*cell, "_before"), cell).withColumn(
+    numbered = seen.join(cells, cell).withColumn(
         "numero", (F.col("_before") + F.row_number().over(inside)).cast("long")
     )
     if strict_max:
@@ -185,11 +160,27 @@ def scroll_progress(
     least: int | str,
     most: int | str,
     max_scrolls: int | str,
-    spine: DataFrame | None = None,
-    width: int = BLOCK_WIDTH,
+    captured: DataFrame | None = None,
 ) -> DataFrame:
-    """The scrolls looked at until the stop, with new and total distinct records after each."""
-    _, cells, by = _scrolled(rows, list(keys), list(record), least, most, max_scrolls, spine, width)
-    return cells.groupBy(*by, "scroll").agg(
-        F.sum("_n").alias("n_new"), F.max("_cum").alias("n_unique"), F.bool_or("_done").alias("stopped")
+    """The scrolls looked at, with new and total distinct records after each.
+
+    ``captured`` lists (keys, scroll) where scrolls may be empty; by default those of ``rows``.
+    """
+    by = _grouping(keys, least, most, max_scrolls)
+    live = _live(most, max_scrolls)
+    seen = first_sightings(rows.where(live), by, record)
+    shown = (rows if captured is None else captured).where(live)
+    counts = (
+        seen.select(*by, "scroll", F.lit(1).alias("_n"))
+        .unionByName(shown.select(*by, F.col("scroll").cast("int"), F.lit(0).alias("_n")))
+        .groupBy(*by, "scroll")
+        .agg(F.sum("_n").alias("n_new"))
+    )
+    order = Window.partitionBy(*by).orderBy("scroll")
+    return (
+        counts.withColumn(
+            "n_unique", F.sum("n_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        .where(_is_reached(F.col("n_unique") - F.col("n_new"), F.col("scroll"), least, most))
+        .select(*by, "scroll", "n_new", "n_unique")
     )

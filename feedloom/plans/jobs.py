@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from feedloom import presets
 from feedloom.functions.predicates import not_blocked
-from feedloom.operators.cards import candidate_cap, card_post, page_posts, read_cards
+from feedloom.operators.cards import candidate_cap, kept_posts, page_posts, read_cards
 from feedloom.operators.fallback import first_nonempty_page, first_unblocked_source, usable_sources
 from feedloom.operators.limits import scroll_stop
 from feedloom.presets import CardSpec
@@ -196,9 +196,7 @@ def user_posts_b(
     built = cards.select(
         "requested_url",
         "scroll",
-        F.filter(
-            F.transform("cards", lambda c: card_post(c, spec)), lambda p: p["keep"]
-        ).alias("posts"),
+        kept_posts(F.col("cards"), spec).alias("posts"),
     )
     rows = built.join(sources, "requested_url").select(
         "req_id", "max_tweets", "min_tweets", "max_scrolls", "scroll", F.explode("posts").alias("_p")
@@ -207,10 +205,8 @@ def user_posts_b(
         *[F.col("_p")[c].alias(c) for c in _RECORD],
         F.col("_p")["numero"].alias("pos"),
     )
-    # Scrolls without posts count too.
-    spine = sources.join(ok.select("requested_url", "scroll"), "requested_url")
     return scroll_stop(
-        rows, ["req_id"], _RECORD, "min_tweets", "max_tweets", "max_scrolls", spine, strict_max
+        rows, ["req_id"], _RECORD, "min_tweets", "max_tweets", "max_scrolls", strict_max
     ).select(*RESULT_COLUMNS)
 
 
