@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -47,7 +47,6 @@ _STEP = re.compile(r"(?:^(?P<tag>[\w-]+))|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)=(
 _BREAK = "\n"
 
 
-@lru_cache(maxsize=None)
 def parse_selector(selector: str) -> tuple:
     """``tag.class[attr='v'] descendant`` as steps of (tag, classes, attributes)."""
     steps = []
@@ -185,9 +184,9 @@ class PageTree(HTMLParser):
             not classes or classes <= set((attrs.get("class") or "").split())
         )
 
-    def select(self, selector: str) -> list[int]:
-        """Matching elements in document order."""
-        *above, last = parse_selector(selector)
+    def select(self, steps: tuple) -> list[int]:
+        """Elements matching a parsed selector, in document order."""
+        *above, last = steps
         pool = self.by_tag.get(last[0], ()) if last[0] else range(len(self.tags))
         return [n for n in pool if self._fits(n, last) and self._under(n, above)]
 
@@ -238,30 +237,51 @@ def _within(tree: PageTree, hits: list[int], card: int) -> list[int]:
     return hits[bisect_right(hits, card) : bisect_left(hits, tree.end[card] + 1)]
 
 
-def page_cards(html: str | None, spec: CardSpec, cap: int | None, whole: bool) -> dict:
+@dataclass(frozen=True)
+class Reader:
+    """What reading a page needs of a CardSpec, selectors parsed."""
+
+    containers: list[tuple]
+    fields: list[list[tuple]]
+    time_attr: str
+    rendering: str
+    whole: bool
+
+    @staticmethod
+    def of(spec: CardSpec) -> Reader:
+        def parsed(selectors: tuple[str, ...]) -> list[tuple]:
+            return [parse_selector(s) for s in selectors]
+
+        return Reader(
+            parsed(spec.containers),
+            [parsed(spec.text), parsed(spec.user), parsed(spec.time)],
+            spec.time_attr,
+            spec.rendering,
+            spec.mode in ("A_lenient", "B_visible"),
+        )
+
+
+def page_cards(html: str | None, reader: Reader, cap: int | None = None) -> dict:
     """Cards of one page. A page or card that cannot be read is reported in ``error``, not raised."""
     if html is None:
         return {"found": 0, "cards": [], "error": None}
     try:
-        tree = PageTree(spec.rendering)
+        tree = PageTree(reader.rendering)
         tree.feed(html)
         tree.finish()
-        cards = next((hits for hits in map(tree.select, spec.containers) if hits), [])
+        cards = next((hits for hits in map(tree.select, reader.containers) if hits), [])
         wanted = cards if cap is None else cards[:cap]
-        lists = [
-            [tree.select(s) for s in selectors] if wanted else []
-            for selectors in (spec.text, spec.user, spec.time)
-        ]
+        lists = [[tree.select(s) for s in steps] if wanted else [] for steps in reader.fields]
     except Exception as e:  # noqa: BLE001 - any unreadable page is quarantined
         return {"found": 0, "cards": [], "error": f"{type(e).__name__}: {e}"}
     return {
         "found": len(cards),
-        "cards": [_card(tree, spec, i + 1, n, lists, whole) for i, n in enumerate(wanted)],
+        "cards": [_card(tree, reader, i, n, lists) for i, n in enumerate(wanted, 1)],
         "error": None,
     }
 
 
-def _card(tree: PageTree, spec: CardSpec, pos: int, n: int, lists: list, whole: bool) -> dict:
+def _card(tree: PageTree, reader: Reader, pos: int, n: int, lists: list) -> dict:
     try:
         texts, users, times = ([_within(tree, hits, n) for hits in hit_lists] for hit_lists in lists)
         return {
@@ -269,10 +289,10 @@ def _card(tree: PageTree, spec: CardSpec, pos: int, n: int, lists: list, whole:
             "texts": [[tree.text(m) for m in hits] for hits in texts],
             "users": [[tree.text(m) for m in hits] for hits in users],
             "times": [
-                [{"attr": tree.attrs[m].get(spec.time_attr), "text": tree.text(m)} for m in hits]
+                [{"attr": tree.attrs[m].get(reader.time_attr), "text": tree.text(m)} for m in hits]
                 for hits in times
             ],
-            "whole": tree.text(n) if whole else None,
+            "whole": tree.text(n) if reader.whole else None,
             "error": None,
         }
     except Exception as e:  # noqa: BLE001 - one bad card must not lose the others
@@ -298,13 +318,11 @@ def cards_of_page(html: Column | str, spec: CardSpec, cap: Column | None = None)
     filters are not pushed through it, which would run it twice: filter pages before calling this.
     """
     arrow_type = to_arrow_type(PAGE_CARDS_TYPE)
-    whole = spec.mode in ("A_lenient", "B_visible")
+    reader = Reader.of(spec)
 
     @F.arrow_udf(PAGE_CARDS_TYPE)
     def read_cards(pages: pa.Array, caps: pa.Array) -> pa.Array:
-        rows = [
-            page_cards(h, spec, c, whole) for h, c in zip(pages.to_pylist(), caps.to_pylist())
-        ]
+        rows = [page_cards(h, reader, c) for h, c in zip(pages.to_pylist(), caps.to_pylist())]
         return pa.array(rows, type=arrow_type)
 
     page = _col(html)

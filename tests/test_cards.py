@@ -166,7 +166,8 @@ def test_unreadable_cards_are_set_aside(spark, monkeypatch):
 
     monkeypatch.setattr(markup.PageTree, "text", text)
     html = card(TEXT("a")) + card("<div data-testid='tweetText' id='bad'>b</div>") + card(TEXT("c"))
-    page = markup.page_cards(html, presets.HASHTAG_A, None, True)
+    reader = markup.Reader.of(presets.HASHTAG_A)
+    page = markup.page_cards(html, reader)
     assert [c["error"] for c in page["cards"]] == [None, "ValueError: broken", None]
     assert [c["pos"] for c in page["cards"]] == [1, 2, 3]
 
@@ -174,7 +175,7 @@ def test_unreadable_cards_are_set_aside(spark, monkeypatch):
         raise RuntimeError("no page")
 
     monkeypatch.setattr(markup.PageTree, "feed", feed)
-    assert markup.page_cards(html, presets.HASHTAG_A, None, True) == {
+    assert markup.page_cards(html, reader) == {
         "found": 0,
         "cards": [],
         "error": "RuntimeError: no page",
@@ -228,11 +229,14 @@ def test_selectors():
         "<div data-testid='User-Name'><p><span id=3></span></p></div><DIV DATA-TESTID=User-Name></DIV>"
     )
     tree.finish()
-    ids = [tree.attrs[n].get("id") for n in tree.select("span")]
-    assert ids == ["1", "2", "3"]
-    assert [tree.attrs[n].get("id") for n in tree.select("div[data-testid='User-Name'] span")] == ["3"]
-    assert len(tree.select("div.b.a")) == 1 and len(tree.select(".b")) == 2
-    assert len(tree.select('div[data-testid="User-Name"]')) == 2
+
+    def ids(selector):
+        return [tree.attrs[n].get("id") for n in tree.select(markup.parse_selector(selector))]
+
+    assert ids("span") == ["1", "2", "3"]
+    assert ids("div[data-testid='User-Name'] span") == ["3"]
+    assert len(ids("div.b.a")) == 1 and len(ids(".b")) == 2
+    assert len(ids('div[data-testid="User-Name"]')) == 2
     for bad in ("a > b", "a:hover", "a, b", "*"):
         with pytest.raises(ValueError):
             markup.parse_selector(bad)
