@@ -189,13 +189,23 @@ SELECT s.req_id, s.texto, 'Unknown' AS usuario, s.href AS "timestamp",
 FROM sighted s JOIN stops t ON s.req_id = t.req_id WHERE s.scroll <= t.stop"""
 
 # Profiles whose addresses were captured once: the first page that is no sign-in page, its distinct posts.
-ONE_SCROLL = f"""WITH {LINKS}, {GRID}, {BOOK}, {reqs(30_000_000)},
+ONE_SCROLL = f"""{GRID}, {BOOK}, {reqs(30_000_000)},
 usable AS (
   SELECT clean, min(page_id) AS page_id FROM filed
-  WHERE NOT contains(url, '://m.') AND (NOT contains(url, 'spam-farm') OR page_id = 3) GROUP BY clean)
-SELECT DISTINCT r.req_id, {strip("k.texto")}, k.href
-FROM reqs r JOIN usable u ON r.clean = u.clean JOIN links k ON k.page_id = u.page_id
-WHERE r.most > 0 AND {strip("k.texto")} <> ''"""
+  WHERE NOT contains(url, '://m.') AND (NOT contains(url, 'spam-farm') OR page_id = 3) GROUP BY clean),
+shown AS (
+  SELECT r.req_id, {strip("k.texto")} AS texto, k.href, min(k.pos) AS pos
+  FROM reqs r JOIN usable u ON r.clean = u.clean JOIN links k ON k.page_id = u.page_id
+  WHERE r.most > 0 AND {strip("k.texto")} <> '' GROUP BY ALL),
+picked AS (
+  SELECT CAST(req_id AS BIGINT) AS req_id, texto, 'Unknown' AS usuario, href AS "timestamp",
+         row_number() OVER (PARTITION BY req_id ORDER BY pos) AS numero FROM shown)"""
+
+BATCH = f"""got AS (
+  SELECT {POST} FROM (WITH {LINKS}, {JOB_HASHTAG_A} SELECT * FROM picked) a UNION ALL
+  SELECT {POST} FROM (WITH {LINKS}, {JOB_HASHTAG_B} SELECT * FROM picked) b UNION ALL
+  SELECT {POST} FROM (WITH {PARAS}, {JOB_USER_A} SELECT * FROM picked) c UNION ALL
+  SELECT {POST} FROM (WITH {LINKS}, {ONE_SCROLL} SELECT * FROM picked) d)"""
 
 # Whole visible page: block boundaries (2) and line breaks (1) as marks, then merged into line ends.
 _PAGE = r"regexp_replace(html, '^.*?</head>', '', 's')"
@@ -212,7 +222,7 @@ ORACLE: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages",
     "candidate_urls": _urls(),
     "explode_cards_flat": f"WITH {RAW_LINKS} SELECT page_id, pos, texto FROM links",
-    "explode_cards_dom": f"WITH {LINKS} SELECT page_id, pos, n AS found, texto, href FROM links",
+    "explode_cards": f"WITH {LINKS} SELECT page_id, pos, n AS found, texto, href FROM links",
     "card_text_joined": f"""WITH {PARAS}
 SELECT page_id, CAST(1 AS BIGINT) AS pos, string_agg(t, ' ' ORDER BY pos) AS texto
 FROM (SELECT page_id, pos, {strip("inner_text")} AS t FROM paras) p WHERE t <> '' GROUP BY page_id""",
@@ -286,12 +296,12 @@ SELECT page_id, pos AS numero, texto FROM links WHERE contains(lower(texto), 'th
     "number_dense": """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS numero
 FROM events WHERE event_type = 'purchase'""",
     "accumulate_distinct": DISTINCT,
-    "first_nonempty": f"""WITH {DOCS}
+    "first_nonempty_source": f"""WITH {DOCS}
 SELECT target, candidate, pos, texto FROM (
   SELECT *, min(priority) OVER (PARTITION BY target) AS best FROM docs
   WHERE contains(lower(texto), 'ndert')) d WHERE priority = best""",
-    "first_unblocked": f"WITH {HOSTS} SELECT host, CAST(priority AS BIGINT) AS priority FROM unblocked",
-    "skip_failed": f"""WITH {RAW_LINKS}
+    "first_unblocked_source": f"WITH {HOSTS} SELECT host, CAST(priority AS BIGINT) AS priority FROM unblocked",
+    "skip_failed_source": f"""WITH {RAW_LINKS}
 SELECT target, page_id AS priority, pos, texto FROM (
   SELECT *, min(page_id) OVER (PARTITION BY target) AS best FROM (
     SELECT *, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS target FROM links
@@ -304,12 +314,12 @@ SELECT target, count(*) AS found, count(*) FILTER (WHERE pos <= 6) AS inspected,
        count(*) FILTER (WHERE {strip("texto")} <> '') AS nonblank,
        count(*) FILTER (WHERE {strip("texto")} <> '' AND contains(lower(texto), 'en') AND pos <= 6) AS matched
 FROM conv GROUP BY target""",
-    "clean_targets": f"""SELECT doc_id, substring(raw, 2) AS tag,
+    "clean_target": f"""SELECT doc_id, substring(raw, 2) AS tag,
        CASE WHEN starts_with(bare, '@') THEN substring(bare, 2) ELSE bare END AS name
 FROM (SELECT doc_id, {strip("' ' || chr(9) || '##' || text || '# '")} AS raw, {strip("text")} AS bare FROM documents) d""",
-    "strip_whitespace": f"SELECT doc_id, {strip('text')} AS texto FROM documents",
-    "clean_handles": f"SELECT doc_id, replace({strip(chr(39) + ' @' + chr(39) + ' || text || ' + chr(39) + '@ ' + chr(39))}, '@', '') AS usuario FROM documents",
-    "parse_times": """SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS millis FROM events""",
+    "strip_ws": f"SELECT doc_id, {strip('text')} AS texto FROM documents",
+    "clean_handle": f"SELECT doc_id, replace({strip(chr(39) + ' @' + chr(39) + ' || text || ' + chr(39) + '@ ' + chr(39))}, '@', '') AS usuario FROM documents",
+    "parse_time": """SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS millis FROM events""",
     "csv_roundtrip": """SELECT ' #' || text || ', "quoted" ' AS texto, CASE WHEN role <> 'system' THEN role END AS usuario,
        CAST(NULL AS VARCHAR) AS "timestamp", conv_id * 1000 + turn + 1 AS numero FROM conversations""",
     "csv_per_target": """SELECT CAST(conv_id AS VARCHAR) || '_tweets_pw.csv' AS file_name, count(*) AS n_rows,
@@ -336,14 +346,11 @@ SELECT CAST(r.req_id AS BIGINT) AS req_id, f.page_id AS priority, coalesce(c.n,
 FROM reqs r JOIN filed f ON r.clean = f.clean LEFT JOIN found c ON c.page_id = f.page_id
      LEFT JOIN per_page p ON p.req_id = r.req_id AND p.priority = f.page_id
 WHERE NOT contains(f.url, '://m.') AND NOT contains(f.url, 'spam-farm')""",
-    "request_batch": f"""WITH {GRID}, {BOOK},
+    "request_batch": f"WITH {BATCH} SELECT {POST} FROM got",
+    "request_report": f"""WITH {GRID}, {BOOK},
 asked AS (
   {" UNION ALL ".join(f"SELECT req_id, clean, least, '{k}' AS kind, '{e}' AS engine FROM (WITH {reqs(p)} SELECT * FROM reqs) q{p}" for k, e, p in (("hashtag", "a", 0), ("hashtag", "b", 10_000_000), ("user", "a", 20_000_000), ("user", "b", 30_000_000)))}),
-got AS (
-  SELECT req_id FROM (WITH {LINKS}, {JOB_HASHTAG_A} SELECT req_id FROM picked) a UNION ALL
-  SELECT req_id FROM (WITH {LINKS}, {JOB_HASHTAG_B} SELECT req_id FROM picked) b UNION ALL
-  SELECT req_id FROM (WITH {PARAS}, {JOB_USER_A} SELECT req_id FROM picked) c UNION ALL
-  SELECT req_id FROM ({ONE_SCROLL}) d),
+{BATCH},
 counted AS (SELECT req_id, count(*) AS n FROM got GROUP BY req_id)
 SELECT CAST(a.req_id AS BIGINT) AS req_id, kind, engine, clean, coalesce(n, 0) AS n_rows, coalesce(n, 0) < least AS short_of_min
 FROM asked a LEFT JOIN counted c ON a.req_id = c.req_id""",

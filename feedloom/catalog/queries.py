@@ -76,23 +76,26 @@ LINKS_VISIBLE = presets.USER_B.with_selectors(
 )
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(name: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return register
 
 
 # ------------------------------------------------------------------------------------ sources
 
 
-@query
-def scan_pages(spark, sf_dir):
+@query("scan_pages")
+def _scan_pages(spark, sf_dir):
     return read_pages(spark, f"{sf_dir}/pages.parquet").select(
         "page_id", "url", F.length("html").cast("long").alias("n_chars")
     )
 
 
-@query
-def candidate_urls(spark, sf_dir):
+@query("candidate_urls")
+def _candidate_urls(spark, sf_dir):
     sources = v.table(spark, sf_dir, "documents").select("source").distinct()
     both = F.explode(F.array(*[F.lit(k) for k in ("hashtag", "user")]))
     each = sources.select("source", both.alias("kind")).select(
@@ -106,13 +109,13 @@ def candidate_urls(spark, sf_dir):
 # --------------------------------------------------------------------------------- extraction
 
 
-@query
-def explode_cards_flat(spark, sf_dir):
+@query("explode_cards_flat")
+def _explode_cards_flat(spark, sf_dir):
     return v.link_cards(spark, sf_dir)
 
 
-@query
-def explode_cards_dom(spark, sf_dir):
+@query("explode_cards")
+def _explode_cards(spark, sf_dir):
     cards = explode_cards(v.pages(spark, sf_dir).drop("url"), v.LINK_SPEC)
     return cards.select(
         "page_id",
@@ -128,55 +131,55 @@ def _article_text(spark, sf_dir, spec):
     return cards.select("page_id", "pos", card_text(F.col("card"), spec).alias("texto"))
 
 
-@query
-def card_text_joined(spark, sf_dir):
+@query("card_text_joined")
+def _card_text_joined(spark, sf_dir):
     return _article_text(spark, sf_dir, v.article_spec(presets.HASHTAG_A))
 
 
-@query
-def card_text_first(spark, sf_dir):
+@query("card_text_first")
+def _card_text_first(spark, sf_dir):
     return _article_text(spark, sf_dir, v.article_spec(presets.HASHTAG_B))
 
 
-@query
-def card_text_visible(spark, sf_dir):
+@query("card_text_visible")
+def _card_text_visible(spark, sf_dir):
     spec = v.article_spec(presets.USER_B).with_selectors(text=("p.lead",))
     return _article_text(spark, sf_dir, spec).withColumn("texto", strip_ws("texto"))
 
 
-@query
-def card_strict(spark, sf_dir):
+@query("card_strict")
+def _card_strict(spark, sf_dir):
     cards = read_cards(v.pages(spark, sf_dir).drop("url"), BOLD_STRICT)
     return cards.select("page_id", F.explode(kept_posts(F.col("cards"), BOLD_STRICT)).alias("p")).select(
         "page_id", "p.numero", "p.texto", "p.usuario", "p.timestamp"
     )
 
 
-@query
-def card_user_default(spark, sf_dir):
+@query("card_user_default")
+def _card_user_default(spark, sf_dir):
     cards = explode_cards(v.pages(spark, sf_dir).drop("url"), BOLD_STRICT)
     return cards.select("page_id", "pos", card_user(F.col("card"), BOLD_STRICT).alias("usuario"))
 
 
-@query
-def card_attr_or_text(spark, sf_dir):
+@query("card_attr_or_text")
+def _card_attr_or_text(spark, sf_dir):
     cards = explode_cards(v.pages(spark, sf_dir).drop("url"), BOLD_VISIBLE)
     return cards.select("page_id", "pos", card_time(F.col("card"), BOLD_VISIBLE).alias("timestamp"))
 
 
-@query
-def page_visible_text(spark, sf_dir):
+@query("page_visible_text")
+def _page_visible_text(spark, sf_dir):
     return v.pages(spark, sf_dir).select("page_id", text_of_page("html").alias("texto"))
 
 
-@query
-def preview_sample(spark, sf_dir):
+@query("preview_sample")
+def _preview_sample(spark, sf_dir):
     posts = v.posts_conv(spark, sf_dir).withColumnRenamed("pos", "numero")
     return report.preview(posts, ["target"])
 
 
-@query
-def remap_flags(spark, sf_dir):
+@query("remap_flags")
+def _remap_flags(spark, sf_dir):
     return records.remap_record(
         v.table(spark, sf_dir, "labels"), {"doc_id": "item"}, {"quality": "good", "toxic": "harmful"}
     )
@@ -185,28 +188,28 @@ def remap_flags(spark, sf_dir):
 # ---------------------------------------------------------------------------------- predicates
 
 
-@query
-def filter_nonblank(spark, sf_dir):
+@query("filter_nonblank")
+def _filter_nonblank(spark, sf_dir):
     return v.posts_conv(spark, sf_dir).where(non_blank("texto")).select("target", "pos", "texto")
 
 
-@query
-def filter_keyword_ci(spark, sf_dir):
+@query("filter_keyword_ci")
+def _filter_keyword_ci(spark, sf_dir):
     return v.posts_docs(spark, sf_dir).where(keyword_ci("texto", KEYWORD)).select("target", "pos", "texto")
 
 
-@query
-def filter_hashtag_cs(spark, sf_dir):
+@query("filter_hashtag_cs")
+def _filter_hashtag_cs(spark, sf_dir):
     return v.posts_docs(spark, sf_dir).where(hashtag_cs("texto", HASHTAG)).select("target", "pos", "texto")
 
 
-@query
-def filter_blocked_pages(spark, sf_dir):
+@query("filter_blocked_pages")
+def _filter_blocked_pages(spark, sf_dir):
     return v.table(spark, sf_dir, "pages").where(not_blocked("url", BLOCKED)).select("page_id", "url")
 
 
-@query
-def quarantine_bad_rows(spark, sf_dir):
+@query("quarantine_bad_rows")
+def _quarantine_bad_rows(spark, sf_dir):
     """The last path part of the address as a number; addresses where it is none are set aside."""
     part = F.regexp_extract("url", r"^https?://[^/]+/[^/]+/([^?#]*)", 1)
     filed = v.table(spark, sf_dir, "pages").select("page_id", part.alias("part"))
@@ -218,27 +221,27 @@ def quarantine_bad_rows(spark, sf_dir):
     )
 
 
-@query
-def quarantine_bad_cards(spark, sf_dir):
+@query("quarantine_bad_cards")
+def _quarantine_bad_cards(spark, sf_dir):
     cards = read_cards(v.pages(spark, sf_dir).drop("url"), v.LINK_SPEC)
     return quarantined(cards, ["page_id"])
 
 
-@query
-def filter_domains(spark, sf_dir):
+@query("filter_domains")
+def _filter_domains(spark, sf_dir):
     filed = v.table(spark, sf_dir, "pages").select("page_id", host_of("url").alias("host"))
     return filed.where(any_pattern("host", DOMAINS))
 
 
-@query
-def filter_required_keys(spark, sf_dir):
+@query("filter_required_keys")
+def _filter_required_keys(spark, sf_dir):
     return v.table(spark, sf_dir, "events").where(has_required_keys("props", ["k"])).select(
         "event_id", has_required_keys("props", ["k", "name"]).alias("named")
     )
 
 
-@query
-def group_has_any(spark, sf_dir):
+@query("group_has_any")
+def _group_has_any(spark, sf_dir):
     events = v.table(spark, sf_dir, "events")
     return report.group_has_any(events, ["user_id"], "event_type", NAMES)
 
@@ -246,18 +249,18 @@ def group_has_any(spark, sf_dir):
 # -------------------------------------------------------------------------------------- limits
 
 
-@query
-def cap_candidates(spark, sf_dir):
+@query("cap_candidates")
+def _cap_candidates(spark, sf_dir):
     return limits.cap_candidates(v.posts_conv(spark, sf_dir), ["target"], 3).select("target", "pos")
 
 
-@query
-def cap_candidates_negative(spark, sf_dir):
+@query("cap_candidates_negative")
+def _cap_candidates_negative(spark, sf_dir):
     return limits.cap_candidates(v.posts_conv(spark, sf_dir), ["target"], -2).select("target", "pos")
 
 
-@query
-def cap_candidates_by_request(spark, sf_dir):
+@query("cap_candidates_by_request")
+def _cap_candidates_by_request(spark, sf_dir):
     """Each conversation asks for its own limit: 4 less the number of its system turns times 5."""
     posts = v.posts_conv(spark, sf_dir)
     asked = posts.groupBy("target").agg(
@@ -267,28 +270,28 @@ def cap_candidates_by_request(spark, sf_dir):
     return limits.cap_candidates(rows, ["target"], "most").select("target", "pos", F.col("most").cast("long"))
 
 
-@query
-def prefix_min_a(spark, sf_dir):
+@query("prefix_min_a")
+def _prefix_min_a(spark, sf_dir):
     capped = limits.cap_candidates(v.posts_conv(spark, sf_dir), ["target"], 6)
     kept = capped.where(non_blank("texto") & keyword_ci("texto", "en"))
     return limits.stop_at_min_a(kept, ["target"], 2).select("target", "pos", "texto")
 
 
-@query
-def prefix_min_b(spark, sf_dir):
+@query("prefix_min_b")
+def _prefix_min_b(spark, sf_dir):
     capped = limits.cap_candidates(v.posts_conv(spark, sf_dir), ["target"], 6)
     kept = capped.where(non_blank("texto") & (F.col("usuario") != "system"))
     return limits.stop_at_min_b(kept, ["target"], 3).select("target", "pos", "texto")
 
 
-@query
-def prefix_min_b_zero(spark, sf_dir):
+@query("prefix_min_b_zero")
+def _prefix_min_b_zero(spark, sf_dir):
     kept = v.posts_conv(spark, sf_dir).where(F.col("usuario") != "system")
     return limits.stop_at_min_b(kept, ["target"], 0).select("target", "pos", "texto")
 
 
-@query
-def prefix_min_by_request(spark, sf_dir):
+@query("prefix_min_by_request")
+def _prefix_min_by_request(spark, sf_dir):
     """Limits per group, beyond what a task-local cut can take: a tenth of the language's documents."""
     posts = v.posts_docs(spark, sf_dir).where(non_blank("texto")).select("target", "pos")
     sized = blocks.with_group_size(posts, ["target"], "pos", "n")
@@ -296,58 +299,58 @@ def prefix_min_by_request(spark, sf_dir):
     return limits.stop_at_min_a(rows, ["target"], "least")
 
 
-@query
-def scroll_stop(spark, sf_dir):
+@query("scroll_stop")
+def _scroll_stop(spark, sf_dir):
     rows = v.scrolls_events(spark, sf_dir)
     return limits.scroll_stop(rows, ["target"], ["texto"], **SCROLL_LIMITS).select(
         "target", "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
     )
 
 
-@query
-def scroll_progress(spark, sf_dir):
+@query("scroll_progress")
+def _scroll_progress(spark, sf_dir):
     rows = v.scrolls_events(spark, sf_dir)
     return limits.scroll_progress(rows, ["target"], ["texto"], **SCROLL_LIMITS).withColumn(
         "scroll", F.col("scroll").cast("long")
     )
 
 
-@query
-def shortfall_report(spark, sf_dir):
+@query("shortfall_report")
+def _shortfall_report(spark, sf_dir):
     return report.shortfall_report(v.posts_conv(spark, sf_dir), ["target"], 6)
 
 
 # ----------------------------------------------------------------------- numbering and set work
 
 
-@query
-def number_source_pos(spark, sf_dir):
+@query("number_source_pos")
+def _number_source_pos(spark, sf_dir):
     cards = v.link_cards(spark, sf_dir).where(keyword_ci("texto", "th"))
     return cards.select("page_id", F.col("pos").alias("numero"), "texto")
 
 
-@query
-def number_dense(spark, sf_dir):
+@query("number_dense")
+def _number_dense(spark, sf_dir):
     events = v.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
     return blocks.dense_number(events.select("event_id", "user_id"), ["user_id"], "event_id")
 
 
-@query
-def accumulate_distinct(spark, sf_dir):
+@query("accumulate_distinct")
+def _accumulate_distinct(spark, sf_dir):
     seen = limits.first_sightings(v.scrolls_events(spark, sf_dir), ["target"], ["texto", "usuario", "timestamp"])
     return seen.select(
         "target", "texto", "usuario", "timestamp", F.col("scroll").cast("long").alias("scroll"), "pos"
     )
 
 
-@query
-def first_nonempty(spark, sf_dir):
+@query("first_nonempty_source")
+def _first_nonempty_source(spark, sf_dir):
     rows = v.posts_docs(spark, sf_dir).where(keyword_ci("texto", SOURCE_TEXT))
     return first_nonempty_source(rows, ["target"], "pos").select("target", "candidate", "pos", "texto")
 
 
-@query
-def first_unblocked(spark, sf_dir):
+@query("first_unblocked_source")
+def _first_unblocked_source(spark, sf_dir):
     """Hosts with up to three addresses; the landing page is the first one filed under each."""
     url = F.col("url")
     rank = F.when(F.contains(url, F.lit("?")), 1).when(F.contains(url, F.lit("#")), 2).otherwise(3)
@@ -358,8 +361,8 @@ def first_unblocked(spark, sf_dir):
     )
 
 
-@query
-def skip_failed(spark, sf_dir):
+@query("skip_failed_source")
+def _skip_failed_source(spark, sf_dir):
     """Mobile captures failed; of the others the first page of each language with a fitting link wins."""
     captured = usable_sources(v.pages(spark, sf_dir), v.capture_status("url")).select(
         F.regexp_extract("url", v.LANG_IN_URL, 1).alias("target"), F.col("page_id").alias("priority"), "html"
@@ -371,14 +374,14 @@ def skip_failed(spark, sf_dir):
 # ------------------------------------------------------------------------------------- reports
 
 
-@query
-def result_count(spark, sf_dir):
+@query("result_count")
+def _result_count(spark, sf_dir):
     posts = v.posts_docs(spark, sf_dir).where(keyword_ci("texto", KEYWORD))
     return report.result_count(posts, ["target", "candidate"])
 
 
-@query
-def stage_report(spark, sf_dir):
+@query("stage_report")
+def _stage_report(spark, sf_dir):
     matched = non_blank("texto") & keyword_ci("texto", "en")
     return report.stage_report(
         v.posts_conv(spark, sf_dir),
@@ -390,27 +393,27 @@ def stage_report(spark, sf_dir):
 # ------------------------------------------------------------------------------ scalar functions
 
 
-@query
-def clean_targets(spark, sf_dir):
+@query("clean_target")
+def _clean_target(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents")
     raw = F.concat(F.lit(" \t##"), "text", F.lit("# "))
     return docs.select("doc_id", clean_target(raw, "#").alias("tag"), clean_target("text", "@").alias("name"))
 
 
-@query
-def strip_whitespace(spark, sf_dir):
+@query("strip_ws")
+def _strip_ws(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents")
     return docs.select("doc_id", strip_ws(F.concat(F.lit(WHITESPACE), "text", F.lit(WHITESPACE))).alias("texto"))
 
 
-@query
-def clean_handles(spark, sf_dir):
+@query("clean_handle")
+def _clean_handle(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents")
     return docs.select("doc_id", clean_handle(F.concat(F.lit(" @"), "text", F.lit("@ "))).alias("usuario"))
 
 
-@query
-def parse_times(spark, sf_dir):
+@query("parse_time")
+def _parse_time(spark, sf_dir):
     """Event times as post time strings; errors carry a relative age instead."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     raw = F.when(F.col("event_type") == "error", F.lit("3h")).otherwise(iso)
@@ -421,8 +424,8 @@ def parse_times(spark, sf_dir):
 # --------------------------------------------------------------------------------------- sinks
 
 
-@query
-def csv_roundtrip(spark, sf_dir):
+@query("csv_roundtrip")
+def _csv_roundtrip(spark, sf_dir):
     posts = v.posts_conv(spark, sf_dir).select(
         F.concat(F.lit(" #"), "texto", F.lit(', "quoted" ')).alias("texto"),
         F.when(F.col("usuario") == "system", F.lit("")).otherwise(F.col("usuario")).alias("usuario"),
@@ -434,8 +437,8 @@ def csv_roundtrip(spark, sf_dir):
     return csv_sink.read_csv(spark, folder)
 
 
-@query
-def csv_per_target(spark, sf_dir):
+@query("csv_per_target")
+def _csv_per_target(spark, sf_dir):
     """Written one folder per file name, read back as rows per file name and their number range."""
     name = csv_sink.csv_file_name(F.concat(F.lit("@"), F.col("target").cast("string"), F.lit("@")), "user", "b")
     posts = v.posts_conv(spark, sf_dir).withColumnRenamed("pos", "numero").withColumn("file_name", name)
@@ -450,8 +453,8 @@ def csv_per_target(spark, sf_dir):
     )
 
 
-@query
-def csv_file_names(spark, sf_dir):
+@query("csv_file_names")
+def _csv_file_names(spark, sf_dir):
     raw = F.concat(F.lit("##"), "source", F.lit(" #"), "lang", F.lit("##"))
     docs = v.table(spark, sf_dir, "documents").select("doc_id", raw.alias("target"))
     return docs.select(
@@ -461,15 +464,15 @@ def csv_file_names(spark, sf_dir):
     )
 
 
-@query
-def run_stamp_names(spark, sf_dir):
+@query("run_stamp_names")
+def _run_stamp_names(spark, sf_dir):
     events = v.table(spark, sf_dir, "events")
     name = csv_sink.run_stamp_name(F.lit("user"), F.col("user_id").cast("string"), "ts")
     return events.select("event_id", name.alias("file_name"))
 
 
-@query
-def empty_result(spark, sf_dir):
+@query("empty_result")
+def _empty_result(spark, sf_dir):
     """A search without hits still has the four columns, also when it comes back from CSV."""
     none = v.posts_docs(spark, sf_dir).where(keyword_ci("texto", NO_SUCH_TEXT)).select(
         "texto",
@@ -495,16 +498,16 @@ def _scroll_files(spark, sf_dir) -> str:
     return folder
 
 
-@query
-def stream_scroll_dedup(spark, sf_dir):
+@query("stream_scroll_dedup")
+def _stream_scroll_dedup(spark, sf_dir):
     stream = read_scroll_stream(spark, _scroll_files(spark, sf_dir), SCROLL_SCHEMA, files_per_batch=2)
     return run_distinct(stream, spark).select(
         F.col("target").cast("long").alias("target"), "texto", "usuario", "timestamp", F.col("scroll").cast("long").alias("scroll"), "pos"
     )
 
 
-@query
-def stream_scroll_stop(spark, sf_dir):
+@query("stream_scroll_stop")
+def _stream_scroll_stop(spark, sf_dir):
     stream = read_scroll_stream(spark, _scroll_files(spark, sf_dir), SCROLL_SCHEMA, files_per_batch=2)
     return run_stopped(stream, spark, **SCROLL_LIMITS).select(
         F.col("target").cast("long").alias("target"), "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
@@ -524,31 +527,31 @@ def _page_job(spark, sf_dir, job, kind, engine, spec, **kw):
     ).select("req_id", *POST_COLUMNS)
 
 
-@query
-def job_hashtag_a(spark, sf_dir):
+@query("job_hashtag_a")
+def _job_hashtag_a(spark, sf_dir):
     return _page_job(spark, sf_dir, jobs.hashtag_posts_a, "hashtag", "a", v.LINK_SPEC, blocked=BLOCKED)
 
 
-@query
-def job_hashtag_b(spark, sf_dir):
+@query("job_hashtag_b")
+def _job_hashtag_b(spark, sf_dir):
     return _page_job(spark, sf_dir, jobs.hashtag_posts_b, "hashtag", "b", LINKS_PLAIN, blocked=BLOCKED)
 
 
-@query
-def job_user_a(spark, sf_dir):
+@query("job_user_a")
+def _job_user_a(spark, sf_dir):
     return _page_job(spark, sf_dir, jobs.user_posts_a, "user", "a", BOLD_STRICT)
 
 
-@query
-def job_user_b(spark, sf_dir):
+@query("job_user_b")
+def _job_user_b(spark, sf_dir):
     captures, book = v.host_scrolls(spark, sf_dir, LINKS_VISIBLE)
     return jobs.user_posts_b(
         v.host_requests(spark, sf_dir), captures, LINKS_VISIBLE, book, blocked=("ref=", "#top")
     )
 
 
-@query
-def job_page_report(spark, sf_dir):
+@query("job_page_report")
+def _job_page_report(spark, sf_dir):
     """Counts per stage for every page every hashtag request could use."""
     results = jobs.page_results(
         v.requests(spark, sf_dir, "hashtag", "a"),
@@ -571,9 +574,7 @@ def _all_requests(spark, sf_dir):
     return reduce(DataFrame.unionByName, each)
 
 
-@query
-def request_batch(spark, sf_dir):
-    """Requests of all kinds in one plan, and the report on them."""
+def _batch(spark, sf_dir):
     asked = _all_requests(spark, sf_dir)
     specs = {
         ("hashtag", "a"): v.LINK_SPEC,
@@ -584,11 +585,22 @@ def request_batch(spark, sf_dir):
     results = jobs.run_requests(
         asked, v.snapshots(spark, sf_dir), specs, v.address_book(spark, sf_dir), BLOCKED
     )
-    return jobs.run_report(asked, results)
+    return asked, results
+
+
+@query("request_batch")
+def _request_batch(spark, sf_dir):
+    """Requests of all kinds in one plan."""
+    return _batch(spark, sf_dir)[1]
+
+
+@query("request_report")
+def _request_report(spark, sf_dir):
+    return jobs.run_report(*_batch(spark, sf_dir))
 
 
-@query
-def failed_requests(spark, sf_dir):
+@query("failed_requests")
+def _failed_requests(spark, sf_dir):
     """Requests by page address; those whose capture failed."""
     filed = v.address_book(spark, sf_dir).select("requested_url", F.col("priority").alias("req_id"))
     asked = filed.select(

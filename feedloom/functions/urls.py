@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ def target_urls(target: Column | str, templates: Sequence[str]) -> Column:
     return F.array(*[fill_template(tpl, t) for tpl in templates])
 
 
+def made_from(url: Column | str, templates: Sequence[str]) -> Column:
+    """Whether the address has the shape of one of the templates. Prefix tests reach the scan."""
+    u = _col(url)
+    tests = []
+    for template in templates:
+        before, after = template.split("{t}")
+        test = u.startswith(before)
+        tests.append(test & u.endswith(after) if after else test)
+    return reduce(lambda a, b: a | b, tests)
+
+
 def urls_by_kind(target: Column | str, kind: Column | str, engine: Column | str) -> Column:
     """The list for each request's kind and engine. The two engines try the hosts in another order."""
     k, e = _col(kind), _col(engine)

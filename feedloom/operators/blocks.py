@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 BLOCK_WIDTH = 1 << 20
 
-# Up to this k, Spark keeps the first k rows of a group in each map task already.
-TASK_LOCAL_LIMIT = 1000
+# Up to this k, each map task keeps the first k rows of a group and the group's one task gets only those:
+# even a million map tasks send it no more than can be sorted there.
+TASK_LOCAL_LIMIT = 32
 
 
 def block_of(order: Column | str, width: int = BLOCK_WIDTH) -> Column:

@@ -14,12 +14,14 @@ its own row. Hashtag jobs and ``user_posts_a`` read the one capture made after s
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import presets
 from feedloom.functions.predicates import not_blocked
+from feedloom.functions.urls import made_from
 from feedloom.operators.cards import candidate_cap, kept_posts, page_posts, read_cards
 from feedloom.operators.fallback import first_nonempty_page, first_unblocked_source, usable_sources
 from feedloom.operators.limits import scroll_stop
@@ -98,13 +100,16 @@ def page_results(
     by_keyword: bool,
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.HASHTAG_BLOCKED_MARKERS,
+    templates: Sequence[str] = presets.HASHTAG_URLS_A,
 ) -> DataFrame:
     """One row per (request, address) that was captured: ``found`` cards and its array of ``posts``.
 
     A page is read once however many requests want it, and no further than the largest candidate cap
-    any request has.
+    any request has. Without an address book, pages of other kinds of address are not read at all.
     """
     candidates = candidates_of(requests, address_book)
+    if address_book is None:
+        snapshots = snapshots.where(made_from("requested_url", templates))
     reads = _captures_read(snapshots, candidates, blocked)
     widest = with_defaults(requests).agg(F.when(F.min("max_tweets") >= 0, F.max("max_tweets")))
     cards = _cards_of(_usable(snapshots, blocked), spec, widest.scalar())
@@ -148,7 +153,9 @@ def hashtag_posts_b(
 ) -> DataFrame:
     """All posts of the first address with any, keyword or not; numbered by position on the page."""
     return _rows_of_first_source(
-        page_results(requests, snapshots, spec, "b", False, address_book, blocked)
+        page_results(
+            requests, snapshots, spec, "b", False, address_book, blocked, presets.HASHTAG_URLS_B
+        )
     )
 
 
@@ -164,7 +171,9 @@ def user_posts_a(
     ``failed_requests``.
     """
     return _rows_of_first_source(
-        page_results(requests, snapshots, spec, "a", False, address_book, blocked=())
+        page_results(
+            requests, snapshots, spec, "a", False, address_book, (), presets.USER_URLS_A
+        )
     )
 
 
@@ -181,6 +190,8 @@ def user_posts_b(
     Of the captured addresses the first whose landing page (scroll 0) is no sign-in page is used.
     """
     candidates = candidates_of(requests, address_book)
+    if address_book is None:
+        snapshots = snapshots.where(made_from("requested_url", presets.USER_URLS_B))
     ok = usable_sources(snapshots)
     landing = ok.where(F.col("scroll") == 0).select("requested_url", "url")
     chosen = first_unblocked_source(
@@ -212,26 +223,29 @@ def user_posts_b(
 
 def run_requests(
     requests: DataFrame,
-    snapshots: DataFrame,
+    snapshots: DataFrame | Mapping[tuple[str, str], DataFrame],
     specs: Mapping[tuple[str, str], CardSpec] = DEFAULT_SPECS,
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.HASHTAG_BLOCKED_MARKERS,
 ) -> DataFrame:
-    """Requests of all kinds and engines in one plan, results keyed by ``req_id``."""
+    """Requests of all kinds and engines in one plan, results keyed by ``req_id``.
+
+    ``snapshots`` is one table for all, or one per (kind, engine), for captures kept apart or extracted
+    beforehand.
+    """
 
-    def of(kind: str, engine: str) -> DataFrame:
-        return requests.where((F.col("kind") == kind) & (F.col("engine") == engine))
+    def of(kind: str, engine: str) -> tuple[DataFrame, DataFrame, CardSpec, DataFrame | None]:
+        asked = requests.where((F.col("kind") == kind) & (F.col("engine") == engine))
+        pages = snapshots if isinstance(snapshots, DataFrame) else snapshots[kind, engine]
+        return asked, pages, specs[kind, engine], address_book
 
     parts = [
-        hashtag_posts_a(of("hashtag", "a"), snapshots, specs["hashtag", "a"], address_book, blocked),
-        hashtag_posts_b(of("hashtag", "b"), snapshots, specs["hashtag", "b"], address_book, blocked),
-        user_posts_a(of("user", "a"), snapshots, specs["user", "a"], address_book),
-        user_posts_b(of("user", "b"), snapshots, specs["user", "b"], address_book, blocked),
+        hashtag_posts_a(*of("hashtag", "a"), blocked),
+        hashtag_posts_b(*of("hashtag", "b"), blocked),
+        user_posts_a(*of("user", "a")),
+        user_posts_b(*of("user", "b"), blocked),
     ]
-    out = parts[0].select(*RESULT_COLUMNS)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*RESULT_COLUMNS))
-    return out
+    return reduce(DataFrame.unionByName, [p.select(*RESULT_COLUMNS) for p in parts])
 
 
 def page_report(results: DataFrame) -> DataFrame:
