@@ -158,16 +158,18 @@ def capped(cards: Column, found: Column, limit: Column) -> Column:
     return F.slice(cards, F.lit(1), candidate_cap(found, limit).cast("int"))
 
 
-def stopped_at_min(kept: Column, least: Column, engine: str) -> Column:
+def stopped_at_min(kept: Column, first_seen: Column, least: Column, engine: str) -> Column:
     """The page's kept posts up to the early stop.
 
-    Engine A looks after each kept post, so at least one passes. Engine B looks after each candidate, so
-    with a minimum of zero or less only the first candidate is ever seen.
+    Engine A looks after each kept post, so at least one passes. Engine B looks after each candidate it
+    could read, so with a minimum of zero or less only the first of those (``first_seen``) is ever used.
     """
     first = F.slice(kept, F.lit(1), F.greatest(least, F.lit(1)).cast("int"))
     if engine == "a":
         return first
-    return F.when(least > 0, first).otherwise(F.filter(kept, lambda p: p["numero"] == 1))
+    return F.when(least > 0, first).otherwise(
+        F.filter(kept, lambda p: p["numero"] == first_seen)
+    )
 
 
 def page_posts(
@@ -179,8 +181,12 @@ def page_posts(
     term: Column | str | None = None,
 ) -> DataFrame:
     """Add ``posts``: the page's posts after cap, field choice, filters and early stop, in page order."""
-    kept = kept_posts(capped(F.col("cards"), F.col("found"), limit), spec, term)
-    return cards.withColumn("posts", stopped_at_min(kept, least, engine))
+    taken = capped(F.col("cards"), F.col("found"), limit)
+    read = F.filter(taken, lambda c: c["error"].isNull())
+    first_seen = F.get(read, F.lit(0))["pos"]
+    return cards.withColumn(
+        "posts", stopped_at_min(kept_posts(read, spec, term), first_seen, least, engine)
+    )
 
 
 def quarantined(cards: DataFrame, keys: list[str]) -> DataFrame:

@@ -209,9 +209,10 @@ def user_posts_b(
         "scroll",
         kept_posts(F.col("cards"), spec).alias("posts"),
     )
+    # The outer form: an inner explode would have the posts worked out a second time to filter on them.
     rows = built.join(sources, "requested_url").select(
-        "req_id", "max_tweets", "min_tweets", "max_scrolls", "scroll", F.explode("posts").alias("_p")
-    ).select(
+        "req_id", "max_tweets", "min_tweets", "max_scrolls", "scroll", F.explode_outer("posts").alias("_p")
+    ).where(F.col("_p").isNotNull()).select(
         "req_id", "max_tweets", "min_tweets", "max_scrolls", "scroll",
         *[F.col("_p")[c].alias(c) for c in _RECORD],
         F.col("_p")["numero"].alias("pos"),

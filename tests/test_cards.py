@@ -192,6 +192,16 @@ def test_quarantine_and_results_split(spark):
     assert [r[0] for r in kept.collect()] == [1]
 
 
+@pytest.mark.parametrize("engine, least, want", [("a", 0, [2]), ("b", 0, [2]), ("b", 1, [2]), ("b", 2, [2, 3])])
+def test_early_stop_passes_over_unreadable_cards(spark, engine, least, want):
+    schema = "found int, cards array<struct<pos:long,texts:array<array<string>>,users:array<array<string>>,times:array<array<struct<attr:string,text:string>>>,whole:string,error:string>>"
+    bad = (1, [], [], [], None, "ValueError: x")
+    good = [(i, [["a"], [], []], [[]], [[]], "a", None) for i in (2, 3)]
+    cards = spark.createDataFrame([(3, [bad, *good])], schema)
+    got = page_posts(cards, presets.HASHTAG_B, engine, F.lit(30), F.lit(least)).select("posts.numero")
+    assert got.collect()[0][0] == want
+
+
 def test_flat_and_tree_agree(spark, sf_dir):
     from feedloom.catalog import views as v
 
