@@ -33,16 +33,20 @@ BLOCK = frozenset(
 )
 # An opening tag on the left ends an open element on the right, up to the nearest of the containers.
 IMPLIED_END = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
+    "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "option": (frozenset({"option"}), frozenset({"select"})),
+    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})),
+    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
 }
+_PARAGRAPH = frozenset({"p"})
+_BUTTON_SCOPE = frozenset({"button"})
+_TABLE_SCOPE = frozenset({"button", "table"})
+_NO_ATTRS: dict = {}
 
-_BLANKS = re.compile(r"[ \t\n\r\f]+")
+_BLANKS = re.compile(r"[\t\n\r\f][ \t\n\r\f]*| [ \t\n\r\f]+")
 _STEP = re.compile(r"(?:^(?P<tag>[\w-]+))|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)=(['\"])(?P<val>.*?)\4\]")
 _BREAK = "\n"
 
@@ -70,7 +74,9 @@ class PageTree(HTMLParser):
     def __init__(self, rendering: str):
         super().__init__(convert_charrefs=True)
         self.lines = rendering == "lines"
-        self.paragraph_gap = 1 if self.lines else 2
+        self.gaps = dict.fromkeys(BLOCK, 1)
+        if not self.lines:
+            self.gaps["p"] = 2
         self.tags: list[str] = []
         self.attrs: list[dict] = []
         self.parents: list[int] = []
@@ -79,57 +85,54 @@ class PageTree(HTMLParser):
         self.end: list[int] = []
         self.pieces: list = []
         self.by_tag: dict[str, list[int]] = {}
-        self._open: list[int] = []
+        self._open: list[tuple] = []  # (element, tag, is hidden, keeps blanks)
+        self._depth: dict[str, int] = {}  # open elements per tag
         self._unseen = 0
         self._pre = 0
 
-    def _boundary(self, tag: str) -> None:
-        if tag in BLOCK:
-            self.pieces.append(self.paragraph_gap if tag == "p" else 1)
-
-    @staticmethod
-    def _hides(tag: str, attrs: dict) -> bool:
-        style = (attrs.get("style") or "").replace(" ", "").lower()
-        return tag in UNSEEN or "hidden" in attrs or "display:none" in style
-
-    @staticmethod
-    def _keeps_blanks(tag: str, attrs: dict) -> bool:
-        return tag == "pre" or "white-space:pre" in (attrs.get("style") or "").replace(" ", "").lower()
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
 
     def handle_starttag(self, tag, attr_list):
-        if tag == "br":
-            if not self._unseen:
-                self.pieces.append(_BREAK)
-        elif tag in BLOCK or tag in IMPLIED_END:
-            if tag in BLOCK:
-                self._close_through({"p"}, {"button", "table"} if tag != "table" else {"button"})
-            if tag in IMPLIED_END:
-                self._close_through(*IMPLIED_END[tag])
-        attrs = {}
-        for name, value in attr_list:
-            attrs.setdefault(name, value if value is not None else "")
-        hides = self._hides(tag, attrs)
+        gap = self.gaps.get(tag)
+        if gap and self._depth.get("p"):
+            self._close_through(_PARAGRAPH, _TABLE_SCOPE if tag != "table" else _BUTTON_SCOPE)
+        if tag in IMPLIED_END:
+            self._close_through(*IMPLIED_END[tag])
+        hides, keeps = tag in UNSEEN, tag == "pre"
+        attrs = _NO_ATTRS
+        if attr_list:
+            attrs = {name: value or "" for name, value in reversed(attr_list)}  # the first one counts
+            style = attrs.get("style", "").replace(" ", "").lower()
+            hides = hides or "hidden" in attrs or "display:none" in style
+            keeps = keeps or "white-space:pre" in style
         if not (self._unseen or hides):
-            self._boundary(tag)
+            if gap:
+                self.pieces.append(gap)
+            elif tag == "br":
+                self.pieces.append(_BREAK)
         n = len(self.tags)
         self.tags.append(tag)
         self.attrs.append(attrs)
-        self.parents.append(self._open[-1] if self._open else -1)
+        self.parents.append(self._open[-1][0] if self._open else -1)
         self.first.append(len(self.pieces))
         self.last.append(len(self.pieces))
         self.end.append(n)
         self.by_tag.setdefault(tag, []).append(n)
         if tag not in VOID:
-            self._open.append(n)
+            self._open.append((n, tag, hides, keeps))
+            self._depth[tag] = self._depth.get(tag, 0) + 1
             self._unseen += hides
-            self._pre += self._keeps_blanks(tag, attrs)
+            self._pre += keeps
 
     def handle_startendtag(self, tag, attr_list):
         self.handle_starttag(tag, attr_list)
 
     def handle_endtag(self, tag):
+        if not self._depth.get(tag):
+            return
         for depth in range(len(self._open) - 1, -1, -1):
-            name = self.tags[self._open[depth]]
+            name = self._open[depth][1]
             if name == tag:
                 self._pop_to(depth)
                 return
@@ -154,9 +157,11 @@ class PageTree(HTMLParser):
         self._pop_to(0)
         return self
 
-    def _close_through(self, ends: set, scope: set) -> None:
+    def _close_through(self, ends: frozenset, scope: frozenset) -> None:
+        if not any(self._depth.get(tag) for tag in ends):
+            return
         for depth in range(len(self._open) - 1, -1, -1):
-            name = self.tags[self._open[depth]]
+            name = self._open[depth][1]
             if name in scope:
                 return
             if name in ends:
@@ -164,16 +169,16 @@ class PageTree(HTMLParser):
                 return
 
     def _pop_to(self, depth: int) -> None:
+        last = len(self.tags) - 1
         while len(self._open) > depth:
-            n = self._open.pop()
-            tag, attrs = self.tags[n], self.attrs[n]
+            n, tag, hides, keeps = self._open.pop()
+            self._depth[tag] -= 1
             self.last[n] = len(self.pieces)
-            self.end[n] = len(self.tags) - 1
-            hides = self._hides(tag, attrs)
+            self.end[n] = last
             self._unseen -= hides
-            self._pre -= self._keeps_blanks(tag, attrs)
-            if not (self._unseen or hides):
-                self._boundary(tag)
+            self._pre -= keeps
+            if tag in self.gaps and not (self._unseen or hides):
+                self.pieces.append(self.gaps[tag])
 
     def _fits(self, n: int, step: tuple) -> bool:
         tag, classes, wanted = step
@@ -284,15 +289,18 @@ def page_cards(html: str | None, reader: Reader, cap: int | None = None) -> dict
 def _card(tree: PageTree, reader: Reader, pos: int, n: int, lists: list) -> dict:
     try:
         texts, users, times = ([_within(tree, hits, n) for hits in hit_lists] for hit_lists in lists)
+        texts = [[tree.text(m) for m in hits] for hits in texts]
+        # No mode falls back to the whole card's text when the first match has text of its own.
+        own = next((hits[0] for hits in texts if hits), "").strip()
         return {
             "pos": pos,
-            "texts": [[tree.text(m) for m in hits] for hits in texts],
+            "texts": texts,
             "users": [[tree.text(m) for m in hits] for hits in users],
             "times": [
                 [{"attr": tree.attrs[m].get(reader.time_attr), "text": tree.text(m)} for m in hits]
                 for hits in times
             ],
-            "whole": tree.text(n) if reader.whole else None,
+            "whole": tree.text(n) if reader.whole and not own else None,
             "error": None,
         }
     except Exception as e:  # noqa: BLE001 - one bad card must not lose the others
