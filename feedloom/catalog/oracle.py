@@ -88,6 +88,7 @@ FROM sighted s JOIN stops t ON s.target = t.target WHERE s.scroll <= t.stop"""
 DISTINCT = f"""WITH {SCROLLS}, {sighted("target", "texto, usuario", "scrolls")}
 SELECT target, texto, usuario, CAST(NULL AS VARCHAR) AS "timestamp", scroll, pos FROM sighted"""
 
+# The ordered addresses of hashtag and profile pages.
 HASHTAG_TEMPLATES_A = [
     "https://twitter.com/search?q=%23{}&src=typed_query&f=top",
     "https://twitter.com/hashtag/{}?src=hashtag_click",

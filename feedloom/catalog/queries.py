@@ -523,6 +523,7 @@ def _page_job(spark, sf_dir, job, kind, engine, spec, **kw):
         v.snapshots(spark, sf_dir),
         spec=spec,
         address_book=v.address_book(spark, sf_dir),
+        prune=False,  # every page is asked for
         **kw,
     ).select("req_id", *POST_COLUMNS)
 
@@ -546,7 +547,7 @@ def _job_user_a(spark, sf_dir):
 def _job_user_b(spark, sf_dir):
     captures, book = v.host_scrolls(spark, sf_dir, LINKS_VISIBLE)
     return jobs.user_posts_b(
-        v.host_requests(spark, sf_dir), captures, LINKS_VISIBLE, book, blocked=("ref=", "#top")
+        v.host_requests(spark, sf_dir), captures, LINKS_VISIBLE, book, blocked=("ref=", "#top"), prune=False
     )
 
 
@@ -561,6 +562,7 @@ def _job_page_report(spark, sf_dir):
         True,
         v.address_book(spark, sf_dir),
         BLOCKED,
+        prune=False,
     )
     return jobs.page_report(results)
 
@@ -583,7 +585,7 @@ def _batch(spark, sf_dir):
         ("user", "b"): LINKS_VISIBLE,
     }
     results = jobs.run_requests(
-        asked, v.snapshots(spark, sf_dir), specs, v.address_book(spark, sf_dir), BLOCKED
+        asked, v.snapshots(spark, sf_dir), specs, v.address_book(spark, sf_dir), BLOCKED, prune=False
     )
     return asked, results
 

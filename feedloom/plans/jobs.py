@@ -9,6 +9,9 @@ Python function. Extraction runs where the page is read and drops ``html``, so m
 meets the requests afterwards are arrays of cards. Hashtag and profile jobs then finish a page's rules on
 its own row. Hashtag jobs and ``user_posts_a`` read the one capture made after scrolling ended;
 ``user_posts_b`` reads every scroll.
+
+With ``prune`` (the default) a job first looks whether the asked addresses are few (``only_requested``), the only
+action taken while a plan is made. Turn it off where requests cover the whole table.
 """
 
 from __future__ import annotations
@@ -80,16 +83,34 @@ def _cards_of(snapshots: DataFrame, spec: CardSpec, cap: Column | None = None) -
     return read_cards(snapshots.select(*columns, "html"), spec, cap).drop("page_error")
 
 
-def only_requested(snapshots: DataFrame, candidates: DataFrame, most: int = 100_000) -> DataFrame:
+def only_requested(
+    snapshots: DataFrame, candidates: DataFrame, most: int = 100_000, listed: int = 1_000
+) -> DataFrame:
     """Leave out pages nobody asked for before they are extracted, if the addresses are few.
 
-    Counts the addresses first, reading no more than ``most`` of them. Beyond that the pages stay as they
-    are: the jobs drop unasked cards anyway, and shuffling markup would cost more than reading it.
+    Looks at no more than ``most`` addresses. Up to ``listed`` become a filter that reaches the scan, up to
+    ``most`` a broadcast; beyond that the pages stay as they are: the jobs drop unasked cards anyway, and
+    shuffling markup would cost more than reading it.
     """
     addresses = candidates.select("requested_url").distinct()
-    if addresses.limit(most + 1).count() > most:
+    some = [r[0] for r in addresses.limit(most + 1).collect()]
+    if len(some) > most:
         return snapshots
-    return snapshots.join(F.broadcast(addresses), "requested_url", "left_semi")
+    if len(some) > listed:
+        return snapshots.join(F.broadcast(addresses), "requested_url", "left_semi")
+    return snapshots.where(F.col("requested_url").isin(some))
+
+
+def _pages_to_read(
+    snapshots: DataFrame,
+    candidates: DataFrame,
+    templates: Sequence[str],
+    address_book: DataFrame | None,
+    prune: bool,
+) -> DataFrame:
+    if address_book is None:
+        snapshots = snapshots.where(made_from("requested_url", templates))
+    return only_requested(snapshots, candidates) if prune else snapshots
 
 
 def page_results(
@@ -101,6 +122,7 @@ def page_results(
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.HASHTAG_BLOCKED_MARKERS,
     templates: Sequence[str] = presets.HASHTAG_URLS_A,
+    prune: bool = True,
 ) -> DataFrame:
     """One row per (request, address) that was captured: ``found`` cards and its array of ``posts``.
 
@@ -108,8 +130,7 @@ def page_results(
     any request has. Without an address book, pages of other kinds of address are not read at all.
     """
     candidates = candidates_of(requests, address_book)
-    if address_book is None:
-        snapshots = snapshots.where(made_from("requested_url", templates))
+    snapshots = _pages_to_read(snapshots, candidates, templates, address_book, prune)
     reads = _captures_read(snapshots, candidates, blocked)
     widest = with_defaults(requests).agg(F.when(F.min("max_tweets") >= 0, F.max("max_tweets")))
     cards = _cards_of(_usable(snapshots, blocked), spec, widest.scalar())
@@ -137,11 +158,13 @@ def hashtag_posts_a(
     spec: CardSpec = presets.HASHTAG_A,
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.HASHTAG_BLOCKED_MARKERS,
+    prune: bool = True,
 ) -> DataFrame:
     """Posts that carry the tag, from the first address with any; numbered by position on the page."""
-    return _rows_of_first_source(
-        page_results(requests, snapshots, spec, "a", True, address_book, blocked)
+    results = page_results(
+        requests, snapshots, spec, "a", True, address_book, blocked, presets.HASHTAG_URLS_A, prune
     )
+    return _rows_of_first_source(results)
 
 
 def hashtag_posts_b(
@@ -150,13 +173,13 @@ def hashtag_posts_b(
     spec: CardSpec = presets.HASHTAG_B,
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.HASHTAG_BLOCKED_MARKERS,
+    prune: bool = True,
 ) -> DataFrame:
     """All posts of the first address with any, keyword or not; numbered by position on the page."""
-    return _rows_of_first_source(
-        page_results(
-            requests, snapshots, spec, "b", False, address_book, blocked, presets.HASHTAG_URLS_B
-        )
+    results = page_results(
+        requests, snapshots, spec, "b", False, address_book, blocked, presets.HASHTAG_URLS_B, prune
     )
+    return _rows_of_first_source(results)
 
 
 def user_posts_a(
@@ -164,17 +187,17 @@ def user_posts_a(
     snapshots: DataFrame,
     spec: CardSpec = presets.USER_A,
     address_book: DataFrame | None = None,
+    prune: bool = True,
 ) -> DataFrame:
     """Posts of a profile page with all three elements. There is one address and no sign-in check.
 
     The source system raises for a failed capture; here such requests have no rows and are listed by
     ``failed_requests``.
     """
-    return _rows_of_first_source(
-        page_results(
-            requests, snapshots, spec, "a", False, address_book, (), presets.USER_URLS_A
-        )
+    results = page_results(
+        requests, snapshots, spec, "a", False, address_book, (), presets.USER_URLS_A, prune
     )
+    return _rows_of_first_source(results)
 
 
 def user_posts_b(
@@ -184,14 +207,14 @@ def user_posts_b(
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.USER_BLOCKED_MARKERS,
     strict_max: bool = False,
+    prune: bool = True,
 ) -> DataFrame:
     """Distinct posts over a profile's scrolls up to the stop rule, numbered 1..n.
 
     Of the captured addresses the first whose landing page (scroll 0) is no sign-in page is used.
     """
     candidates = candidates_of(requests, address_book)
-    if address_book is None:
-        snapshots = snapshots.where(made_from("requested_url", presets.USER_URLS_B))
+    snapshots = _pages_to_read(snapshots, candidates, presets.USER_URLS_B, address_book, prune)
     ok = usable_sources(snapshots)
     landing = ok.where(F.col("scroll") == 0).select("requested_url", "url")
     chosen = first_unblocked_source(
@@ -228,6 +251,7 @@ def run_requests(
     specs: Mapping[tuple[str, str], CardSpec] = DEFAULT_SPECS,
     address_book: DataFrame | None = None,
     blocked: Sequence[str] = presets.HASHTAG_BLOCKED_MARKERS,
+    prune: bool = True,
 ) -> DataFrame:
     """Requests of all kinds and engines in one plan, results keyed by ``req_id``.
 
@@ -241,10 +265,10 @@ def run_requests(
         return asked, pages, specs[kind, engine], address_book
 
     parts = [
-        hashtag_posts_a(*of("hashtag", "a"), blocked),
-        hashtag_posts_b(*of("hashtag", "b"), blocked),
-        user_posts_a(*of("user", "a")),
-        user_posts_b(*of("user", "b"), blocked),
+        hashtag_posts_a(*of("hashtag", "a"), blocked, prune=prune),
+        hashtag_posts_b(*of("hashtag", "b"), blocked, prune=prune),
+        user_posts_a(*of("user", "a"), prune=prune),
+        user_posts_b(*of("user", "b"), blocked, prune=prune),
     ]
     return reduce(DataFrame.unionByName, [p.select(*RESULT_COLUMNS) for p in parts])
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages kept as a parquet table (page_id, url, html), in at least as many splits as there are cores.
+    """Pages kept as a parquet table (page_id, url, html), in enough splits to keep the cores busy.
 
-    Extraction is bound by CPU and runs per split. Only a table of fewer splits than cores is spread
-    out, so what is moved is at most one split per core; a large table is read where it lies.
+    Extraction is bound by CPU and runs per split. Only a table that leaves at least half of the cores
+    idle is spread out; a larger one is read where it lies.
     """
     pages = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    return pages.repartition(cores) if 2 * pages.rdd.getNumPartitions() <= cores else pages
 
 
 def read_page_dumps(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,9 +83,8 @@ def run_distinct(scrolls: DataFrame, spark: SparkSession) -> DataFrame:
         .start()
         .awaitTermination()
     )
-    updates = (
-        spark.read.schema(_SIGHTING_SCHEMA).option("recursiveFileLookup", True).parquet(out)
-    )
+    spark.createDataFrame([], _SIGHTING_SCHEMA).write.parquet(os.path.join(out, "no-batch"))
+    updates = spark.read.schema(_SIGHTING_SCHEMA).option("recursiveFileLookup", True).parquet(out)
     return first_sightings(updates, ["target"], RECORD)
 
 

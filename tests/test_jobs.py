@@ -209,7 +209,11 @@ def test_only_requested_changes_nothing_but_the_pages_read(spark):
     fewer = jobs.only_requested(snapshots, candidates)
     assert 0 < fewer.count() < snapshots.count()
     assert jobs.only_requested(snapshots, candidates, most=1) is snapshots
-    assert collect(jobs.hashtag_posts_b(some, fewer)) == collect(jobs.hashtag_posts_b(some, snapshots))
+    by_join = jobs.only_requested(snapshots, candidates, listed=0)
+    assert by_join.exceptAll(fewer).count() == fewer.exceptAll(by_join).count() == 0
+    want = collect(jobs.hashtag_posts_b(some, snapshots, prune=False))
+    assert want and collect(jobs.hashtag_posts_b(some, snapshots)) == want
+    assert collect(jobs.hashtag_posts_b(some, by_join, prune=False)) == want
 
 
 def test_failed_requests(spark):

@@ -58,3 +58,11 @@ def test_stop_rule(spark, landed, least, most, last):
     want = scroll_stop(batch, ["target"], RECORD, least, most, last)
     got = run_stopped(read_scroll_stream(spark, folder, SCROLL_SCHEMA), spark, least, most, last)
     assert as_set(got, *columns) == as_set(want, *columns)
+
+
+def test_nothing_has_arrived(spark, tmp_path):
+    folder = tmp_path / "none"
+    folder.mkdir()
+    stream = read_scroll_stream(spark, str(folder), SCROLL_SCHEMA)
+    assert run_distinct(stream, spark).count() == 0
+    assert run_stopped(stream, spark, 1, 2, 3).count() == 0
