@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom import presets
 from feedloom.operators.blocks import dense_number
 from feedloom.operators.cards import explode_cards_flat, read_cards
+from feedloom.schema import PAGE_SCHEMA
 from feedloom.sources.pages import read_pages
 
 # Cards of two kinds: navigation links (flat markup), and articles (nested, with unclosed paragraphs).
@@ -33,8 +34,18 @@ FLAT_LINKS = [(r'(?s)<section class="feed">(.*?)</section>', 1), (r'(?s)<li><a h
 LANG_IN_URL = r"^https?://[^/]+/([a-z]+)/"
 
 
+SCHEMAS = {
+    "pages": PAGE_SCHEMA,
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A given table, its columns declared so that planning does not have to read files."""
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

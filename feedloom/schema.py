@@ -16,6 +16,15 @@ POST_SCHEMA = T.StructType(
     ]
 )
 
+# A kept page.
+PAGE_SCHEMA = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("html", T.StringType()),
+    ]
+)
+
 # One extraction request. `target` is raw: it may carry a sigil or blanks.
 REQUEST_SCHEMA = T.StructType(
     [

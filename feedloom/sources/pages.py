@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.schema import PAGE_SCHEMA
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages kept as a parquet table (page_id, url, html), in enough splits to keep the cores busy.
@@ -12,7 +14,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     Extraction is bound by CPU and runs per split. Only a table that leaves at least half of the cores
     idle is spread out; a larger one is read where it lies.
     """
-    pages = spark.read.parquet(path)
+    pages = spark.read.schema(PAGE_SCHEMA).parquet(path)
     cores = spark.sparkContext.defaultParallelism
     return pages.repartition(cores) if 2 * pages.rdd.getNumPartitions() <= cores else pages
 
