@@ -3,12 +3,12 @@
 A window partitioned by a key puts the whole key into one task, and one key may hold a third of all rows.
 Here a group is cut into *blocks*: runs of its order column of a fixed width, so a block never holds more
 rows than the width. Rows are counted per (key, block) with map-side combining; only that small table
-is windowed per key; its running totals go back to the rows by an equi-join on (key, block). No task sees
-more than one block of rows, and results are exact for any skew. Blocks are a function of the data, so
-a lost executor's work is redone alike.
+is windowed per key; its running totals go back to the rows by an equi-join on (key, block). A large
+group is thus spread over the tasks by its blocks, and results are exact for any skew. Blocks are a
+function of the data, so a lost executor's work is redone alike.
 
-Group keys and the order column must not be NULL, and the order column must be unique inside a group
-(for ``attach`` and ``keep_lowest`` it only decides how finely a group is spread).
+The order column must be unique inside a group (for ``attach`` and ``keep_lowest`` it only decides how finely
+a group is spread). Keys are joined as one struct, so that NULL keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -26,23 +26,36 @@ TASK_LOCAL_LIMIT = 32
 
 
 def block_of(order: Column | str, width: int = BLOCK_WIDTH) -> Column:
-    """The block an integer falls into, named by its lowest value."""
+    """The block an integer falls into, named by its lowest value; NULLs have a block before all."""
     c = (F.col(order) if isinstance(order, str) else order).cast("long")
-    return c - F.pmod(c, F.lit(width))
+    return F.coalesce(c - F.pmod(c, F.lit(width)), F.lit(-(2**63)))
 
 
-def _cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cells = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
+CELL = ["_key", "_block"]
+
+
+def _blocked(rows: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
+    return rows.withColumns({"_key": F.struct(*keys), "_block": block_of(order, width)})
+
+
+def _counted(blocked: DataFrame) -> DataFrame:
+    """Per cell the number of the group's rows before it (``_before``) and in all (``_total``)."""
+    cells = blocked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_key")
     before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     return cells.select(
-        *keys,
-        "_block",
+        *CELL,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(group).alias("_total"),
     )
 
 
+def _place(order: str) -> Column:
+    """A row's number in its group, once its cell's ``_before`` is known."""
+    inside = Window.partitionBy(*CELL).orderBy(order)
+    return (F.col("_before") + F.row_number().over(inside)).cast("long")
+
+
 def dense_number(
     rows: DataFrame,
     keys: Sequence[str],
@@ -50,16 +63,10 @@ def dense_number(
     out: str = "numero",
     width: int = BLOCK_WIDTH,
 ) -> DataFrame:
-    """Number the rows of each group 1..n by ``order`` (unique inside the group), without gaps."""
-    keys = list(keys)
-    blocked = rows.withColumn("_block", block_of(order, width))
-    counts = _cells(blocked, keys).drop("_total")
-    inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    return (
-        blocked.join(counts, [*keys, "_block"])
-        .withColumn(out, (F.col("_before") + F.row_number().over(inside)).cast("long"))
-        .select(*rows.columns, out)
-    )
+    """Number the rows of each group 1..n by ``order``, without gaps."""
+    blocked = _blocked(rows, keys, order, width)
+    counts = _counted(blocked).select(*CELL, "_before")
+    return blocked.join(counts, CELL).withColumn(out, _place(order)).select(*rows.columns, out)
 
 
 def first_rows(
@@ -75,21 +82,19 @@ def first_rows(
     is cut in each map task before the shuffle; anything else goes block by block, and blocks that start
     after the limit are dropped before their rows are sorted.
     """
-    keys = list(keys)
     if isinstance(k, int) and k <= TASK_LOCAL_LIMIT:
         group = Window.partitionBy(*keys).orderBy(order)
         return (
             rows.withColumn("_rn", F.row_number().over(group)).where(F.col("_rn") <= k).drop("_rn")
         )
-    bound = F.lit(k) if isinstance(k, int) else F.col(k)
-    by = keys if isinstance(k, int) or k in keys else [*keys, k]
-    blocked = rows.withColumn("_block", block_of(order, width))
-    counts = _cells(blocked, by).where(F.col("_before") < bound).drop("_total")
-    inside = Window.partitionBy(*by, "_block").orderBy(order)
+    by = list(keys) if isinstance(k, int) else list(dict.fromkeys([*keys, k]))
+    blocked = _blocked(rows, by, order, width)
+    counts = _counted(blocked).select(*CELL, "_before")
+    begun = counts.where(F.col("_before") < (F.lit(k) if isinstance(k, int) else F.col("_key")[k]))
     return (
-        blocked.join(counts, [*by, "_block"])
-        .withColumn("_rn", F.col("_before") + F.row_number().over(inside))
-        .where(F.col("_rn") <= bound)
+        blocked.join(begun, CELL)
+        .withColumn("_place", _place(order))
+        .where(F.col("_place") <= (F.lit(k) if isinstance(k, int) else F.col(k)))
         .select(*rows.columns)
     )
 
@@ -98,10 +103,9 @@ def with_group_size(
     rows: DataFrame, keys: Sequence[str], order: str, out: str, width: int = BLOCK_WIDTH
 ) -> DataFrame:
     """Add the number of rows in the group, joined by block so that a large group stays spread out."""
-    keys = list(keys)
-    blocked = rows.withColumn("_block", block_of(order, width))
-    totals = _cells(blocked, keys).select(*keys, "_block", F.col("_total").alias(out))
-    return blocked.join(totals, [*keys, "_block"]).select(*rows.columns, out)
+    blocked = _blocked(rows, keys, order, width)
+    totals = _counted(blocked).select(*CELL, F.col("_total").alias(out))
+    return blocked.join(totals, CELL).select(*rows.columns, out)
 
 
 def attach(
@@ -112,10 +116,11 @@ def attach(
     The facts meet the table of (key, block) first and travel on with it, so a large group is not
     gathered the way a plain join on the key would gather it.
     """
-    keys = list(keys)
-    blocked = rows.withColumn("_block", block_of(order, width))
-    cells = blocked.select(*keys, "_block").distinct().join(facts, keys)
-    return blocked.join(cells, [*keys, "_block"]).drop("_block")
+    added = [c for c in facts.columns if c not in keys]
+    blocked = _blocked(rows, keys, order, width)
+    known = facts.select(F.struct(*keys).alias("_key"), *added)
+    cells = blocked.select(*CELL).distinct().join(known, "_key")
+    return blocked.join(cells, CELL).select(*rows.columns, *added)
 
 
 def keep_lowest(
@@ -126,9 +131,8 @@ def keep_lowest(
     The winner is found on the (key, rank, block) table; the rows meet it by a semi-join on the same
     three, so neither a large group nor a large winner is gathered.
     """
-    keys = list(keys)
-    blocked = rows.withColumn("_block", block_of(order, width))
-    cells = blocked.select(*keys, rank, "_block").distinct()
-    best = F.min(rank).over(Window.partitionBy(*keys))
-    cells = cells.withColumn("_best", best).where(F.col(rank) == F.col("_best")).drop("_best")
-    return blocked.join(cells, [*keys, rank, "_block"], "left_semi").drop("_block")
+    blocked = _blocked(rows, keys, order, width)
+    best = F.min(rank).over(Window.partitionBy("_key"))
+    cells = blocked.select(*CELL, rank).distinct().withColumn("_best", best)
+    winners = cells.where(F.col(rank) == F.col("_best")).drop("_best")
+    return blocked.join(winners, [*CELL, rank], "left_semi").select(*rows.columns)

@@ -125,21 +125,21 @@ def scroll_stop(
     cards; cards meet it by an equi-join on the same.
     """
     by = _grouping(keys, least, most, max_scrolls)
-    cell = [*by, "scroll", "_block"]
-    seen = first_sightings(rows.where(_live(most, max_scrolls)), by, record).withColumn(
-        "_block", block_of("pos", width)
+    cell = ["_key", "scroll", "_block"]
+    seen = first_sightings(rows.where(_live(most, max_scrolls)), by, record).withColumns(
+        {"_key": F.struct(*by), "_block": block_of("pos", width)}
     )
-    group = Window.partitionBy(*by)
+    group = Window.partitionBy("_key")
     before = group.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
     cells = (
         seen.groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
-                "_earlier": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-            }
+        .select(
+            *cell,
+            "_key.*",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"),
         )
         .where(_is_reached(F.col("_earlier"), F.col("scroll"), least, most))
         .select(*cell, "_before")

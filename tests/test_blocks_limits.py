@@ -222,3 +222,21 @@ def test_scroll_progress(spark):
     df = spark.createDataFrame(rows, "g int, scroll int, pos long, texto string")
     got = limits.scroll_progress(df, ["g"], ["texto"], 3, 9, 10)
     assert sorted(map(tuple, got.collect())) == [(1, 0, 2, 2), (1, 1, 0, 2), (1, 2, 1, 3)]
+
+
+def test_null_keys_are_a_group(spark):
+    rows = [(g, o, o // 4) for g in (None, 1) for o in range(10)]
+    df = spark.createDataFrame(rows, "g int, o long, p int")
+    key = str
+    numbered = blocks.dense_number(df, ["g"], "o", width=WIDTH).collect()
+    assert sorted(map(tuple, numbered), key=key) == sorted([(g, o, p, o + 1) for g, o, p in rows], key=key)
+    first = blocks.first_rows(df.withColumn("k", F.lit(7)), ["g"], "o", "k", width=WIDTH).collect()
+    assert sorted([(r.g, r.o) for r in first], key=key) == sorted([(g, o) for g, o, _ in rows if o < 7], key=key)
+    sized = blocks.with_group_size(df, ["g"], "o", "n", width=WIDTH).collect()
+    assert len(sized) == 20 and {r.n for r in sized} == {10}
+    lowest = first_nonempty_source(df, ["g"], "o", "p", width=WIDTH).collect()
+    assert sorted(map(tuple, lowest), key=key) == sorted([r for r in rows if r[2] == 0], key=key)
+    facts = spark.createDataFrame([(None, "x"), (1, "y")], "g int, f string")
+    assert len(blocks.attach(df, facts, ["g"], "o", width=WIDTH).collect()) == 20
+    cards = spark.createDataFrame([(None, 0, 1, "a"), (None, 1, 1, "b"), (1, 0, 1, "a")], "g int, scroll int, pos long, texto string")
+    assert len(limits.scroll_stop(cards, ["g"], ["texto"], 9, 9, 9).collect()) == 3
