@@ -8,7 +8,7 @@ group is thus spread over the tasks by its blocks, and results are exact for any
 function of the data, so a lost executor's work is redone alike.
 
 The order column must be unique inside a group (for ``attach`` and ``keep_lowest`` it only decides how finely
-a group is spread). Keys are joined as one struct, so that NULL keys are a group like any other.
+a group is spread). NULL keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_WIDTH = 1 << 20
 
@@ -31,28 +32,51 @@ def block_of(order: Column | str, width: int = BLOCK_WIDTH) -> Column:
     return F.coalesce(c - F.pmod(c, F.lit(width)), F.lit(-(2**63)))
 
 
-CELL = ["_key", "_block"]
+def group_columns(rows: DataFrame, keys: Sequence[str]) -> dict[str, Column]:
+    """Columns that are equal just where the keys are equal or both NULL, to join and sort groups by.
 
-
-def _blocked(rows: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
-    return rows.withColumns({"_key": F.struct(*keys), "_block": block_of(order, width)})
-
-
-def _counted(blocked: DataFrame) -> DataFrame:
+    A plain equi-join would drop NULL keys, and a struct of the keys would be slower to sort.
+    """
+    out = {}
+    for i, key in enumerate(keys):
+        field = rows.schema[key]
+        zero = None
+        if isinstance(field.dataType, T.StringType):
+            zero = F.lit("")
+        elif isinstance(field.dataType, T.NumericType):
+            zero = F.lit(0).cast(field.dataType)
+        if zero is None:
+            out[f"_key{i}"] = F.struct(key)
+        else:
+            out[f"_key{i}"] = F.coalesce(F.col(key), zero)
+            out[f"_null{i}"] = F.col(key).isNull()
+    return out
+
+
+def _blocked(
+    rows: DataFrame, keys: Sequence[str], order: str, width: int
+) -> tuple[DataFrame, list[str]]:
+    """The rows with their group and block, and the names of the group's columns."""
+    group = group_columns(rows, keys)
+    return rows.withColumns({**group, "_block": block_of(order, width)}), list(group)
+
+
+def _counted(blocked: DataFrame, group: list[str], *carried: Column) -> DataFrame:
     """Per cell the number of the group's rows before it (``_before``) and in all (``_total``)."""
-    cells = blocked.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy("_key")
-    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(
-        *CELL,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_total"),
+    cells = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"), *carried)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+            "_total": F.sum("_n").over(whole),
+        }
     )
 
 
-def _place(order: str) -> Column:
+def _place(group: list[str], order: str) -> Column:
     """A row's number in its group, once its cell's ``_before`` is known."""
-    inside = Window.partitionBy(*CELL).orderBy(order)
+    inside = Window.partitionBy(*group, "_block").orderBy(order)
     return (F.col("_before") + F.row_number().over(inside)).cast("long")
 
 
@@ -64,9 +88,11 @@ def dense_number(
     width: int = BLOCK_WIDTH,
 ) -> DataFrame:
     """Number the rows of each group 1..n by ``order``, without gaps."""
-    blocked = _blocked(rows, keys, order, width)
-    counts = _counted(blocked).select(*CELL, "_before")
-    return blocked.join(counts, CELL).withColumn(out, _place(order)).select(*rows.columns, out)
+    blocked, group = _blocked(rows, keys, order, width)
+    cell = [*group, "_block"]
+    counts = _counted(blocked, group).select(*cell, "_before")
+    placed = blocked.join(counts, cell).withColumn(out, _place(group, order))
+    return placed.select(*rows.columns, out)
 
 
 def first_rows(
@@ -87,25 +113,23 @@ def first_rows(
         return (
             rows.withColumn("_rn", F.row_number().over(group)).where(F.col("_rn") <= k).drop("_rn")
         )
-    by = list(keys) if isinstance(k, int) else list(dict.fromkeys([*keys, k]))
-    blocked = _blocked(rows, by, order, width)
-    counts = _counted(blocked).select(*CELL, "_before")
-    begun = counts.where(F.col("_before") < (F.lit(k) if isinstance(k, int) else F.col("_key")[k]))
-    return (
-        blocked.join(begun, CELL)
-        .withColumn("_place", _place(order))
-        .where(F.col("_place") <= (F.lit(k) if isinstance(k, int) else F.col(k)))
-        .select(*rows.columns)
-    )
+    bound = F.lit(k) if isinstance(k, int) else F.col(k)
+    blocked, group = _blocked(rows, keys, order, width)
+    cell = [*group, "_block"]
+    counts = _counted(blocked, group, F.any_value(bound).alias("_bound"))
+    begun = counts.where(F.col("_before") < F.col("_bound")).select(*cell, "_before")
+    placed = blocked.join(begun, cell).withColumn("_place", _place(group, order))
+    return placed.where(F.col("_place") <= bound).select(*rows.columns)
 
 
 def with_group_size(
     rows: DataFrame, keys: Sequence[str], order: str, out: str, width: int = BLOCK_WIDTH
 ) -> DataFrame:
     """Add the number of rows in the group, joined by block so that a large group stays spread out."""
-    blocked = _blocked(rows, keys, order, width)
-    totals = _counted(blocked).select(*CELL, F.col("_total").alias(out))
-    return blocked.join(totals, CELL).select(*rows.columns, out)
+    blocked, group = _blocked(rows, keys, order, width)
+    cell = [*group, "_block"]
+    totals = _counted(blocked, group).select(*cell, F.col("_total").alias(out))
+    return blocked.join(totals, cell).select(*rows.columns, out)
 
 
 def attach(
@@ -117,10 +141,11 @@ def attach(
     gathered the way a plain join on the key would gather it.
     """
     added = [c for c in facts.columns if c not in keys]
-    blocked = _blocked(rows, keys, order, width)
-    known = facts.select(F.struct(*keys).alias("_key"), *added)
-    cells = blocked.select(*CELL).distinct().join(known, "_key")
-    return blocked.join(cells, CELL).select(*rows.columns, *added)
+    blocked, group = _blocked(rows, keys, order, width)
+    cell = [*group, "_block"]
+    known = facts.withColumns(group_columns(facts, keys)).select(*group, *added)
+    cells = blocked.select(*cell).distinct().join(known, group)
+    return blocked.join(cells, cell).select(*rows.columns, *added)
 
 
 def keep_lowest(
@@ -131,8 +156,9 @@ def keep_lowest(
     The winner is found on the (key, rank, block) table; the rows meet it by a semi-join on the same
     three, so neither a large group nor a large winner is gathered.
     """
-    blocked = _blocked(rows, keys, order, width)
-    best = F.min(rank).over(Window.partitionBy("_key"))
-    cells = blocked.select(*CELL, rank).distinct().withColumn("_best", best)
-    winners = cells.where(F.col(rank) == F.col("_best")).drop("_best")
-    return blocked.join(winners, [*CELL, rank], "left_semi").select(*rows.columns)
+    blocked, group = _blocked(rows, keys, order, width)
+    cell = [*group, "_block", rank]
+    best = F.min(rank).over(Window.partitionBy(*group))
+    cells = blocked.select(*cell).distinct().withColumn("_best", best)
+    winners = cells.where(F.col(rank) == F.col("_best")).select(*cell)
+    return blocked.join(winners, cell, "left_semi").select(*rows.columns)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.operators.blocks import BLOCK_WIDTH, block_of, first_rows, with_group_size
+from feedloom.operators.blocks import BLOCK_WIDTH, block_of, first_rows, group_columns, with_group_size
 from feedloom.operators.cards import candidate_cap
 
 
@@ -125,23 +125,27 @@ def scroll_stop(
     cards; cards meet it by an equi-join on the same.
     """
     by = _grouping(keys, least, most, max_scrolls)
-    cell = ["_key", "scroll", "_block"]
-    seen = first_sightings(rows.where(_live(most, max_scrolls)), by, record).withColumns(
-        {"_key": F.struct(*by), "_block": block_of("pos", width)}
-    )
-    group = Window.partitionBy("_key")
-    before = group.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = group.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
+    seen = first_sightings(rows.where(_live(most, max_scrolls)), by, record)
+    group = group_columns(seen, by)
+    seen = seen.withColumns({**group, "_block": block_of("pos", width)})
+    cell = [*group, "scroll", "_block"]
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("scroll", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy("scroll").rangeBetween(Window.unboundedPreceding, -1)
     cells = (
         seen.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *cell,
-            "_key.*",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"),
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.any_value(_value(least)).alias("_least"),
+            F.any_value(_value(most)).alias("_most"),
+        )
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+                "_earlier": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+            }
         )
-        .where(_is_reached(F.col("_earlier"), F.col("scroll"), least, most))
+        .where(_is_reached(F.col("_earlier"), F.col("scroll"), "_least", "_most"))
         .select(*cell, "_before")
     )
     inside = Window.partitionBy(*cell).orderBy("pos")
