@@ -8,8 +8,8 @@
    form a prefix tree in one order of the block's shingles (frequent first, so that near copies share long paths);
    all sets walk the tree together, a shared path's overlap is computed once, and a subtree is left when even all its
    remaining shingles could not reach the threshold.
-4. Round two: buckets whose members are still in several classes are joined in full, but only sets outside a bucket's
-   main class are walked against its members. So a group of k near copies costs about k, not k * k.
+4. Round two: buckets whose members are still in several classes are joined in full, but only sets outside the main class
+   are walked against all members. So a group of k near copies costs about k, not k * k.
 
 Texts are read twice (the second time only those of nodes that share a bucket) and never shuffled as long as the
 candidate ids can be broadcast. No group is taken into one task: blocks are bounded by MOST_SHINGLES.
@@ -209,9 +209,9 @@ def _chunk(total: Column) -> Column:
 
 
 def _joined(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of all blocks; blocks: (block, part, node, walks)."""
+    """Links of all blocks; blocks: (large, block, part, node, walks)."""
     rows = blocks.join(sets.select("node", "shingles"), "node")
-    return rows.groupBy("block", "part").applyInArrow(join_block(percent), "a bigint, b bigint")
+    return rows.groupBy("large", "block", "part").applyInArrow(join_block(percent), "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
@@ -224,65 +224,67 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
     compared by 64-bit hashes.
     """
     rows = stored(text_of(docs).mapInArrow(sets_with_parts(percent, size), PARTS_SCHEMA), "parts")
-    heads = (
-        rows.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("n", "set_a", "set_b")
-        .agg(F.min(F.struct("doc_id", "parts")).alias("head"), F.count("*").alias("copies"))
-    )
-    nodes = stored(heads.select("n", "set_a", "set_b", F.col("head.doc_id").alias("node"), F.col("head.parts").alias("parts")), "nodes")
+    filled = rows.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = stored(filled.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("node")), "nodes")
 
-    keyed = nodes.select("node", "n", F.explode("parts").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
-    members = stored(keyed.join(shared, "bucket").select("bucket", "least", "node", "n"), "members")
+    heads = small(nodes.withColumnRenamed("node", "doc_id"))
+    keyed = filled.join(heads, ["n", "set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("parts").alias("bucket"))
+    shared = stored(keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "buckets")
+    members = stored(keyed.join(small(shared), "bucket").select("bucket", "least", "node", "n"), "members")
 
-    wanted = members.select("node").distinct()
-    sets = stored(
-        text_of(docs).join(small(wanted.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi").mapInArrow(sets_of_nodes(size), SETS_SCHEMA),
-        "sets",
-    )
-    # A doc_id may stand on rows with different texts, or on repeated rows: one set of each.
-    sets = sets.dropDuplicates(["node", "shingles"]) if nodes.groupBy("node").count().where("count > 1").limit(1).count() or sets.count() > wanted.count() else sets
+    wanted = small(stored(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
+    sets = text_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets_of_nodes(size), SETS_SCHEMA)
+    if filled.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["node", "shingles"])
 
     # Round one: each member against the least node of its buckets, and against those of its block.
     stars = members.where("node <> least").select("least", "node", "n").distinct()
     spread = stars.groupBy("least").agg(_chunk(F.sum("n")).alias("chunks"))
     placed = stars.join(spread, "least").select(F.col("least").alias("block"), F.expr("cast(pmod(xxhash64(node), chunks) as int)").alias("part"), "node")
     centres = spread.select(F.col("least").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("least").alias("node"))
-    first = stored(_joined(placed.union(centres).withColumn("walks", F.lit(True)), sets, percent), "links-1")
+    first = stored(_joined(placed.union(centres).withColumns({"walks": F.lit(True), "large": F.lit(False)}), sets, percent), "links-1")
     comps = connected(first)
 
-    # Round two: buckets that still hold several classes.
+    # Round two: buckets that still hold several classes. Those that overlap make a region; a region that fits one block is
+    # joined whole, so that a set goes there once and not with every bucket; larger regions are joined bucket by bucket.
     labelled = members.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    per = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
-    mixed = (
-        per.groupBy("bucket")
-        .agg(
-            F.max_by("comp", F.struct("k", "comp")).alias("main"),
-            F.count("*").alias("classes"),
-            F.sum("total").alias("total"),
-            F.max(F.struct("k", "comp", "total")).alias("top"),
-            F.sum("mark").alias("mark"),
-            F.sum("k").alias("k"),
-        )
-        .where("classes > 1")
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low < high")
+    still = stored(labelled.join(small(stored(mixed.select("bucket", "first"), "mixed")), "bucket"), "open")
+    regions = connected(still.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("comp", "region")
+    inside = still.select("node", "n").distinct().join(regions, "node")
+    extent = inside.groupBy("region").agg(F.sum("n").alias("extent"))
+    large = F.col("extent") > MOST_SHINGLES
+    labelled = stored(
+        still.join(regions, "node")
+        .join(extent, "region")
+        .select(large.alias("large"), F.when(large, F.col("bucket")).otherwise(F.col("region")).alias("block"), "node", "n", "comp")
+        .distinct(),
+        "open-blocks",
+    )
+    per = labelled.groupBy("large", "block", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
+    grid = (
+        per.groupBy("large", "block")
+        .agg(F.max(F.struct("k", "comp", "total")).alias("top"), F.sum("total").alias("total"), F.sum("mark").alias("mark"), F.sum("k").alias("k"))
+        .select("large", "block", "mark", "k", F.col("top.comp").alias("main"), _chunk(F.col("total") - F.col("top.total")).alias("rows"), _chunk(F.col("total")).alias("cols"))
     )
     # Buckets with the same members need one join.
-    mixed = mixed.groupBy("mark", "k").agg(F.min(F.struct("bucket", "main", "total", (F.col("total") - F.col("top.total")).alias("aside"))).alias("m")).select("m.*")
-    grid = stored(mixed.select("bucket", "main", _chunk(F.col("aside")).alias("rows"), _chunk(F.col("total")).alias("cols")), "grid")
-    there = labelled.join(grid, "bucket").withColumn("own", F.xxhash64("node"))
+    grid = stored(grid.groupBy("mark", "k").agg(F.min(F.struct("large", "block", "main", "rows", "cols")).alias("g")).select("g.*"), "grid")
+    there = labelled.join(grid, ["large", "block"]).withColumn("own", F.xxhash64("node"))
     walkers = there.where("comp <> main").select(
-        F.col("bucket").alias("block"),
+        "large",
+        "block",
         F.explode(F.expr("transform(sequence(0, cols - 1), c -> cast(pmod(own, rows) as int) * cols + c)")).alias("part"),
         "node",
         F.lit(True).alias("walks"),
     )
     stands = there.select(
-        F.col("bucket").alias("block"),
+        "large",
+        "block",
         F.explode(F.expr("transform(sequence(0, rows - 1), r -> r * cols + cast(pmod(own, cols) as int))")).alias("part"),
         "node",
         F.lit(False).alias("walks"),
     )
-    blocks = walkers.union(stands).groupBy("block", "part", "node").agg(F.max("walks").alias("walks"))
+    blocks = walkers.union(stands).groupBy("large", "block", "part", "node").agg(F.max("walks").alias("walks"))
     second = stored(_joined(blocks, sets, percent), "links-2")
     comps = connected(first.union(second)) if second.limit(1).count() else comps
 
