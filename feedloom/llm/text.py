@@ -78,17 +78,26 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts have about ``most`` bytes together; one longer text is a slice of its own."""
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of up to ``rows`` texts with about ``most`` bytes together; one longer text is a slice of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         base = size[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(size, base + most, side="right")))
+        to = min(to, at + rows)
         yield batch.slice(at, to - at)
         at = to
 
 
+def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the bytes' values times powers, and the inverse powers: ``(sums[j] - sums[i]) * down[i]`` is the hash of bytes i to j."""
+    up, down = POWERS.to(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+    return total, down
+
+
 def split_words(data: np.ndarray, at: np.ndarray, fold: bool) -> Words:
     """The words of all texts; ``fold`` lower-cases A-Z."""
     n = len(data)
@@ -102,9 +111,7 @@ def split_words(data: np.ndarray, at: np.ndarray, fold: bool) -> Words:
     after = np.concatenate((inside[1:], [False]))
     start = np.flatnonzero(inside & (fresh[:-1] | ~before))
     end = np.flatnonzero(inside & (fresh[1:] | ~after)) + 1
-    up, down = POWERS.to(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if fold else data] * up, out=total[1:])
+    total, down = running(_LOWER[data] if fold else data)
     return Words(mix((total[end] - total[start]) * down[start]), start, end, np.searchsorted(start, at))
 
 
