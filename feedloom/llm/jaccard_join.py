@@ -28,7 +28,7 @@ from feedloom.llm import text as T
 from feedloom.llm.common import connected, small, stored, text_of
 
 #: Shingles of the sets of one block, apart from single sets that have more.
-MOST_SHINGLES = 150_000
+MOST_SHINGLES = 1_000_000
 #: Growth of the size classes, and equal parts asked for beyond one.
 CLASS_GROWTH, SPARE = 1.5, 2
 #: Cells of the table (shingles x walking sets) held at once.
@@ -245,15 +245,15 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
     first = stored(_joined(placed.union(centres).withColumns({"walks": F.lit(True), "large": F.lit(False)}), sets, percent), "links-1")
     comps = connected(first)
 
-    # Round two: buckets that still hold several classes. Those that overlap make a region; a region that fits one block is
-    # joined whole, so that a set goes there once and not with every bucket; larger regions are joined bucket by bucket.
+    # Round two: buckets that still hold several classes. Those that overlap make a region. A region is joined as a grid of
+    # blocks, or bucket by bucket, whichever sends its sets to fewer blocks; either way all its linked pairs meet.
     labelled = members.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low < high")
     still = stored(labelled.join(small(stored(mixed.select("bucket", "first"), "mixed")), "bucket"), "open")
     regions = connected(still.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("comp", "region")
-    inside = still.select("node", "n").distinct().join(regions, "node")
-    extent = inside.groupBy("region").agg(F.sum("n").alias("extent"))
-    large = F.col("extent") > MOST_SHINGLES
+    inside = still.groupBy("node", "n").agg(F.count("*").alias("times")).join(regions, "node")
+    extent = inside.groupBy("region").agg(F.sum("n").alias("extent"), (F.sum("times") / F.count("*")).alias("times"))
+    large = 2 * _chunk(F.col("extent")) > F.greatest(F.lit(2.0), F.col("times"))
     labelled = stored(
         still.join(regions, "node")
         .join(extent, "region")
