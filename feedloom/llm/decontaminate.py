@@ -125,9 +125,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(cuts, (mark == cuts["_cut_mark"]) & docs["doc_id"].eqNullSafe(cuts["_cut_id"]), "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    parts = F.regexp_extract_all("text", F.lit(f"((?:{_GAP})?{word}|{_GAP}$)"), 1)
-    kept = F.array_join(F.transform(parts, lambda w, i: F.when(F.array_contains("_cuts", i), "").otherwise(w)), "")
-    return joined.select(*[F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    parts = F.regexp_extract_all(docs["text"], F.lit(f"((?:{_GAP})?{word}|{_GAP}$)"), 1)
+    kept = F.array_join(F.transform(parts, lambda w, i: F.when(F.array_contains(cuts["_cuts"], i), "").otherwise(w)), "")
+    return joined.select(*[F.when(cuts["_cuts"].isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -47,7 +47,8 @@ def source_targets(sizes: DataFrame, weights: int = 3) -> DataFrame:
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     sources = sources.withColumn("level", level)
-    sources = sources.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+    # Counting a source as capped raises the others' level while its cap is below the level, and lowers it from there on.
+    sources = sources.withColumn("level", F.max("level").over(every))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
     return sources.select("source", "source_size", target.alias("target"))
 
@@ -92,7 +93,7 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     def joined(part: DataFrame) -> DataFrame:
         mark = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
         same = (mark == part["_mark"]) & docs["doc_id"].eqNullSafe(part["_id"]) & docs["source"].eqNullSafe(part["_source"])
-        return docs.join(part, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "_times", "_id", "_mark", "_source")
+        return docs.join(part, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[part[c] for c in ("_times", "_id", "_mark", "_source")])
 
     once = joined(small(chosen.where("_rows = 1"))).select("_row", "_times")
     again = joined(small(chosen.where("_rows > 1"))).groupBy("_id", "_mark", "_source").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"), F.first("_times").alias("_times"))
@@ -109,7 +110,7 @@ k AS (
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::BIGINT AS weight FROM d GROUP BY source),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
       FROM s WINDOW o AS (ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, (SELECT min(level) FROM l WHERE level * weight <= 3 * source_size) * weight) AS target FROM l),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, (SELECT max(level) FROM l) * weight) AS target FROM l),
 r AS (SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS e,
              sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.mark ROWS UNBOUNDED PRECEDING) - k.size AS before
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
