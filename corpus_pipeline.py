@@ -10,19 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import jaccard_join
+from feedloom.llm import decontaminate, jaccard_join, mix_sources, quality_knn, repair_files
 from feedloom.llm.common import stored
+from feedloom.llm.registry import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled documents vote for."""
+    return quality_knn.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: 3-word shingles, a similarity of 0.9 or more."""
     return jaccard_join.one_of_each(docs)
 
 
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words less than a twentieth lies in benchmark n-grams."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it."""
+    return mix_sources.mixed(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The compressed files of the mixture, read back: doc_id, start, n_tokens, ids_crc32."""
+    return repair_files.encode_and_read(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("benchmark_free", benchmark_free),
+    ("mixture", mixture),
+    ("token_files", token_files),
 ]
 
 #: The classifier and the compressed files have no SQL counterpart; tests hold each stage against brute force.
@@ -31,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
