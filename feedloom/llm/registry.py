@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, jaccard_join, mix_sources, quality_knn, repair_files, toxicity_pu
+from feedloom.llm import (
+    decontaminate,
+    jaccard_join,
+    license_scan,
+    line_templates,
+    mix_sources,
+    quality_knn,
+    quality_rules,
+    repair_files,
+    token_attribution,
+    toxicity_pu,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +38,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
+
+
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return token_attribution.count_by_section(table(spark, sf_dir, "documents"), path, pattern)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +65,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,13 +76,20 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_token_attribution": op4_token_attribution,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_line_templates": op6_line_templates,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op6_line_templates": line_templates.ORACLE,
+    "op9_license_scan": license_scan.ORACLE,
     "op10_mix_sources": mix_sources.ORACLE,
 }
