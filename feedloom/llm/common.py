@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of ids or hashes is broadcast (about 16 bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one file of a narrow table whose number of rows is known.
+FILE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +31,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here, lost tasks are redone from files."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here, lost tasks are redone from files.
+
+    ``rows``, a bound of its rows where one is known, keeps narrow tables in files of FILE_ROWS.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,20 +77,17 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round takes the least label among a node's neighbours and then that label's own label, so that chains shorten
     by doubling. Rounds are cut by written tables; nodes and labels stay in Spark.
     """
-    both = stored(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
-    )
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")), "labels")
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    rows = both.count()
+    first = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp"))
+    labels = stored(first, "labels", rows)
     for _ in range(most_rounds):
-        near = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy("a")
-            .agg(F.min("comp").alias("low"))
-            .select(F.col("a").alias("n"), "low")
-        )
-        once = labels.join(near, labels["node"] == near["n"]).select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("c"))
-        up = labels.select(F.col("node").alias("c"), F.col("comp").alias("cc"))
-        now = stored(once.join(up, "c").select("node", F.least("c", "cc").alias("comp"), (F.least("c", "cc") != F.col("was")).alias("moved")), "labels")
+        known = small(labels, rows)
+        near = both.join(known, both["b"] == known["node"]).groupBy("a").agg(F.min("comp").alias("low")).select(F.col("a").alias("n"), "low")
+        once = near.join(known, near["n"] == known["node"]).select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("c"))
+        up = small(labels.select(F.col("node").alias("c"), F.col("comp").alias("cc")), rows)
+        least = F.least("c", "cc")
+        now = stored(once.join(up, "c").select("node", least.alias("comp"), (least != F.col("was")).alias("moved")), "labels", rows)
         moved = now.where("moved").limit(1).count()
         labels = now.select("node", "comp")
         if not moved:

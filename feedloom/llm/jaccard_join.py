@@ -231,35 +231,39 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
     keyed = filled.join(heads, ["n", "set_a", "set_b", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("parts").alias("bucket"))
     shared = stored(keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "buckets")
     members = stored(keyed.join(small(shared), "bucket").select("bucket", "least", "node", "n"), "members")
+    rows_in = members.count()
 
-    wanted = small(stored(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
+    wanted = small(stored(members.select(F.col("node").alias("doc_id")).distinct(), "wanted", rows_in))
     sets = text_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets_of_nodes(size), SETS_SCHEMA)
     if filled.groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["node", "shingles"])
 
     # Round one: each member against the least node of its buckets, and against those of its block.
     stars = members.where("node <> least").select("least", "node", "n").distinct()
-    spread = stars.groupBy("least").agg(_chunk(F.sum("n")).alias("chunks"))
+    stars = stored(stars, "stars", rows_in)
+    spread = small(stored(stars.groupBy("least").agg(_chunk(F.sum("n")).alias("chunks")), "spread", rows_in), rows_in)
     placed = stars.join(spread, "least").select(F.col("least").alias("block"), F.expr("cast(pmod(xxhash64(node), chunks) as int)").alias("part"), "node")
     centres = spread.select(F.col("least").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("least").alias("node"))
-    first = stored(_joined(placed.union(centres).withColumns({"walks": F.lit(True), "large": F.lit(False)}), sets, percent), "links-1")
+    first = stored(_joined(placed.union(centres).withColumns({"walks": F.lit(True), "large": F.lit(False)}), sets, percent), "links-1", rows_in)
     comps = connected(first)
 
-    # Round two: buckets that still hold several classes. Those that overlap make a region. A region is joined as a grid of
+    # Round two: buckets that still hold several classes. Classes that meet there make a region. A region is joined as a grid of
     # blocks, or bucket by bucket, whichever sends its sets to fewer blocks; either way all its linked pairs meet.
-    labelled = members.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low < high")
-    still = stored(labelled.join(small(stored(mixed.select("bucket", "first"), "mixed")), "bucket"), "open")
-    regions = connected(still.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()).withColumnRenamed("comp", "region")
-    inside = still.groupBy("node", "n").agg(F.count("*").alias("times")).join(regions, "node")
-    extent = inside.groupBy("region").agg(F.sum("n").alias("extent"), (F.sum("times") / F.count("*")).alias("times"))
+    labelled = members.join(small(comps, rows_in), "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    still = stored(labelled.join(small(stored(mixed.select("bucket", "low"), "mixed", rows_in), rows_in), "bucket"), "open", rows_in)
+    regions = connected(still.where("comp <> low").select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct())
+    regions = small(regions.select(F.col("node").alias("comp"), F.col("comp").alias("region")), rows_in)
+    inside = still.groupBy("node", "n", "comp").agg(F.count("*").alias("times")).join(regions, "comp")
+    extent = stored(inside.groupBy("region").agg(F.sum("n").alias("extent"), (F.sum("times") / F.count("*")).alias("times")), "extents", rows_in)
     large = 2 * _chunk(F.col("extent")) > F.greatest(F.lit(2.0), F.col("times"))
     labelled = stored(
-        still.join(regions, "node")
-        .join(extent, "region")
+        still.join(regions, "comp")
+        .join(small(extent, rows_in), "region")
         .select(large.alias("large"), F.when(large, F.col("bucket")).otherwise(F.col("region")).alias("block"), "node", "n", "comp")
         .distinct(),
         "open-blocks",
+        rows_in,
     )
     per = labelled.groupBy("large", "block", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
     grid = (
@@ -268,8 +272,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
         .select("large", "block", "mark", "k", F.col("top.comp").alias("main"), _chunk(F.col("total") - F.col("top.total")).alias("rows"), _chunk(F.col("total")).alias("cols"))
     )
     # Buckets with the same members need one join.
-    grid = stored(grid.groupBy("mark", "k").agg(F.min(F.struct("large", "block", "main", "rows", "cols")).alias("g")).select("g.*"), "grid")
-    there = labelled.join(grid, ["large", "block"]).withColumn("own", F.xxhash64("node"))
+    grid = stored(grid.groupBy("mark", "k").agg(F.min(F.struct("large", "block", "main", "rows", "cols")).alias("g")).select("g.*"), "grid", rows_in)
+    there = labelled.join(small(grid, rows_in), ["large", "block"]).withColumn("own", F.xxhash64("node"))
     walkers = there.where("comp <> main").select(
         "large",
         "block",
