@@ -171,8 +171,8 @@ landing AS (
   SELECT host, priority, url, page_id FROM (
     SELECT *, row_number() OVER (PARTITION BY host, priority ORDER BY page_id) AS nth FROM hosted) x WHERE nth = 1),
 unblocked AS (
-  SELECT host, min(priority) AS priority FROM landing
-  WHERE NOT (contains(url, 'ref=') OR contains(url, '#top')) OR priority = 3 GROUP BY host)"""
+  SELECT host, coalesce(min(priority) FILTER (WHERE NOT (contains(url, 'ref=') OR contains(url, '#top'))), max(priority)) AS priority
+  FROM landing GROUP BY host)"""
 
 JOB_USER_B = f"""WITH {LINKS}, {HOSTS},
 profile AS (SELECT host, min(page_id) AS req_id FROM hosted GROUP BY host),
@@ -192,8 +192,10 @@ FROM sighted s JOIN stops t ON s.req_id = t.req_id WHERE s.scroll <= t.stop"""
 # Profiles whose addresses were captured once: the first page that is no sign-in page, its distinct posts.
 ONE_SCROLL = f"""{GRID}, {BOOK}, {reqs(30_000_000)},
 usable AS (
-  SELECT clean, min(page_id) AS page_id FROM filed
-  WHERE NOT contains(url, '://m.') AND (NOT contains(url, 'spam-farm') OR page_id = 3) GROUP BY clean),
+  SELECT clean, page_id FROM (
+    SELECT *, coalesce(min(page_id) FILTER (WHERE NOT contains(url, 'spam-farm')) OVER (PARTITION BY clean),
+                       max(page_id) OVER (PARTITION BY clean)) AS best FROM filed) x
+  WHERE page_id = best AND NOT contains(url, '://m.')),
 shown AS (
   SELECT r.req_id, {strip("k.texto")} AS texto, k.href, min(k.pos) AS pos
   FROM reqs r JOIN usable u ON r.clean = u.clean JOIN links k ON k.page_id = u.page_id
@@ -252,8 +254,8 @@ SELECT target, pos, texto FROM docs WHERE contains(texto, '#the') OR contains(te
     "quarantine_bad_rows": """SELECT page_id, TRY_CAST(part AS BIGINT) AS article,
        CASE WHEN TRY_CAST(part AS BIGINT) IS NULL THEN 'not a number: ' || part END AS error
 FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/[^/]+/([^?#]*)', 1) AS part FROM pages) p""",
-    "quarantine_bad_cards": """SELECT page_id, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS error
-FROM pages WHERE html IS NULL""",
+    "quarantine_bad_cards": """SELECT page_id, CAST(NULL AS BIGINT) AS pos, 'no markup' AS error
+FROM pages WHERE html IS NULL OR page_id % 7 = 3""",
     "filter_domains": """SELECT * FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) p
 WHERE host ILIKE '%THER%' OR host ILIKE '%x.example.net%' OR host ILIKE '%cheap-pills%'""",
     "filter_required_keys": """SELECT event_id, list_contains(json_keys(props), 'name') AS named
@@ -295,7 +297,7 @@ SELECT target, count(*) AS found, count(*) < 6 AS shortfall FROM conv GROUP BY t
     "number_source_pos": f"""WITH {RAW_LINKS}
 SELECT page_id, pos AS numero, texto FROM links WHERE contains(lower(texto), 'th')""",
     "number_dense": """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS numero
-FROM events WHERE event_type = 'purchase'""",
+FROM events""",
     "accumulate_distinct": DISTINCT,
     "first_nonempty_source": f"""WITH {DOCS}
 SELECT target, candidate, pos, texto FROM (
@@ -308,8 +310,7 @@ SELECT target, page_id AS priority, pos, texto FROM (
     SELECT *, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS target FROM links
     WHERE NOT contains(url, '://m.') AND contains(lower(texto), 'an')) k) b WHERE page_id = best""",
     "result_count": f"""WITH {DOCS}
-SELECT target, candidate, count(*) AS n_rows FROM docs
-WHERE contains(lower(texto), 'tion') GROUP BY target, candidate""",
+SELECT target, candidate, count(*) AS n_rows FROM docs GROUP BY target, candidate""",
     "stage_report": f"""WITH {CONV}
 SELECT target, count(*) AS found, count(*) FILTER (WHERE pos <= 6) AS inspected,
        count(*) FILTER (WHERE {strip("texto")} <> '') AS nonblank,

@@ -213,17 +213,15 @@ def _quarantine_bad_rows(spark, sf_dir):
     """The last path part of the address as a number; addresses where it is none are set aside."""
     part = F.regexp_extract("url", r"^https?://[^/]+/[^/]+/([^?#]*)", 1)
     filed = v.table(spark, sf_dir, "pages").select("page_id", part.alias("part"))
-    good, bad = records.split_tolerant(
-        filed, F.col("part").try_cast("bigint"), F.concat(F.lit("not a number: "), "part"), "article"
-    )
-    return good.select("page_id", "article", F.lit(None).cast("string").alias("error")).unionByName(
-        bad.select("page_id", F.lit(None).cast("bigint").alias("article"), "error")
-    )
+    reason = F.concat(F.lit("not a number: "), "part")
+    return records.tolerant(filed, F.col("part").try_cast("bigint"), reason, "article").drop("part")
 
 
 @query("quarantine_bad_cards")
 def _quarantine_bad_cards(spark, sf_dir):
-    cards = read_cards(v.pages(spark, sf_dir).drop("url"), v.LINK_SPEC)
+    """Every seventh page has lost its markup."""
+    lost = v.pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 7 != 3, F.col("html")).alias("html"))
+    cards = read_cards(lost, v.LINK_SPEC)
     return quarantined(cards, ["page_id"])
 
 
@@ -331,7 +329,7 @@ def _number_source_pos(spark, sf_dir):
 
 @query("number_dense")
 def _number_dense(spark, sf_dir):
-    events = v.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    events = v.table(spark, sf_dir, "events")
     return blocks.dense_number(events.select("event_id", "user_id"), ["user_id"], "event_id")
 
 
@@ -376,8 +374,7 @@ def _skip_failed_source(spark, sf_dir):
 
 @query("result_count")
 def _result_count(spark, sf_dir):
-    posts = v.posts_docs(spark, sf_dir).where(keyword_ci("texto", KEYWORD))
-    return report.result_count(posts, ["target", "candidate"])
+    return report.result_count(v.posts_docs(spark, sf_dir), ["target", "candidate"])
 
 
 @query("stage_report")
@@ -494,7 +491,7 @@ def _scroll_files(spark, sf_dir) -> str:
     shown = cards.groupBy("target", "scroll").agg(F.count(F.lit(1)).alias("n_cards"))
     folder = run_dir(spark, "scroll-files")
     named = cards.join(shown, ["target", "scroll"]).withColumn("target", F.col("target").cast("string"))
-    named.select(*SCROLL_SCHEMA.names).repartition(3).write.parquet(folder)
+    named.select(*SCROLL_SCHEMA.names).write.parquet(folder)
     return folder
 
 

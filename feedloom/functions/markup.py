@@ -152,7 +152,14 @@ class PageTree(HTMLParser):
         else:
             self.pieces.append(_BLANKS.sub(" ", data))
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` is read as browsers read it: a comment up to the next ``>``, or to the end of the page."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def finish(self) -> PageTree:
+        if self.rawdata.startswith(("<!--", "<![")):
+            self.rawdata = ""  # a comment that never ends
         self.close()
         self._pop_to(0)
         return self
@@ -341,13 +348,16 @@ def cards_of_page(html: Column | str, spec: CardSpec, cap: Column | None = None)
 def page_text(html: str | None, rendering: str) -> str | None:
     if html is None:
         return None
-    tree = PageTree(rendering)
-    tree.feed(f"<x-page>{html}")
-    return tree.finish().text(0)
+    try:
+        tree = PageTree(rendering)
+        tree.feed(f"<x-page>{html}")
+        return tree.finish().text(0)
+    except Exception:  # noqa: BLE001 - one unreadable page must not end the query
+        return None
 
 
 def text_of_page(html: Column | str, rendering: str = "lines") -> Column:
-    """Rendered text of a whole page, ``<head>``, scripts and styles left out."""
+    """Rendered text of a whole page, ``<head>``, scripts and styles left out; NULL for a page that cannot be read."""
 
     @F.arrow_udf("string")
     def read_text(pages: pa.Array) -> pa.Array:

@@ -21,10 +21,6 @@ from pyspark.sql import types as T
 
 BLOCK_WIDTH = 1 << 20
 
-# Up to this k, each map task keeps the first k rows of a group and the group's one task gets only those:
-# even a million map tasks send it no more than can be sorted there.
-TASK_LOCAL_LIMIT = 32
-
 
 def block_of(order: Column | str, width: int = BLOCK_WIDTH) -> Column:
     """The block an integer falls into, named by its lowest value; NULLs have a block before all."""
@@ -101,14 +97,15 @@ def first_rows(
     order: str,
     k: int | str,
     width: int = BLOCK_WIDTH,
+    cut_in_tasks: bool = False,
 ) -> DataFrame:
     """The first ``k`` rows of each group by ``order``.
 
-    ``k`` is a number, or the name of a column that is constant inside a group. A small number
-    is cut in each map task before the shuffle; anything else goes block by block, and blocks that start
-    after the limit are dropped before their rows are sorted.
+    ``k`` is a number, or the name of a column that is constant inside a group. Rows go block by block, and blocks that
+    start after the limit are dropped before their rows are sorted. With ``cut_in_tasks`` each map task keeps the first k
+    rows of a group, and one task gets those of all map tasks: a caller's choice for a small number ``k``.
     """
-    if isinstance(k, int) and k <= TASK_LOCAL_LIMIT:
+    if cut_in_tasks:
         group = Window.partitionBy(*keys).orderBy(order)
         return (
             rows.withColumn("_rn", F.row_number().over(group)).where(F.col("_rn") <= k).drop("_rn")

@@ -19,11 +19,16 @@ from feedloom.presets import UNKNOWN_USER, CardSpec
 
 
 def read_cards(pages: DataFrame, spec: CardSpec, cap: Column | None = None) -> DataFrame:
-    """Replace ``html`` by ``found`` (cards on the page), ``cards`` (array) and ``page_error``."""
+    """Replace ``html`` by ``found`` (cards on the page), ``cards`` (array) and ``page_error``; NULL markup is an error."""
     kept = [c for c in pages.columns if c != "html"]
     return (
         pages.withColumn("_page", cards_of_page("html", spec, cap))
-        .select(*kept, "_page.found", "_page.cards", F.col("_page.error").alias("page_error"))
+        .select(
+            *kept,
+            "_page.found",
+            "_page.cards",
+            F.when(F.col("html").isNull(), "no markup").otherwise(F.col("_page.error")).alias("page_error"),
+        )
     )
 
 
@@ -190,11 +195,12 @@ def page_posts(
 
 
 def quarantined(cards: DataFrame, keys: list[str]) -> DataFrame:
-    """Pages and cards that could not be read, with the reason; ``cards`` comes from ``read_cards``."""
-    pages = cards.where(F.col("page_error").isNotNull()).select(
-        *keys, F.lit(None).cast("long").alias("pos"), F.col("page_error").alias("error")
+    """Pages and cards that could not be read, with the reason; ``cards`` comes from ``read_cards`` and is read once."""
+    page = F.struct(F.lit(None).cast("long").alias("pos"), F.col("page_error").alias("error"))
+    bad = F.transform(
+        F.filter("cards", lambda c: c["error"].isNotNull()), lambda c: F.struct(c["pos"].alias("pos"), c["error"].alias("error"))
     )
-    bad = cards.select(
-        *keys, F.explode(F.filter("cards", lambda c: c["error"].isNotNull())).alias("card")
-    ).select(*keys, "card.pos", "card.error")
-    return pages.unionByName(bad)
+    # The outer form: an inner explode would have the cards worked out a second time to filter on them.
+    faults = F.when(F.col("page_error").isNotNull(), F.array(page)).otherwise(bad)
+    rows = cards.select(*keys, F.explode_outer(faults).alias("fault"))
+    return rows.where(F.col("fault").isNotNull()).select(*keys, "fault.pos", "fault.error")

@@ -32,9 +32,10 @@ def first_nonempty_page(
 
     One aggregate with map-side combining: each task sends one page per target, however many sources
     a target has. Pages without posts have no rank, which keeps ``posts`` from being worked out a second time
-    in a filter. Targets without any post have NULL.
+    in a filter. Targets without any post have NULL. Where a page was captured twice, the lesser array of posts
+    counts, whatever the order of rows.
     """
-    rank = F.when(F.size(posts) > 0, F.struct(*order))
+    rank = F.when(F.size(posts) > 0, F.struct(*order, posts))
     return pages.groupBy(*keys).agg(F.min_by(posts, rank).alias(posts))
 
 
@@ -42,17 +43,16 @@ def first_unblocked_source(
     sources: DataFrame,
     keys: Sequence[str],
     markers: Sequence[str],
-    last_resort: int = 3,
     priority: str = "priority",
     url: str = "url",
 ) -> DataFrame:
     """For each group, the lowest-numbered source whose final URL is no sign-in page.
 
-    Decided by the URL alone, not by what the page holds. The last resort is not checked. Returns
-    (keys, priority).
+    ``sources`` holds every candidate; one that was not captured has a NULL URL. Decided by the URL alone, not by what
+    the page holds. If all are sign-in pages or missing, the last candidate is the answer. Returns (keys, priority).
     """
-    usable = not_blocked(url, markers) | (F.col(priority) == last_resort)
-    return sources.where(usable).groupBy(*keys).agg(F.min(priority).alias(priority))
+    free = F.min(F.when(F.col(url).isNotNull() & not_blocked(url, markers), F.col(priority)))
+    return sources.groupBy(*keys).agg(F.coalesce(free, F.max(priority)).alias(priority))
 
 
 def usable_sources(sources: DataFrame, status: str | Column = "status") -> DataFrame:

@@ -16,10 +16,7 @@ def remap_record(rows: DataFrame, renames: Mapping[str, str], flags: Mapping[str
     )
 
 
-def split_tolerant(rows: DataFrame, value: Column, reason: Column, out: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows with ``value`` as ``out``, bad rows with ``error``). ``value`` is NULL for bad rows."""
-    tried = rows.withColumn(out, value).withColumn(
-        "error", F.when(F.col(out).isNull(), reason)
-    )
-    good = tried.where(F.col(out).isNotNull()).drop("error")
-    return good, tried.where(F.col(out).isNull()).drop(out)
+def tolerant(rows: DataFrame, value: Column, reason: Column, out: str) -> DataFrame:
+    """All rows with ``value`` as ``out`` and, where that is NULL, the ``reason`` as ``error``, in one reading."""
+    tried = rows.withColumn(out, value)
+    return tried.withColumn("error", F.when(F.col(out).isNull(), reason))

@@ -10,8 +10,8 @@ meets the requests afterwards are arrays of cards. Hashtag and profile jobs then
 its own row. Hashtag jobs and ``user_posts_a`` read the one capture made after scrolling ended;
 ``user_posts_b`` reads every scroll.
 
-With ``prune`` (the default) a job first looks whether the asked addresses are few (``only_requested``), the only
-action taken while a plan is made. Turn it off where requests cover the whole table.
+With ``prune`` (the default) pages nobody asked for go before extraction, by a semi-join on the asked addresses. Turn it
+off where requests cover the whole table.
 """
 
 from __future__ import annotations
@@ -83,22 +83,15 @@ def _cards_of(snapshots: DataFrame, spec: CardSpec, cap: Column | None = None) -
     return read_cards(snapshots.select(*columns, "html"), spec, cap).drop("page_error")
 
 
-def only_requested(
-    snapshots: DataFrame, candidates: DataFrame, most: int = 100_000, listed: int = 1_000
-) -> DataFrame:
-    """Leave out pages nobody asked for before they are extracted, if the addresses are few.
+def only_requested(snapshots: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Leave out pages nobody asked for before they are extracted.
 
-    Looks at no more than ``most`` addresses. Up to ``listed`` become a filter that reaches the scan, up to
-    ``most`` a broadcast; beyond that the pages stay as they are: the jobs drop unasked cards anyway, and
-    shuffling markup would cost more than reading it.
+    One plan for any number of addresses, and no action: a left-semi join on the distinct addresses, broadcast
+    where Spark's statistics allow it. Keep large snapshot tables bucketed by ``requested_url``; then the join never
+    moves markup.
     """
     addresses = candidates.select("requested_url").distinct()
-    some = [r[0] for r in addresses.limit(most + 1).collect()]
-    if len(some) > most:
-        return snapshots
-    if len(some) > listed:
-        return snapshots.join(F.broadcast(addresses), "requested_url", "left_semi")
-    return snapshots.where(F.col("requested_url").isin(some))
+    return snapshots.join(addresses, "requested_url", "left_semi")
 
 
 def _pages_to_read(
@@ -211,18 +204,20 @@ def user_posts_b(
 ) -> DataFrame:
     """Distinct posts over a profile's scrolls up to the stop rule, numbered 1..n.
 
-    Of the captured addresses the first whose landing page (scroll 0) is no sign-in page is used.
+    Of a request's addresses the first whose landing page (scroll 0) is no sign-in page is used, else the last one.
+    The address is chosen by its landing URL alone: if that capture failed, the request has no rows.
     """
     candidates = candidates_of(requests, address_book)
     snapshots = _pages_to_read(snapshots, candidates, presets.USER_URLS_B, address_book, prune)
     ok = usable_sources(snapshots)
-    landing = ok.where(F.col("scroll") == 0).select("requested_url", "url")
+    landing = snapshots.where(F.col("scroll") == 0).select("requested_url", "url")
     chosen = first_unblocked_source(
-        candidates.select("req_id", "priority", "requested_url").join(landing, "requested_url"),
+        candidates.select("req_id", "priority", "requested_url").join(landing, "requested_url", "left"),
         ["req_id"],
         blocked,
     )
-    sources = candidates.join(chosen, ["req_id", "priority"]).select(
+    landed = ok.where(F.col("scroll") == 0).select("requested_url")
+    sources = candidates.join(chosen, ["req_id", "priority"]).join(landed, "requested_url", "left_semi").select(
         "req_id", "requested_url", "max_tweets", "min_tweets", "max_scrolls"
     )
     longest = with_defaults(requests).agg(F.max("max_scrolls")).scalar()

@@ -9,14 +9,12 @@ from feedloom.schema import PAGE_SCHEMA
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages kept as a parquet table (page_id, url, html), in enough splits to keep the cores busy.
+    """Pages kept as a parquet table (page_id, url, html), read where they lie.
 
-    Extraction is bound by CPU and runs per split. Only a table that leaves at least half of the cores
-    idle is spread out; a larger one is read where it lies.
+    Extraction is bound by CPU and runs per split. For more and smaller splits write pages in smaller row groups and
+    lower ``spark.sql.files.maxPartitionBytes``; markup is not shuffled for it.
     """
-    pages = spark.read.schema(PAGE_SCHEMA).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if 2 * pages.rdd.getNumPartitions() <= cores else pages
+    return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
 def read_page_dumps(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,14 +67,13 @@ def test_cap_by_number(spark, limit):
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("k", [1, 4, 40, blocks.TASK_LOCAL_LIMIT + 1])
-def test_first_rows_by_number(spark, k, monkeypatch):
+@pytest.mark.parametrize("k", [1, 4, 33, 40])
+def test_first_rows_by_number(spark, k):
     cards = candidates(9)
     df = spark.createDataFrame(cards, "g int, pos long, texto string, most int, least int")
     want = [(g, c[1]) for g, cs in by_group(cards).items() for c in cs[:k]]
-    for task_local in (blocks.TASK_LOCAL_LIMIT, 0):
-        monkeypatch.setattr(blocks, "TASK_LOCAL_LIMIT", task_local)
-        got = blocks.first_rows(df, ["g"], "pos", k, width=WIDTH)
+    for cut_in_tasks in (True, False):
+        got = blocks.first_rows(df, ["g"], "pos", k, width=WIDTH, cut_in_tasks=cut_in_tasks)
         assert got.columns == df.columns
         assert sorted(map(tuple, got.select("g", "pos").collect())) == want
 
@@ -113,10 +112,12 @@ def test_sources_by_landing_page_and_status(spark):
         (2, 1, "https://a/login"), (2, 2, "https://b/login"), (2, 3, "https://a/login"),
         (3, 1, "https://a/z"), (3, 2, "https://b/z"),
         (4, 1, "https://a/login"),
+        (5, 1, "https://a/login"), (5, 2, "https://b/login"), (5, 3, "https://a/login"), (5, 4, "https://a/login"),
+        (6, 1, "https://a/login"), (6, 2, None), (6, 3, "https://a/q"), (7, 1, None), (7, 2, None),
     ]
     df = spark.createDataFrame(rows, "t int, priority int, url string")
     got = first_unblocked_source(df, ["t"], ["login"])
-    assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 3), (3, 1)]
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 3), (7, 2)]
     status = spark.createDataFrame([(1, "ok"), (2, "timeout"), (3, None)], "t int, status string")
     assert [r.t for r in usable_sources(status).collect()] == [1]
 

@@ -112,7 +112,7 @@ def test_container_fallback_is_per_page(spark):
 def test_no_cards(spark):
     pages = spark.createDataFrame([(1, "<p>nothing</p>"), (2, ""), (3, None)], "id int, html string")
     got = read_cards(pages, presets.HASHTAG_A).select("id", "found", F.size("cards"), "page_error")
-    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, None), (2, 0, 0, None), (3, 0, 0, None)]
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0, None), (2, 0, 0, None), (3, 0, 0, "no markup")]
 
 
 def test_keyword_splits_over_tags_and_entities(spark):
@@ -250,3 +250,27 @@ def test_selectors():
     for bad in ("a > b", "a:hover", "a, b", "*"):
         with pytest.raises(ValueError):
             markup.parse_selector(bad)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>a</p><![foo[x]]><p>b</p>", "a\nb"),
+        ("<p>a</p><![ <p>b</p>", "a\nb"),
+        ("<p>a</p><!-- x <b>c</b>", "a"),
+        ("<p>a</p><![CDATA[ c ", "a"),
+        ("<p>a</p><!DOCTYPE [ <p>b</p>", "a\nb"),
+    ],
+)
+def test_malformed_declarations_are_comments(html, text):
+    got = markup.page_text(html, "lines")
+    assert [line for line in got.split("\n") if line][0] == "a" and "<" not in got and "x" not in got
+    reader = markup.Reader.of(presets.HASHTAG_A.with_selectors(containers=("p",), text=("p",), user=("b",), time=("a",)))
+    page = markup.page_cards(html, reader)
+    assert page["error"] is None and page["found"] >= 1
+
+
+def test_lost_markup_is_quarantined(spark):
+    pages = spark.createDataFrame([(1, "<p>no cards</p>"), (2, None), (3, "")], "id int, html string")
+    cards = read_cards(pages, presets.HASHTAG_A)
+    assert [tuple(r) for r in quarantined(cards, ["id"]).collect()] == [(2, None, "no markup")]
