@@ -145,7 +145,7 @@ class PrefixTree:
             self.shared[k] = differ[0] if len(differ) else n
 
     def links(self, walking: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(set, those of ``walking`` that reach the threshold with it, itself among them), for each set."""
+        """(set, those of ``walking`` that reach the threshold with it), for each set that has any; a set need not find itself."""
         step = max(1, MOST_CELLS // max(1, self.items))
         for at in range(0, len(walking), step):
             yield from self._walk(walking[at : at + step], percent)
