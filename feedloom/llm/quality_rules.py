@@ -22,7 +22,7 @@ COMMON = {
 }
 _NAMES = 16
 #: Greatest distances kept, and least characters and common words for a judgement.
-MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_HITS = 0.35, 0.75, 200, 25
+MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_HITS = 0.30, 0.75, 300, 25
 CLASSES = ["lower", "blank", "high", "upper", "digit", "symbol", "loud", "other"]
 
 
