@@ -34,9 +34,9 @@ def line_templates(docs: DataFrame, least: int = LEAST_DOCS, like: float = LIKE)
 
     n_docs: documents (rows with a doc_id and text of their own) with the template; dropped: n_docs >= ``least``.
     """
-    once = parsed_lines(docs).select("doc_id", "mark", "leaf", F.xxhash64("line").alias("h")).distinct()
-    several = once.groupBy("leaf").agg(F.min(F.struct("mark", "doc_id")).alias("a"), F.max(F.struct("mark", "doc_id")).alias("b"))
-    several = stored(several.where("NOT (a <=> b)").select("leaf"), "leaves")
+    once = parsed_lines(docs).select("leaf", F.xxhash64("mark", "doc_id").alias("document"))
+    several = once.groupBy("leaf").agg(F.min("document").alias("a"), F.max("document").alias("b"))
+    several = stored(several.where("a < b").select("leaf"), "leaves")
     shared = stored(parsed_lines(docs).join(small(several), "leaf", "left_semi").select("leaf", "line", "doc_id", "mark").distinct(), "shared-lines")
     lines = shared.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     seeds = lines.groupBy("leaf").agg(F.max("n").alias("most")).join(lines, "leaf").where("n = most").groupBy("leaf").agg(F.min("line").alias("seed"))
