@@ -26,7 +26,7 @@ from feedloom.llm import text as T
 from feedloom.llm.common import text_of
 from feedloom.llm.repair_files import spread
 
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 400_000
 SECTION = "array<struct<start:int,stop:int>>"
 
 
