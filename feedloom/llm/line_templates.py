@@ -23,10 +23,14 @@ FIELD = "<*>"
 def parsed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, at, line, leaf): each line with a token, its fields masked and blanks made single."""
     rows = text_of(docs).select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode_outer(F.split("text", "\n")).alias("at", "raw"))
-    line = F.trim(F.regexp_replace(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "), r"[^ 0-9]*+[0-9][^ ]*", FIELD))
-    rows = rows.select("doc_id", "mark", "at", line.alias("line")).where("line <> ''")
-    head = F.substring_index("line", " ", DEPTH)
-    return rows.withColumn("leaf", F.xxhash64(F.char_length(F.regexp_replace("line", "[^ ]+", "")), head))
+    raw = F.col("raw")
+    # The dear replacements only where they have something to do.
+    single = F.when(raw.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " ")).otherwise(raw)
+    rows = rows.select("doc_id", "mark", "at", F.trim(single).alias("raw")).where("raw <> ''")
+    line = F.when(raw.rlike("[0-9]"), F.regexp_replace(raw, r"[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(raw)
+    rows = rows.select("doc_id", "mark", "at", line.alias("line"))
+    gaps = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit("")))
+    return rows.withColumn("leaf", F.xxhash64(gaps, F.substring_index("line", " ", DEPTH)))
 
 
 def line_templates(docs: DataFrame, least: int = LEAST_DOCS, like: float = LIKE) -> DataFrame:
