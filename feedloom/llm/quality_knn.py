@@ -3,7 +3,8 @@
 Terms are trigrams of character classes (word shapes, punctuation, symbols, line ends) and marks of repetition, so they
 hold for every language. Weights are square roots of relative frequencies times idf, with document frequencies over all
 documents. A truncated singular value decomposition of a bounded sample of labelled training rows gives the space; the
-sample's vectors are broadcast, and every document is compared with all of them by exact blocked cosine products.
+sample's vectors are broadcast, and every document is compared with all of them by exact blocked cosine products. A labelled
+row stands for as many rows as its label was thinned by, in the space and in the votes, so scores mean the same at every size.
 """
 
 from __future__ import annotations
@@ -115,6 +116,8 @@ class Neighbours:
     axes: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    #: Training rows that each vector stands for: one over its label's share.
+    stands: np.ndarray
     neighbours: int
 
     def project(self, counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -122,15 +125,15 @@ class Neighbours:
         return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """Votes for label 1, weighted by similarity; the sample's share of label 1 where nothing is similar."""
-        prior = float(self.labels.mean()) if len(self.labels) else 0.5
+        """Votes for label 1, weighted by similarity and the rows stood for; the training rows' share of label 1 where nothing is similar."""
+        prior = float(np.average(self.labels, weights=self.stands)) if len(self.labels) else 0.5
         counts, marks = term_counts(texts)
         if not len(self.labels):
             return np.full(len(counts), prior)
         like = np.maximum(0, self.project(counts, marks) @ self.vectors.T)
         k = min(self.neighbours, like.shape[1])
         near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        weight = np.take_along_axis(like, near, axis=1).astype(np.float64)
+        weight = np.take_along_axis(like, near, axis=1).astype(np.float64) * self.stands[near]
         weight[counts.sum(axis=1) == 0] = 0
         votes = (weight * self.labels[near]).sum(axis=1)
         return np.where(weight.sum(axis=1) > 0, votes / np.maximum(1e-12, weight.sum(axis=1)), prior).clip(0, 1)
@@ -163,10 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "quality", per_label: in
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     width = SHAPES + MARKS
     x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(len(rows), width)
-    axes = _axes(x, dimensions)
-    model = Neighbours(idf, axes, np.zeros((0, axes.shape[1]), np.float32), np.array([r["label"] for r in rows], dtype=np.float64), neighbours)
-    y = x @ axes
-    model.vectors = (y / np.maximum(1e-12, np.linalg.norm(y, axis=1, keepdims=True))).astype(np.float32)
+    y = np.array([r["label"] for r in rows], dtype=np.float64)
+    stands = np.array([1 / share[r["label"]] for r in rows])
+    axes = _axes(x * np.sqrt(stands).astype(np.float32)[:, None], dimensions)
+    model = Neighbours(idf, axes, np.zeros((0, axes.shape[1]), np.float32), y, stands, neighbours)
+    z = x @ axes
+    model.vectors = (z / np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True))).astype(np.float32)
     return model
 
 
@@ -201,7 +206,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     """(doc_id, held_out, score, predicted) for every row of ``docs``, repeated rows included.
 
     Only labels outside the held-out fold are learned; lang, source, doc_id and labels are no inputs of a score. Empty and
-    null texts get the sample's share of label 1; without any training label every score is 0.5. A null doc_id counts as
+    null texts get the training rows' share of label 1; without any training label every score is 0.5. A null doc_id counts as
     held out. An empty table gives no rows.
     """
     scored = with_scores(docs, fit(docs, labels))

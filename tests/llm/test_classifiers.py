@@ -63,3 +63,22 @@ def test_kept_rows_keep_their_columns(spark, labelled):
     assert kept.schema == docs.schema
     good = {r["doc_id"] for r in quality_knn.score_quality(docs, labels).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in kept.collect()} == good
+
+
+def test_thinning_one_label_keeps_scores(spark):
+    rng = random.Random(3)
+    words = "ba do ke li mo nu ra se".split()
+    # Texts of one kind whose label is chance: five in six are good, whatever the sample holds of each label.
+    docs = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(1500)] + [(9000, "")]
+    labels = [(k, int(rng.random() < 5 / 6)) for k in range(1500)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    known = quality_knn.training_labels(labels, "quality")
+    means, empty = [], []
+    for per_label in (2000, 200):
+        model = quality_knn.fit(docs, labels, per_label=per_label)
+        scores = {r["doc_id"]: r["score"] for r in quality_knn.with_scores(docs, model).collect()}
+        empty.append(scores.pop(9000))
+        means.append(sum(scores.values()) / len(scores))
+    truth = known.agg(F.avg("label")).first()[0]
+    assert all(abs(x - truth) < 0.04 for x in means + empty)
