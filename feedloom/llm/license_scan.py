@@ -3,8 +3,9 @@
 Words are runs of letters and digits, A-Z lower-cased; shingles are 3 of them. Shingles of no template can add nothing to a
 containment, so windows keep template shingles only: all others fall to a broadcast hash join right after they are made.
 Templates are put in classes by length, L words at most; a class's windows are 2 L words long and start every L words, so
-each occurrence of a template lies whole in a window. A window and a template with a Jaccard similarity of s meet with
-probability 1 - (1 - s^ROWS)^BANDS: 0.99999 at 0.55, and 0.9999999 at 0.64. A window matches if it holds at least
+each occurrence of a template lies whole in a window. A window is signed for each template apart, by the shingles it shares
+with it, so other notices nearby take nothing away: its Jaccard similarity s with the template is the containment, and they
+meet with probability 1 - (1 - s^ROWS)^BANDS, over 1 - 1e-14 from CONTAINED on. A window matches if it holds at least
 CONTAINED of a template's distinct shingles, counted exactly. DataFrame functions only.
 """
 
@@ -44,11 +45,11 @@ def _shingles(words: str) -> str:
 
 
 def _bands(keys: list[str], rows: DataFrame) -> DataFrame:
-    """One row per group of ``keys`` and band: the hashes of ROWS minima over the group's shingles."""
+    """One row per group of ``keys`` and band: the hashes of ROWS minima over the group's shingles, and ``held``, their number."""
     minima = [F.min(F.xxhash64("shingle", F.lit(j))).alias(f"m{j}") for j in range(ROWS * BANDS)]
-    signed = rows.groupBy(*keys).agg(*minima)
+    signed = rows.groupBy(*keys).agg(*minima, F.count("*").alias("held"))
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return signed.select(*keys, F.explode(bands).alias("band"))
+    return signed.select(*keys, "held", F.explode(bands).alias("band"))
 
 
 def license_matches(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -71,11 +72,11 @@ def license_matches(docs: DataFrame, templates: DataFrame) -> DataFrame:
     placed = found.join(small(marks.select("size", "shingle").distinct()), "shingle").selectExpr("doc_id", "mark", "size", "shingle", "explode(array(at div size, at div size - 1)) AS window")
     windows = stored(placed.where("window >= 0 OR window = -1").distinct(), "license-windows")
     keys = ["doc_id", "mark", "size", "window"]
-    near = _bands(keys, windows).join(small(_bands(["license_id", "size"], marks)), ["size", "band"]).select(*keys, "license_id").distinct()
+    # Per window and template, the minima over their common shingles and how many those are.
+    common = windows.join(small(marks), ["size", "shingle"])
+    near = _bands([*keys, "license_id"], common).join(small(_bands(["license_id", "size"], marks).drop("held")), ["license_id", "size", "band"], "left_semi")
+    held = near.select(*keys, "license_id", "held").distinct()
     total = marks.groupBy("license_id").agg(F.count("*").alias("total"))
-    same = [near[c].eqNullSafe(windows[c]) for c in keys]
-    held = near.join(windows, same[0] & same[1] & same[2] & same[3]).select(near["doc_id"], near["mark"], near["window"], near["license_id"], "shingle")
-    held = held.join(small(marks.select("license_id", "shingle")), ["license_id", "shingle"]).groupBy("doc_id", "mark", "window", "license_id").agg(F.count("*").alias("held"))
     best = held.join(small(total), "license_id").groupBy("doc_id", "mark", "license_id").agg(F.max(F.col("held") / F.col("total")).alias("containment"))
     return best.where(F.col("containment") >= CONTAINED)
 

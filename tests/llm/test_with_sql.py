@@ -133,3 +133,12 @@ def test_licenses_by_containment(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs).collect()}
     assert got == {0: "isc-grant", 1: "isc-grant", 2: "", 3: "mit-notice", 4: ""}
+
+
+def test_adjacent_licenses_are_all_found(spark):
+    # Notices of 5 words, 3 shingles, one in the other: a window of 16 words holds much besides any one of them.
+    words = [f"w{k}" for k in range(60)]
+    templates = {f"notice-{k:02}": " ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+    docs = spark.createDataFrame([(k, "lead " * k + " ".join(words)) for k in range(8)], "doc_id bigint, text string")
+    got = license_scan.scan_licenses(docs, license_scan.template_table(spark, templates)).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {k: ",".join(sorted(templates)) for k in range(8)}
