@@ -1,8 +1,9 @@
 """Toxicity: linear classifiers learned from confirmed toxic examples and unlabelled text with a non-negative risk estimate.
 
 Features are hashed byte 4-grams and 6-grams of the text with A-Z lower-cased and blanks made alike, so that stems of any
-language count. From a bounded sample, the grams most enriched in confirmed examples beyond what the class prior explains
-in unlabelled text are chosen; on their presence, linear models are trained with the sigmoid loss and the estimator
+language count. The grams most enriched in confirmed examples beyond what the class prior explains in unlabelled text, of
+which all rows outside the held-out fold are counted, are chosen; on their presence in a bounded sample, linear models are
+trained with the sigmoid loss and the estimator
 ``prior * risk+(P) + max(0, risk-(U) - prior * risk-(P))``: where the second part falls below zero, its own gradient is
 stepped up again instead, so the model cannot overfit the unlabelled toxic rows.
 """
@@ -45,24 +46,30 @@ def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield bucket[inside], doc[:count][inside]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per bucket and task: confirmed and unlabelled rows of the sample that hold it; bucket -1: all such rows."""
-    width = len(SIZES) << BITS
-    held = np.zeros((2, width), dtype=np.int64)
-    rows = np.zeros(2, dtype=np.int64)
-    for batch in batches:
-        for piece in T.pieces(batch, rows=512):
-            kinds = np.array([piece.column(c).to_numpy(zero_copy_only=False) for c in ("confirmed", "unlabelled")], dtype=bool)
-            rows += kinds.sum(axis=1)
-            for bucket, doc in grams(*T.raw(piece.column("text"))):
-                once = np.unique(doc * width + bucket)
-                doc, bucket = once // width, once % width
-                for k in range(2):
-                    held[k] += np.bincount(bucket[kinds[k][doc]], minlength=width)
-    some = np.flatnonzero(held.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(some, -1)), pa.array(np.append(held[0][some], rows[0])), pa.array(np.append(held[1][some], rows[1]))], names=["bucket", "p", "u"]
-    )
+def _frequencies(wanted: np.ndarray | None = None):
+    """One row per bucket (of ``wanted``, a mask, if given) and task: the rows that hold it; bucket -1: all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(SIZES) << BITS
+        held = np.zeros(width, dtype=np.int64)
+        rows = 0
+        for batch in batches:
+            for piece in T.pieces(batch, rows=512):
+                rows += piece.num_rows
+                for bucket, doc in grams(*T.raw(piece.column("text"))):
+                    if wanted is not None:
+                        hit = wanted[bucket]
+                        bucket, doc = bucket[hit], doc[hit]
+                    held += np.bincount(np.unique(doc * width + bucket) % width, minlength=width)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], rows))], names=["bucket", "rows"])
+
+    return run
+
+
+def _held(texts: DataFrame, name: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """(bucket, ``name``): the rows of ``texts`` that hold each bucket, summed over tasks."""
+    return texts.select("text").mapInArrow(_frequencies(wanted), "bucket bigint, rows bigint").groupBy("bucket").agg(F.sum("rows").alias(name))
 
 
 @dataclass
@@ -132,7 +139,7 @@ def train(doc: np.ndarray, f: np.ndarray, confirmed: np.ndarray, unlabelled: np.
 def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, chosen: int = GRAMS) -> Toxicity:
     """Classifiers from about ``positives`` confirmed rows and ``unlabelled`` rows outside the held-out fold, by a hash of doc_id.
 
-    Labels of 0 are used for the class prior only, the share of label 1 among all training labels.
+    The grams' frequencies in unlabelled text come from all rows outside that fold. Labels of 0 are used for the class prior only, the share of label 1 among all training labels.
     """
     known = training_labels(labels, name)
     r = known.agg(F.count("*").alias("n"), F.sum("label").alias("k")).first()
@@ -150,14 +157,19 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
         .where("confirmed OR unlabelled"),
         "pu-sample",
     )
-    held = stored(sample.mapInArrow(_frequencies, "bucket bigint, p bigint, u bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), "pu-grams")
+    # Grams of three confirmed rows or more are counted over all rows outside the held-out fold.
+    in_sure = stored(_held(sample.where("confirmed"), "p").where("bucket < 0 OR p >= 3"), "pu-confirmed")
+    wanted = np.zeros(len(SIZES) << BITS, dtype=bool)
+    wanted[in_sure.where("bucket >= 0").select("bucket").toArrow().column("bucket").to_numpy()] = True
+    in_free = _held(text_of(docs).where(~held_out(F.col("doc_id"))), "u", wanted)
+    held = stored(in_sure.join(in_free, "bucket", "left").select("bucket", "p", F.coalesce("u", F.lit(0)).alias("u")), "pu-grams")
     total = held.where("bucket < 0").first()
     if not total or not total["p"] or not total["u"]:
         return none
     in_p, in_u = F.col("p") / total["p"], F.col("u") / total["u"]
     rest = F.greatest(F.lit(0.0), (in_u - prior * in_p) / (1 - prior)) if prior < 1 else F.lit(0.0)
     excess = (in_p - rest) / F.sqrt(rest * (1 - rest) / total["u"] + in_p * (1 - in_p) / total["p"] + F.lit(1e-6))
-    top = held.where("bucket >= 0 AND p >= 3").select("bucket", excess.alias("z")).where("z > 3").orderBy(F.desc("z"), "bucket").limit(chosen).collect()
+    top = held.where("bucket >= 0").select("bucket", excess.alias("z")).where("z > 3").orderBy(F.desc("z"), "bucket").limit(chosen).collect()
     model = Toxicity(none.feature.copy(), np.zeros((0, 0)), np.zeros(0), prior)
     model.feature[[r["bucket"] for r in top]] = np.arange(len(top))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model).copy())

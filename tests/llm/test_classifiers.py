@@ -82,3 +82,9 @@ def test_thinning_one_label_keeps_scores(spark):
         means.append(sum(scores.values()) / len(scores))
     truth = known.agg(F.avg("label")).first()[0]
     assert all(abs(x - truth) < 0.04 for x in means + empty)
+
+
+def test_grams_are_chosen_from_all_rows(spark, labelled):
+    docs, labels, _ = labelled
+    few, all_ = (toxicity_pu.fit(docs, labels, unlabelled=n).feature for n in (40, 16_000))
+    assert (few >= 0).sum() > 10 and (few == all_).all()
