@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import (
+    bpe_codec,
+    conversation_repair,
     decontaminate,
     jaccard_join,
     license_scan,
     line_templates,
+    merkle_manifest,
     mix_sources,
     quality_knn,
     quality_rules,
@@ -73,6 +76,20 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
+    "op11_bpe_codec": op11_bpe_codec,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -92,4 +112,6 @@ ORACLE: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_mix_sources": mix_sources.ORACLE,
+    "op12_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
