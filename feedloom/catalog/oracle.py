@@ -85,6 +85,13 @@ SELECT s.target, s.texto, s.scroll, s.pos,
        row_number() OVER (PARTITION BY s.target ORDER BY s.scroll, s.pos) AS numero
 FROM sighted s JOIN stops t ON s.target = t.target WHERE s.scroll <= t.stop"""
 
+HOLES = f"""{SCROLLS}, come AS (SELECT * FROM scrolls WHERE (target + 3 * scroll) % 7 <> 5), {sighted("target", "texto", "come")},
+{stop_rule("target", "least", "most", "scrolls", """SELECT target, CAST(i AS BIGINT) AS scroll, target % 12 AS least, 5 + target % 30 AS most, 2 + target % 9 AS scrolls
+FROM (SELECT target, max(scroll) AS m FROM scrolls GROUP BY target) x, unnest(generate_series(0, m)) AS u(i)""", "least, most, scrolls")}
+SELECT s.target, s.texto, s.scroll, s.pos,
+       row_number() OVER (PARTITION BY s.target ORDER BY s.scroll, s.pos) AS numero
+FROM sighted s JOIN stops t ON s.target = t.target WHERE s.scroll <= t.stop"""
+
 DISTINCT = f"""WITH {SCROLLS}, {sighted("target", "texto, usuario", "scrolls")}
 SELECT target, texto, usuario, CAST(NULL AS VARCHAR) AS "timestamp", scroll, pos FROM sighted"""
 
@@ -223,6 +230,7 @@ _PAGE = rf"replace({_PAGE}, chr(1), chr(10))"
 
 ORACLE: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages",
+    "scan_page_dumps": "SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars FROM pages WHERE html IS NOT NULL",
     "candidate_urls": _urls(),
     "explode_cards_flat": f"WITH {RAW_LINKS} SELECT page_id, pos, texto FROM links",
     "explode_cards": f"WITH {LINKS} SELECT page_id, pos, n AS found, texto, href FROM links",
@@ -288,6 +296,7 @@ SELECT target, pos, CAST(least AS BIGINT) AS least FROM (
          row_number() OVER (PARTITION BY target ORDER BY pos) AS rn
   FROM docs WHERE {strip("texto")} <> '') d WHERE rn <= greatest(least, 1)""",
     "scroll_stop": f"WITH {STOPPED}",
+    "scroll_stop_strict": f"SELECT * FROM (WITH {STOPPED}) x WHERE numero <= 30",
     "scroll_progress": f"""WITH {SCROLLS}, {sighted("target", "texto", "scrolls")},
 {stop_rule("target", "10", "30", "10", "SELECT DISTINCT target, scroll FROM scrolls")}
 SELECT c.target, c.scroll, new AS n_new, CAST(cum AS BIGINT) AS n_unique
@@ -298,6 +307,8 @@ SELECT target, count(*) AS found, count(*) < 6 AS shortfall FROM conv GROUP BY t
 SELECT page_id, pos AS numero, texto FROM links WHERE contains(lower(texto), 'th')""",
     "number_dense": """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS numero
 FROM events""",
+    "number_dense_sparse": """SELECT event_id, event_type, md5(CAST(event_id AS VARCHAR)) AS digest,
+       row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR))) AS numero FROM events""",
     "accumulate_distinct": DISTINCT,
     "first_nonempty_source": f"""WITH {DOCS}
 SELECT target, candidate, pos, texto FROM (
@@ -335,6 +346,7 @@ FROM events""",
 FROM documents WHERE contains(lower(text), '☃ no such text')""",
     "stream_scroll_dedup": DISTINCT,
     "stream_scroll_stop": f"WITH {STOPPED}",
+    "stream_scroll_holes": f"WITH {HOLES}",
     "job_hashtag_a": f"WITH {LINKS}, {JOB_HASHTAG_A} SELECT {POST} FROM picked",
     "job_hashtag_b": f"WITH {LINKS}, {JOB_HASHTAG_B} SELECT req_id - 10000000 AS req_id, texto, usuario, \"timestamp\", numero FROM picked",
     "job_user_a": f"WITH {PARAS}, {JOB_USER_A} SELECT req_id - 20000000 AS req_id, texto, usuario, \"timestamp\", numero FROM picked",

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedloom import presets
 from feedloom.catalog import views as v
@@ -47,7 +48,7 @@ from feedloom.plans import jobs
 from feedloom.schema import POST_COLUMNS
 from feedloom.session import run_dir
 from feedloom.sinks import csv as csv_sink
-from feedloom.sources.pages import read_pages
+from feedloom.sources.pages import read_page_dumps, read_pages
 from feedloom.sources.scrolls import read_scroll_stream
 from feedloom.streaming.scrolls import SCROLL_SCHEMA, run_distinct, run_stopped
 
@@ -94,6 +95,17 @@ def _scan_pages(spark, sf_dir):
     )
 
 
+@query("scan_page_dumps")
+def _scan_page_dumps(spark, sf_dir):
+    """Pages dumped as one HTML file each and read back whole; the file's path names the page."""
+    folder = run_dir(spark, "dumps")
+    dumped = v.pages(spark, sf_dir).select("page_id", "html").where(F.col("html").isNotNull())
+    dumped.write.partitionBy("page_id").option("lineSep", "\n").text(folder)
+    return read_page_dumps(spark, folder).select(
+        F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long").alias("page_id"), (F.length("html") - 1).cast("long").alias("n_chars")
+    )
+
+
 @query("candidate_urls")
 def _candidate_urls(spark, sf_dir):
     sources = v.table(spark, sf_dir, "documents").select("source").distinct()
@@ -305,6 +317,14 @@ def _scroll_stop(spark, sf_dir):
     )
 
 
+@query("scroll_stop_strict")
+def _scroll_stop_strict(spark, sf_dir):
+    rows = v.scrolls_events(spark, sf_dir)
+    return limits.scroll_stop(rows, ["target"], ["texto"], **SCROLL_LIMITS, strict_max=True).select(
+        "target", "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
+    )
+
+
 @query("scroll_progress")
 def _scroll_progress(spark, sf_dir):
     rows = v.scrolls_events(spark, sf_dir)
@@ -333,6 +353,14 @@ def _number_dense(spark, sf_dir):
     return blocks.dense_number(events.select("event_id", "user_id"), ["user_id"], "event_id")
 
 
+@query("number_dense_sparse")
+def _number_dense_sparse(spark, sf_dir):
+    """Events of a kind numbered by a digest of their id: an order far apart and of no integers."""
+    events = v.table(spark, sf_dir, "events")
+    digest = F.md5(F.col("event_id").cast("string").cast("binary"))
+    return blocks.dense_number_by_ranges(events.select("event_id", "event_type", digest.alias("digest")), ["event_type"], ["digest"])
+
+
 @query("accumulate_distinct")
 def _accumulate_distinct(spark, sf_dir):
     seen = limits.first_sightings(v.scrolls_events(spark, sf_dir), ["target"], ["texto", "usuario", "timestamp"])
@@ -485,28 +513,46 @@ def _empty_result(spark, sf_dir):
 # ----------------------------------------------------------------------------------- streaming
 
 
-def _scroll_files(spark, sf_dir) -> str:
-    """All scrolls as files to stream from, their rows in no particular order over the files."""
+# A scroll a second; files come in no particular order, so rows may be late by the whole length of the run.
+LATE = "30 days"
+
+
+def _scroll_files(spark, sf_dir, arrives=None, **more) -> tuple[str, StructType]:
+    """All scrolls that arrive as files to stream from, their rows in no particular order over the files; ``more``: columns to add."""
     cards = v.scrolls_events(spark, sf_dir)
     shown = cards.groupBy("target", "scroll").agg(F.count(F.lit(1)).alias("n_cards"))
     folder = run_dir(spark, "scroll-files")
-    named = cards.join(shown, ["target", "scroll"]).withColumn("target", F.col("target").cast("string"))
-    named.select(*SCROLL_SCHEMA.names).write.parquet(folder)
-    return folder
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("scroll"))
+    named = cards.join(shown, ["target", "scroll"]).where(F.lit(True) if arrives is None else arrives).withColumns({**more, "arrived": at})
+    named = named.withColumn("target", F.col("target").cast("string")).select(*SCROLL_SCHEMA.names, *more)
+    named.write.parquet(folder)
+    return folder, named.schema
 
 
 @query("stream_scroll_dedup")
 def _stream_scroll_dedup(spark, sf_dir):
-    stream = read_scroll_stream(spark, _scroll_files(spark, sf_dir), SCROLL_SCHEMA, files_per_batch=2)
-    return run_distinct(stream, spark).select(
+    stream = read_scroll_stream(spark, *_scroll_files(spark, sf_dir), files_per_batch=2)
+    return run_distinct(stream, spark, delay=LATE).select(
         F.col("target").cast("long").alias("target"), "texto", "usuario", "timestamp", F.col("scroll").cast("long").alias("scroll"), "pos"
     )
 
 
 @query("stream_scroll_stop")
 def _stream_scroll_stop(spark, sf_dir):
-    stream = read_scroll_stream(spark, _scroll_files(spark, sf_dir), SCROLL_SCHEMA, files_per_batch=2)
-    return run_stopped(stream, spark, **SCROLL_LIMITS).select(
+    stream = read_scroll_stream(spark, *_scroll_files(spark, sf_dir), files_per_batch=2)
+    return run_stopped(stream, spark, **SCROLL_LIMITS, delay=LATE).select(
+        F.col("target").cast("long").alias("target"), "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
+    )
+
+
+@query("stream_scroll_holes")
+def _stream_scroll_holes(spark, sf_dir):
+    """A seventh of the scrolls never arrive, and every target has limits of its own."""
+    target = F.col("target")
+    own = {"least": target % 12, "most": 5 + target % 30, "scrolls": 2 + target % 9}
+    files = _scroll_files(spark, sf_dir, (target + 3 * F.col("scroll")) % 7 != 5, **{k: c.cast("int") for k, c in own.items()})
+    stream = read_scroll_stream(spark, *files, files_per_batch=2)
+    return run_stopped(stream, spark, "least", "most", "scrolls", delay=LATE).select(
         F.col("target").cast("long").alias("target"), "texto", F.col("scroll").cast("long").alias("scroll"), "pos", "numero"
     )
 

@@ -9,6 +9,9 @@ function of the data, so a lost executor's work is redone alike.
 
 The order column must be unique inside a group (for ``attach`` and ``keep_lowest`` it only decides how finely
 a group is spread). NULL keys are a group like any other.
+
+Blocks of a fixed width suit ids that lie close together. Where they are sparse (hashes, clock readings) or no integers at all, number the
+rows with ``dense_number_by_ranges`` first and use that number as the order: its cells follow the rows, not the ids.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.session import run_dir
+
 BLOCK_WIDTH = 1 << 20
 
 
@@ -91,6 +96,30 @@ def dense_number(
     return placed.select(*rows.columns, out)
 
 
+def dense_number_by_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "numero") -> DataFrame:
+    """``dense_number`` for order columns of any sortable types and any spacing, unique together inside a group.
+
+    Rows are cut into ranges of (keys, order) with about as many rows each and sorted there; a row's number is the rows of its
+    group in earlier ranges plus its place in its own. A group has one cell per range that holds some of it, so cells stay as few as
+    ranges, however large the group and however far apart its ids. The ranges come from a sample, so the sorted rows are written to
+    the shared folder once: counts and numbers are taken from the same cut, also when work is redone.
+    """
+    spark = rows.sparkSession
+    by = [*keys, *order]
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_row": inside})
+    folder = run_dir(spark, "ranges")
+    sorted_.write.parquet(folder)
+    kept = spark.read.schema(sorted_.schema).parquet(folder)
+    group = group_columns(kept, keys)
+    kept = kept.withColumns(group)
+    cell = [*group, "_range"]
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cells = kept.groupBy(*cell).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    cells = cells.select(*cell, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return kept.join(cells, cell).select(*rows.columns, (F.col("_base") + F.col("_row")).cast("long").alias(out))
+
+
 def first_rows(
     rows: DataFrame,
     keys: Sequence[str],

@@ -55,7 +55,7 @@ def stop_at_min_b(
     return first_rows(seen, keys, pos, "_k", width).drop("_k")
 
 
-def _seen_at(scroll: Column, pos: Column) -> Column:
+def seen_at(scroll: Column, pos: Column) -> Column:
     """(scroll, pos) as one long that sorts the same way, so its minimum is a hash aggregate."""
     fits = scroll.between(0, 2**31 - 1) & pos.between(0, 2**32 - 1)
     return F.when(fits, F.shiftleft(scroll.cast("long"), 32) + pos).otherwise(
@@ -71,7 +71,7 @@ def first_sightings(rows: DataFrame, keys: Sequence[str], record: Sequence[str])
     """
     return (
         rows.groupBy(*keys, *record)
-        .agg(F.min(_seen_at(F.col("scroll"), F.col("pos"))).alias("_at"))
+        .agg(F.min(seen_at(F.col("scroll"), F.col("pos"))).alias("_at"))
         .select(
             *keys,
             *record,
@@ -81,13 +81,13 @@ def first_sightings(rows: DataFrame, keys: Sequence[str], record: Sequence[str])
     )
 
 
-def _value(limit: int | str) -> Column:
+def value_of(limit: int | str) -> Column:
     return F.lit(limit) if isinstance(limit, int) else F.col(limit)
 
 
 def _live(most: int | str, max_scrolls: int | str) -> Column:
     """Scrolls that are looked at at all; for other rows nothing can follow."""
-    return (_value(most) > 0) & (F.col("scroll") < _value(max_scrolls))
+    return (value_of(most) > 0) & (F.col("scroll") < value_of(max_scrolls))
 
 
 def _grouping(keys: Sequence[str], *limits: int | str) -> list[str]:
@@ -101,7 +101,7 @@ def _is_reached(earlier: Column, scroll: Column, least: int | str, most: int | s
     first that leaves at least ``least``. Scrolls are counted from 0 without holes, so scroll 1 is always
     looked at unless ``most`` ends it.
     """
-    return (earlier < _value(most)) & ((scroll <= 1) | (earlier < _value(least)))
+    return (earlier < value_of(most)) & ((scroll <= 1) | (earlier < value_of(least)))
 
 
 def scroll_stop(
@@ -136,8 +136,8 @@ def scroll_stop(
         seen.groupBy(*cell)
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.any_value(_value(least)).alias("_least"),
-            F.any_value(_value(most)).alias("_most"),
+            F.any_value(value_of(least)).alias("_least"),
+            F.any_value(value_of(most)).alias("_most"),
         )
         .withColumns(
             {
@@ -153,7 +153,7 @@ def scroll_stop(
         "numero", (F.col("_before") + F.row_number().over(inside)).cast("long")
     )
     if strict_max:
-        numbered = numbered.where(F.col("numero") <= _value(most))
+        numbered = numbered.where(F.col("numero") <= value_of(most))
     return numbered.select(*by, *record, "scroll", "pos", "numero")
 
 

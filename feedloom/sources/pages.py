@@ -19,5 +19,5 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_page_dumps(spark: SparkSession, folder: str) -> DataFrame:
     """Raw page dumps, one HTML file each: (path, html)."""
-    files = spark.read.text(folder, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("html"))

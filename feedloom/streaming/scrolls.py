@@ -1,23 +1,24 @@
 """Scroll captures processed while they arrive, with Structured Streaming.
 
-A stream row is one card of one scroll: (target, scroll, pos, texto, usuario, timestamp, n_cards). ``n_cards`` is
-the number of cards the scroll shows, so a scroll is known to be complete however its rows are split over
-files; a scroll without cards is one row with ``pos`` NULL and ``n_cards`` 0.
+A stream row is one card of one scroll: (target, scroll, pos, texto, usuario, timestamp, n_cards, arrived). ``n_cards`` is
+the number of cards the scroll shows, so a scroll is known to be complete however its rows are split over files; a scroll without
+cards is one row with ``pos`` NULL and ``n_cards`` 0. ``arrived`` is the time of the capture; it drives the watermark, by which state
+is dropped and missing scrolls are given up. Rows later than the watermark are not looked at.
 """
 
 from __future__ import annotations
 
-import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from feedloom.operators.limits import first_sightings
+from feedloom.operators.limits import first_sightings, seen_at, value_of
 from feedloom.session import run_dir
 
 RECORD = ["texto", "usuario", "timestamp"]
@@ -31,38 +32,36 @@ SCROLL_SCHEMA = T.StructType(
         T.StructField("usuario", T.StringType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("n_cards", T.LongType()),
+        T.StructField("arrived", T.TimestampType()),
     ]
 )
 
 STOPPED_SCHEMA = T.StructType(
-    [f for f in SCROLL_SCHEMA.fields if f.name != "n_cards"] + [T.StructField("numero", T.LongType())]
+    [f for f in SCROLL_SCHEMA.fields if f.name not in ("n_cards", "arrived")] + [T.StructField("numero", T.LongType())]
 )
 
 _SIGHTING_SCHEMA = "target string, texto string, usuario string, timestamp string, scroll int, pos long"
 
-# Scroll being waited for, records so far, whether the rule has stopped the target, the records seen, and
-# cards of scrolls that are not complete or arrived early.
-_STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("awaited", T.IntegerType()),
-        T.StructField("done", T.BooleanType()),
-        T.StructField("seen", T.StringType()),
-        T.StructField("held", T.StringType()),
-    ]
-)
+#: How long after its own time a row may still come, the width of a distinct state's time span, and how long a missing scroll is waited for.
+DELAY, SPAN, PATIENCE = "1 hour", "1 hour", "10 minutes"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def distinct_updates(scrolls: DataFrame) -> DataFrame:
+def distinct_updates(scrolls: DataFrame, delay: str = DELAY, span: str = SPAN) -> DataFrame:
     """Streaming form of ``first_sightings``; run it in update mode.
 
-    The state is keyed by (target, record), so a hot target is spread over all state partitions, and
-    repeats inside a batch are combined before the shuffle. State is kept for the run: bound it by
-    running one request batch per query.
+    The state is keyed by (target, record) and the time span of the arrival, so a hot target is spread over all state
+    partitions, repeats inside a batch are combined before the shuffle, and a span's state goes once the watermark has passed it: state
+    is bounded by what arrives in ``delay`` and ``span``. A record that comes again in a later span is told again; the earliest sighting
+    of all updates is the answer.
     """
-    return first_sightings(scrolls.where(F.col("pos").isNotNull()), ["target"], RECORD)
+    timed = scrolls.withWatermark("arrived", delay).where(F.col("pos").isNotNull())
+    spans = timed.groupBy("target", *RECORD, F.window("arrived", span).alias("_span"))
+    lowest = spans.agg(F.min(seen_at(F.col("scroll"), F.col("pos"))).alias("_at"))
+    return lowest.select("target", *RECORD, F.shiftright("_at", 32).cast("int").alias("scroll"), (F.col("_at") % F.lit(1 << 32)).alias("pos"))
 
 
-def run_distinct(scrolls: DataFrame, spark: SparkSession) -> DataFrame:
+def run_distinct(scrolls: DataFrame, spark: SparkSession, delay: str = DELAY, span: str = SPAN) -> DataFrame:
     """Run the stream over what has arrived and return the distinct records.
 
     A batch emits the records it touched, in a folder named by the batch, so a repeated batch replaces its
@@ -75,7 +74,7 @@ def run_distinct(scrolls: DataFrame, spark: SparkSession) -> DataFrame:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     (
-        distinct_updates(scrolls)
+        distinct_updates(scrolls, delay, span)
         .writeStream.outputMode("update")
         .option("checkpointLocation", os.path.join(base, "state"))
         .trigger(availableNow=True)
@@ -88,82 +87,172 @@ def run_distinct(scrolls: DataFrame, spark: SparkSession) -> DataFrame:
     return first_sightings(updates, ["target"], RECORD)
 
 
-def stop_rule(least: int, most: int, max_scrolls: int) -> Callable:
-    """The state function of ``scroll_stop`` for one target.
+_LIMITS = ["at_least", "at_most", "last_scroll"]
+_CARD = ["scroll", "pos", *RECORD, "n_cards", "arrived_ms"]
+
 
-    Scrolls are taken in number order, each once all its cards are there. After the stop all is ignored, so
-    the state holds at most ``most`` records, one scroll, and scrolls that arrived early (fewer than
-    ``max_scrolls``).
+class StopRule(StatefulProcessor):
+    """The rule of ``scroll_stop`` for one target, scroll by scroll.
+
+    Scrolls are taken in number order, each once all its cards are there. Cards of others wait in a list; records
+    already told are the keys of a map. If a scroll is missing although a later one has come, a timer runs from the
+    later one's arrival; when the watermark has passed it, the missing scroll counts with the cards that are there, or as an empty one.
+    After the stop only the mark of it stays.
     """
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        awaited, done, seen_json, held_json = state.get if state.exists else (0, False, "[]", "{}")
-        held = {int(k): v for k, v in json.loads(held_json).items()}
-        for batch in batches:
-            if done:
-                continue
-            for scroll, pos, *record, n_cards in batch[
-                ["scroll", "pos", *RECORD, "n_cards"]
-            ].itertuples(index=False, name=None):
-                if scroll < awaited:
-                    continue
-                entry = held.setdefault(int(scroll), {"n": int(n_cards), "cards": {}})
-                if not pd.isna(pos):
-                    entry["cards"][str(int(pos))] = [None if pd.isna(x) else x for x in record]
-        seen = [tuple(r) for r in json.loads(seen_json)]
-        known = set(seen)
-        found = []
-        while not done and awaited in held and len(held[awaited]["cards"]) == held[awaited]["n"]:
-            cards = held.pop(awaited)["cards"]
-            for pos in sorted(map(int, cards)):
-                record = tuple(cards[str(pos)])
-                if record not in known:
-                    known.add(record)
-                    seen.append(record)
-                    found.append((key[0], awaited, pos, *record, len(seen)))
-            done = (
-                (awaited > 0 and len(seen) >= least)
-                or len(seen) >= most
-                or awaited + 1 >= max_scrolls
-            )
+    def __init__(self, patience_ms: int) -> None:
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "awaited int, found long, done boolean, least int, most int, last int, timer long")
+        self.seen = handle.getMapState("seen", "texto string, usuario string, timestamp string", "numero long")
+        self.waiting = handle.getListState("waiting", "scroll int, pos long, texto string, usuario string, timestamp string, n_cards long, arrived_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        if pd.isna(key[0]):  # a tick of the clock
+            return
+        state = self.progress.get()
+        awaited, found, done, *limits, timer = state or (0, 0, False, *(int(new[c].iloc[0]) for c in _LIMITS), -1)
+        if done:
+            return
+        new = new[new["scroll"] >= awaited]
+        yield from self._go_on(key, new[_CARD], awaited, found, limits, timer, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.progress.get()
+        if state is None or state[2]:
+            return
+        awaited, found, _, *limits, _ = state
+        none = pd.DataFrame({c: pd.Series(dtype=object) for c in _CARD})
+        yield from self._go_on(key, none, awaited, found, limits, -1, timerValues.getCurrentWatermarkInMs())
+
+    def _go_on(self, key, new: pd.DataFrame, awaited: int, found: int, limits: list, timer: int, now: int | None) -> Iterator[pd.DataFrame]:
+        """Takes every scroll that can be taken, from the waiting cards and the ``new`` ones; ``now``: the watermark of a timer."""
+        least, most, last = limits
+        # The waiting cards of a target are fewer than max_scrolls pages.
+        cards = pd.concat([pd.DataFrame(list(self.waiting.get()), columns=_CARD), new], ignore_index=True).drop_duplicates(["scroll", "pos"])
+        scrolls = {int(s): part for s, part in cards.groupby("scroll")}
+        known = None
+        done = False
+        while scrolls and not done:
+            here = scrolls.get(awaited)
+            whole = here is not None and int(here["pos"].notna().sum()) >= int(here["n_cards"].iloc[0])
+            if not whole and (now is None or self._deadline(scrolls) > now):
+                break
+            if here is not None:
+                if known is None:
+                    known = {k for k, _ in self.seen.iterator()}
+                fresh = self._fresh(here, known)
+                if len(fresh):
+                    fresh = fresh.assign(target=key[0], scroll=awaited, numero=range(found + 1, found + 1 + len(fresh)))
+                    found += len(fresh)
+                    yield fresh[STOPPED_SCHEMA.names].astype({"scroll": "int32", "pos": "int64", "numero": "int64"})
+                del scrolls[awaited]
+            done = (awaited > 0 and found >= least) or found >= most or awaited + 1 >= last
             awaited += 1
+        if timer >= 0 and (done or not scrolls or self._deadline(scrolls) != timer):
+            self.handle.deleteTimer(timer)
+            timer = -1
         if done:
-            seen, held = [], {}
-        state.update((awaited, done, json.dumps(seen), json.dumps(held)))
-        yield pd.DataFrame(found, columns=STOPPED_SCHEMA.names).astype(
-            {"scroll": "int32", "pos": "int64", "numero": "int64"}
-        )
+            self.seen.clear()
+            self.waiting.clear()
+        else:
+            if scrolls:
+                self.waiting.put(self._rows(pd.concat(scrolls.values())))
+                if timer < 0:
+                    timer = self._deadline(scrolls)
+                    self.handle.registerTimer(timer)
+            else:
+                self.waiting.clear()
+        self.progress.update((awaited, found, done, least, most, last, timer))
+
+    def _deadline(self, scrolls: dict[int, pd.DataFrame]) -> int:
+        return min(int(part["arrived_ms"].min()) for part in scrolls.values()) + self.patience_ms
+
+    def _fresh(self, here: pd.DataFrame, known: set) -> pd.DataFrame:
+        """The scroll's cards with a record not told before, in order; the map learns them."""
+        cards = here[here["pos"].notna()].sort_values("pos").drop_duplicates(RECORD)
+        keys = list(cards[RECORD].astype(object).where(cards[RECORD].notna(), None).apply(tuple, axis=1)) if len(cards) else []
+        fresh = [k not in known for k in keys]
+        for k, is_new in zip(keys, fresh):
+            if is_new:
+                known.add(k)
+                self.seen.updateValue(k, (len(known),))
+        return cards[fresh]
 
-    return step
+    @staticmethod
+    def _rows(cards: pd.DataFrame) -> list[tuple]:
+        kinds = (int, int, str, str, str, int, int)
+        plain = [[None if pd.isna(v) else kind(v) for v in cards[c]] for c, kind in zip(_CARD, kinds)]
+        return list(zip(*plain))
 
 
-def stopped(scrolls: DataFrame, least: int, most: int, max_scrolls: int) -> DataFrame:
-    """Streaming form of ``scroll_stop``; append mode.
+def stopped(scrolls: DataFrame, least: int | str, most: int | str, max_scrolls: int | str, delay: str = DELAY, patience: str = PATIENCE) -> DataFrame:
+    """Streaming form of ``scroll_stop``; append mode, RocksDB state.
 
-    Scrolls that cannot matter are dropped before the shuffle, so one target sends its task at most
-    ``max_scrolls`` pages of cards.
+    Limits are numbers or names of columns that are constant for a target. Scrolls that cannot matter are dropped before the shuffle,
+    so one target sends its task at most ``max_scrolls`` pages of cards. A row without a target only moves the watermark.
     """
-    live = scrolls.where((F.col("scroll") < max_scrolls) & F.lit(most > 0))
-    return live.groupBy("target").applyInPandasWithState(
-        stop_rule(least, most, max_scrolls), STOPPED_SCHEMA, _STATE_SCHEMA, "append", "NoTimeout"
+    timed = scrolls.withWatermark("arrived", delay)
+    limits = dict(zip(_LIMITS, (value_of(x).cast("int") for x in (least, most, max_scrolls))))
+    live = timed.withColumns({**limits, "arrived_ms": F.unix_millis("arrived")}).where("scroll >= 0 AND scroll < last_scroll AND at_most > 0")
+    cards = live.select("target", *_CARD, *_LIMITS, "arrived")
+    return cards.groupBy("target").transformWithStateInPandas(
+        StopRule(int(pd.Timedelta(patience).total_seconds() * 1000)), STOPPED_SCHEMA, "append", "eventTime"
     )
 
 
+@contextmanager
+def _rocks(spark: SparkSession):
+    """Keeps state in RocksDB, which state with lists, maps and timers needs, and sets the session's own choice back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_stopped(
-    scrolls: DataFrame, spark: SparkSession, least: int, most: int, max_scrolls: int
+    scrolls: DataFrame,
+    spark: SparkSession,
+    least: int | str,
+    most: int | str,
+    max_scrolls: int | str,
+    delay: str = DELAY,
+    patience: str = PATIENCE,
+    closing: bool = True,
 ) -> DataFrame:
-    """Run the stop rule over what has arrived and return the numbered records."""
+    """Run the stop rule over what has arrived and return the numbered records.
+
+    With ``closing`` nothing more is expected: a row without a target moves the clock on, and scrolls that are still
+    missing are given up. Without it they are waited for in a later run.
+    """
     base = run_dir(spark, "scroll-stop")
-    out = os.path.join(base, "out")
-    (
-        stopped(scrolls, least, most, max_scrolls)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", os.path.join(base, "state"))
-        .trigger(availableNow=True)
-        .start(out)
-        .awaitTermination()
-    )
+    out, clock = os.path.join(base, "out"), os.path.join(base, "clock")
+    spark.createDataFrame([], scrolls.schema).write.parquet(clock)
+    ticking = scrolls.unionByName(spark.readStream.schema(scrolls.schema).parquet(clock))
+
+    def run() -> None:
+        (
+            stopped(ticking, least, most, max_scrolls, delay, patience)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", os.path.join(base, "state"))
+            .trigger(availableNow=True)
+            .start(out)
+            .awaitTermination()
+        )
+
+    with _rocks(spark):
+        run()
+        if closing:
+            # Filters are pushed below the watermark, so the row has a scroll and limits that pass them.
+            end = {"arrived": F.lit("2200-01-01"), "scroll": F.lit(0), **{x: F.lit(1) for x in (least, most, max_scrolls) if isinstance(x, str)}}
+            tick = spark.range(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in scrolls.schema])
+            tick.write.mode("append").parquet(clock)
+            run()
     return spark.read.schema(STOPPED_SCHEMA).parquet(out)

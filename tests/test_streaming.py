@@ -1,13 +1,14 @@
 """Streams give what the batch operators give, whatever way the rows are split over files and batches."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators.limits import first_sightings, scroll_stop
 from feedloom.sources.scrolls import read_scroll_stream
-from feedloom.streaming.scrolls import RECORD, SCROLL_SCHEMA, run_distinct, run_stopped
+from feedloom.streaming.scrolls import RECORD, SCROLL_SCHEMA, distinct_updates, run_distinct, run_stopped
 
 
 def scroll_rows(seed):
@@ -15,10 +16,11 @@ def scroll_rows(seed):
     rows = []
     for t in range(25):
         for s in range(rng.randint(1, 6)):
+            at = datetime(2024, 1, 1, 12, s, t)
             cards = [(rng.choice("abcdefg"), rng.choice(["u", None]), None) for _ in range(rng.choice([0, 2, 5]))]
-            rows += [(f"t{t}", s, p, *c, len(cards)) for p, c in enumerate(cards, 1)]
+            rows += [(f"t{t}", s, p, *c, len(cards), at) for p, c in enumerate(cards, 1)]
             if not cards:
-                rows.append((f"t{t}", s, None, None, None, None, 0))
+                rows.append((f"t{t}", s, None, None, None, None, 0, at))
     return rows
 
 
@@ -66,3 +68,76 @@ def test_nothing_has_arrived(spark, tmp_path):
     stream = read_scroll_stream(spark, str(folder), SCROLL_SCHEMA)
     assert run_distinct(stream, spark).count() == 0
     assert run_stopped(stream, spark, 1, 2, 3).count() == 0
+
+
+HOLES = "target string, scroll int, pos long, texto string, usuario string, timestamp string, n_cards long, arrived timestamp, a int, b int, c int"
+
+
+def rows_with_holes():
+    """Scrolls that never come, scrolls that lack a card, and limits of each target's own."""
+    rng = random.Random(7)
+    rows = []
+    for t in range(30):
+        limits = (rng.choice([0, 2, 6]), rng.choice([0, 3, 9, 50]), rng.choice([1, 4, 8]))
+        for s in range(8):
+            if rng.random() < 0.3:
+                continue
+            cards = [(rng.choice("abcdefghij"), None, None) for _ in range(rng.choice([1, 3]))]
+            at = datetime(2024, 1, 1, 12) + timedelta(minutes=s, seconds=t)
+            missing = rng.random() < 0.2
+            rows += [(f"t{t}", s, p, *card, len(cards) + missing, at, *limits) for p, card in enumerate(cards, 1)]
+    return rows
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_holes_and_limits_of_each_target(spark, tmp_path, order):
+    rows = rows_with_holes()
+    random.Random(order).shuffle(rows)
+    folder = str(tmp_path / "in")
+    for part in (rows[0::3], rows[1::3], rows[2::3]):
+        spark.createDataFrame(part, HOLES).coalesce(1).write.mode("append").parquet(folder)
+    batch = scroll_stop(spark.createDataFrame(rows, HOLES), ["target"], RECORD, "a", "b", "c")
+    stream = read_scroll_stream(spark, folder, batch_schema(spark, folder))
+    got = run_stopped(stream, spark, "a", "b", "c")
+    columns = ["target", *RECORD, "scroll", "pos", "numero"]
+    assert as_set(got, *columns) == as_set(batch, *columns)
+    waiting = run_stopped(stream, spark, "a", "b", "c", closing=False)
+    assert as_set(waiting, *columns) < as_set(batch, *columns)
+
+
+def batch_schema(spark, folder):
+    return spark.read.parquet(folder).schema
+
+
+def test_a_timer_passes_a_hole_while_the_stream_runs(spark, tmp_path):
+    """Scroll 1 is missing; once the clock is ten minutes on, scroll 2 is told although nothing closes the stream."""
+    folder, noon = str(tmp_path / "in"), datetime(2024, 1, 1, 12)
+    for part in (
+        [("t", 0, 1, "a", None, None, 1, noon), ("t", 2, 1, "b", None, None, 1, noon + timedelta(minutes=2))],
+        [("u", 0, 1, "x", None, None, 1, noon + timedelta(minutes=20))],
+        [("u", 1, 1, "y", None, None, 1, noon + timedelta(minutes=21))],
+    ):
+        spark.createDataFrame(part, SCROLL_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_scroll_stream(spark, folder, SCROLL_SCHEMA)
+    got = run_stopped(stream, spark, 5, 9, 9, delay="1 minute", patience="10 minutes", closing=False)
+    assert as_set(got, "target", "scroll", "texto", "numero") == {("t", 0, "a", 1), ("t", 2, "b", 2), ("u", 0, "x", 1), ("u", 1, "y", 2)}
+
+
+def test_state_of_distinct_records_expires(spark, tmp_path):
+    """Twenty batches of new records, an hour apart: the state never holds more than a few hours' records."""
+    folder, noon = str(tmp_path / "in"), datetime(2024, 1, 1)
+    rows = [(f"t{k % 3}", k // 3, 1, f"post {k if k % 5 else 0}", None, None, 1, noon + timedelta(minutes=6 * k)) for k in range(200)]
+    for k in range(0, 200, 10):
+        spark.createDataFrame(rows[k : k + 10], SCROLL_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_scroll_stream(spark, folder, SCROLL_SCHEMA)
+    held = []
+    query = (
+        distinct_updates(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).foreachBatch(lambda batch, i: batch.write.format("noop").mode("overwrite").save()).start()
+    )
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert len(held) >= 20 and max(held) <= 40
+    batch = first_sightings(spark.createDataFrame(rows, SCROLL_SCHEMA), ["target"], RECORD)
+    columns = ["target", *RECORD, "scroll", "pos"]
+    assert as_set(run_distinct(stream, spark), *columns) == as_set(batch, *columns)
