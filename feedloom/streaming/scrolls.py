@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -87,6 +87,7 @@ def run_distinct(scrolls: DataFrame, spark: SparkSession, delay: str = DELAY, sp
     return first_sightings(updates, ["target"], RECORD)
 
 
+TOLD = Row(*STOPPED_SCHEMA.names)
 _LIMITS = ["at_least", "at_most", "last_scroll"]
 _CARD = ["scroll", "pos", *RECORD, "n_cards", "arrived_ms"]
 
@@ -94,10 +95,10 @@ _CARD = ["scroll", "pos", *RECORD, "n_cards", "arrived_ms"]
 class StopRule(StatefulProcessor):
     """The rule of ``scroll_stop`` for one target, scroll by scroll.
 
-    Scrolls are taken in number order, each once all its cards are there. Cards of others wait in a list; records
-    already told are the keys of a map. If a scroll is missing although a later one has come, a timer runs from the
-    later one's arrival; when the watermark has passed it, the missing scroll counts with the cards that are there, or as an empty one.
-    After the stop only the mark of it stays.
+    Scrolls are taken in number order, each once all its cards are there; others wait in a map by their number. Records already
+    told are a list. If a scroll is missing although a later one has come, a timer runs from the later one's arrival; when the
+    watermark has passed it, the missing scroll counts with the cards that are there, or as an empty one. After the stop only the
+    mark of it stays.
     """
 
     def __init__(self, patience_ms: int) -> None:
@@ -105,88 +106,81 @@ class StopRule(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", "awaited int, found long, done boolean, least int, most int, last int, timer long")
-        self.seen = handle.getMapState("seen", "texto string, usuario string, timestamp string", "numero long")
-        self.waiting = handle.getListState("waiting", "scroll int, pos long, texto string, usuario string, timestamp string, n_cards long, arrived_ms long")
+        self.progress = handle.getValueState("progress", "awaited int, found long, waits int, timer long, done boolean, least int, most int, last int")
+        self.seen = handle.getListState("seen", "texto string, usuario string, timestamp string")
+        cards = "array<struct<pos: long, texto: string, usuario: string, timestamp: string>>"
+        self.waiting = handle.getMapState("waiting", "scroll int", f"n_cards long, arrived_ms long, cards {cards}")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        if pd.isna(key[0]):  # a tick of the clock
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if key[0] is None:  # a tick of the clock
             return
         state = self.progress.get()
-        awaited, found, done, *limits, timer = state or (0, 0, False, *(int(new[c].iloc[0]) for c in _LIMITS), -1)
-        if done:
-            return
-        new = new[new["scroll"] >= awaited]
-        yield from self._go_on(key, new[_CARD], awaited, found, limits, timer, None)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        come: dict[int, tuple] = {}
+        for _, scroll, pos, texto, usuario, timestamp, n_cards, at, *limits, _ in rows:
+            state = state or (0, 0, 0, -1, False, *limits)
+            if not state[4] and scroll >= state[0]:
+                shown, first, cards = come.get(scroll, (n_cards, at, {}))
+                if pos is not None:
+                    cards[pos] = (texto, usuario, timestamp)
+                come[scroll] = (shown, min(first, at), cards)
+        if come:
+            yield from self._go_on(key, state, come, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self.progress.get()
-        if state is None or state[2]:
-            return
-        awaited, found, _, *limits, _ = state
-        none = pd.DataFrame({c: pd.Series(dtype=object) for c in _CARD})
-        yield from self._go_on(key, none, awaited, found, limits, -1, timerValues.getCurrentWatermarkInMs())
-
-    def _go_on(self, key, new: pd.DataFrame, awaited: int, found: int, limits: list, timer: int, now: int | None) -> Iterator[pd.DataFrame]:
-        """Takes every scroll that can be taken, from the waiting cards and the ``new`` ones; ``now``: the watermark of a timer."""
-        least, most, last = limits
-        # The waiting cards of a target are fewer than max_scrolls pages.
-        cards = pd.concat([pd.DataFrame(list(self.waiting.get()), columns=_CARD), new], ignore_index=True).drop_duplicates(["scroll", "pos"])
-        scrolls = {int(s): part for s, part in cards.groupby("scroll")}
-        known = None
-        done = False
-        while scrolls and not done:
-            here = scrolls.get(awaited)
-            whole = here is not None and int(here["pos"].notna().sum()) >= int(here["n_cards"].iloc[0])
-            if not whole and (now is None or self._deadline(scrolls) > now):
+        if state is not None and not state[4]:
+            yield from self._go_on(key, state, {}, timerValues.getCurrentWatermarkInMs())
+
+    def _go_on(self, key, state, come: dict[int, tuple], now: int | None) -> Iterator[Row]:
+        """Takes every scroll that can be taken, of those that have ``come`` and those that wait; ``now``: the watermark of a timer."""
+        awaited, found, waits, timer, _, least, most, last = state
+        before = found
+        held: dict[int, tuple] = {}
+        if waits:
+            held = {k[0]: (n, at, {c[0]: tuple(c)[1:] for c in cards}) for k, (n, at, cards) in self.waiting.iterator()}
+        stored = set(held)
+        for scroll, (n, at, cards) in come.items():
+            shown, first, there = held.get(scroll, (n, at, {}))
+            held[scroll] = (shown, min(first, at), {**cards, **there})
+        told, known, done = [], None, False
+        while held and not done:
+            here = held.get(awaited)
+            if (here is None or len(here[2]) < here[0]) and (now is None or self._deadline(held) > now):
                 break
             if here is not None:
                 if known is None:
-                    known = {k for k, _ in self.seen.iterator()}
-                fresh = self._fresh(here, known)
-                if len(fresh):
-                    fresh = fresh.assign(target=key[0], scroll=awaited, numero=range(found + 1, found + 1 + len(fresh)))
-                    found += len(fresh)
-                    yield fresh[STOPPED_SCHEMA.names].astype({"scroll": "int32", "pos": "int64", "numero": "int64"})
-                del scrolls[awaited]
+                    known = {tuple(r) for r in self.seen.get()} if found else set()
+                for pos in sorted(here[2]):
+                    record = here[2][pos]
+                    if record not in known:
+                        known.add(record)
+                        told.append(record)
+                        found += 1
+                        yield TOLD(key[0], awaited, pos, *record, found)
+                del held[awaited]
             done = (awaited > 0 and found >= least) or found >= most or awaited + 1 >= last
             awaited += 1
-        if timer >= 0 and (done or not scrolls or self._deadline(scrolls) != timer):
-            self.handle.deleteTimer(timer)
-            timer = -1
         if done:
+            held = {}
+        for scroll in stored - set(held):
+            self.waiting.removeKey((scroll,))
+        for scroll in set(come) & set(held):
+            n, at, cards = held[scroll]
+            self.waiting.updateValue((scroll,), (n, at, [(pos, *record) for pos, record in sorted(cards.items())]))
+        if told and not done:
+            self.seen.appendList(told)
+        elif done and before:
             self.seen.clear()
-            self.waiting.clear()
-        else:
-            if scrolls:
-                self.waiting.put(self._rows(pd.concat(scrolls.values())))
-                if timer < 0:
-                    timer = self._deadline(scrolls)
-                    self.handle.registerTimer(timer)
-            else:
-                self.waiting.clear()
-        self.progress.update((awaited, found, done, least, most, last, timer))
-
-    def _deadline(self, scrolls: dict[int, pd.DataFrame]) -> int:
-        return min(int(part["arrived_ms"].min()) for part in scrolls.values()) + self.patience_ms
-
-    def _fresh(self, here: pd.DataFrame, known: set) -> pd.DataFrame:
-        """The scroll's cards with a record not told before, in order; the map learns them."""
-        cards = here[here["pos"].notna()].sort_values("pos").drop_duplicates(RECORD)
-        keys = list(cards[RECORD].astype(object).where(cards[RECORD].notna(), None).apply(tuple, axis=1)) if len(cards) else []
-        fresh = [k not in known for k in keys]
-        for k, is_new in zip(keys, fresh):
-            if is_new:
-                known.add(k)
-                self.seen.updateValue(k, (len(known),))
-        return cards[fresh]
-
-    @staticmethod
-    def _rows(cards: pd.DataFrame) -> list[tuple]:
-        kinds = (int, int, str, str, str, int, int)
-        plain = [[None if pd.isna(v) else kind(v) for v in cards[c]] for c, kind in zip(_CARD, kinds)]
-        return list(zip(*plain))
+        due = self._deadline(held) if held else -1
+        if due != timer:
+            if timer >= 0 and now is None:
+                self.handle.deleteTimer(timer)
+            if due >= 0:
+                self.handle.registerTimer(due)
+        self.progress.update((awaited, found, len(held), due, done, least, most, last))
+
+    def _deadline(self, held: dict[int, tuple]) -> int:
+        return min(at for _, at, _ in held.values()) + self.patience_ms
 
 
 def stopped(scrolls: DataFrame, least: int | str, most: int | str, max_scrolls: int | str, delay: str = DELAY, patience: str = PATIENCE) -> DataFrame:
@@ -199,7 +193,7 @@ def stopped(scrolls: DataFrame, least: int | str, most: int | str, max_scrolls:
     limits = dict(zip(_LIMITS, (value_of(x).cast("int") for x in (least, most, max_scrolls))))
     live = timed.withColumns({**limits, "arrived_ms": F.unix_millis("arrived")}).where("scroll >= 0 AND scroll < last_scroll AND at_most > 0")
     cards = live.select("target", *_CARD, *_LIMITS, "arrived")
-    return cards.groupBy("target").transformWithStateInPandas(
+    return cards.groupBy("target").transformWithState(
         StopRule(int(pd.Timedelta(patience).total_seconds() * 1000)), STOPPED_SCHEMA, "append", "eventTime"
     )
 
@@ -236,20 +230,24 @@ def run_stopped(
     spark.createDataFrame([], scrolls.schema).write.parquet(clock)
     ticking = scrolls.unionByName(spark.readStream.schema(scrolls.schema).parquet(clock))
 
-    def run() -> None:
-        (
+    def run() -> int | None:
+        """Timers that still run afterwards; None where that is not known any more."""
+        query = (
             stopped(ticking, least, most, max_scrolls, delay, patience)
             .writeStream.format("parquet")
             .outputMode("append")
             .option("checkpointLocation", os.path.join(base, "state"))
             .trigger(availableNow=True)
             .start(out)
-            .awaitTermination()
         )
+        query.awaitTermination()
+        counts = [p.stateOperators[0].customMetrics for p in query.recentProgress if p.stateOperators]
+        told = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+        running = sum(c["numRegisteredTimers"] - c["numDeletedTimers"] - c["numExpiredTimers"] for c in counts)
+        return running if len(query.recentProgress) < told else None
 
     with _rocks(spark):
-        run()
-        if closing:
+        if run() != 0 and closing:
             # Filters are pushed below the watermark, so the row has a scroll and limits that pass them.
             end = {"arrived": F.lit("2200-01-01"), "scroll": F.lit(0), **{x: F.lit(1) for x in (least, most, max_scrolls) if isinstance(x, str)}}
             tick = spark.range(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in scrolls.schema])
