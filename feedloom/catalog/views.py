@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from feedloom import presets
 from feedloom.operators.blocks import dense_number
 from feedloom.operators.cards import explode_cards_flat, read_cards
 from feedloom.schema import PAGE_SCHEMA
-from feedloom.sources.pages import read_pages
+from feedloom.session import run_dir
+from feedloom.sources.pages import land_pages, read_pages
 
 # Cards of two kinds: navigation links (flat markup), and articles (nested, with unclosed paragraphs).
 # The leading selectors match nothing in these pages, so the ordered fallback is exercised.
@@ -48,12 +50,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, os.path.join(sf_dir, "pages.parquet")).select("page_id", "url", "html")
+    """The given pages, landed in small files once per application: the given table is one row group, which one task would parse."""
+    path = os.path.join(sf_dir, "pages.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    if key in _LANDED:
+        try:
+            return read_pages(spark, _LANDED[key])
+        except AnalysisException:  # the shared folder was cleaned
+            pass
+    folder = run_dir(spark, "pages")
+    landed = land_pages(read_pages(spark, path).select("page_id", "url", "html"), folder)
+    _LANDED[key] = folder
+    return landed
 
 
 def link_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_cards_flat(pages(spark, sf_dir).drop("url"), FLAT_LINKS, "texto")
+    given = read_pages(spark, os.path.join(sf_dir, "pages.parquet"))
+    return explode_cards_flat(given.drop("url"), FLAT_LINKS, "texto")
 
 
 def posts_conv(spark: SparkSession, sf_dir: str) -> DataFrame:

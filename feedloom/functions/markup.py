@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from feedloom.functions.text import _col
@@ -49,6 +51,7 @@ _NO_ATTRS: dict = {}
 _BLANKS = re.compile(r"[\t\n\r\f][ \t\n\r\f]*| [ \t\n\r\f]+")
 _STEP = re.compile(r"(?:^(?P<tag>[\w-]+))|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)=(['\"])(?P<val>.*?)\4\]")
 _BREAK = "\n"
+_LINE_END = re.compile("\n")
 
 
 def parse_selector(selector: str) -> tuple:
@@ -68,15 +71,15 @@ def parse_selector(selector: str) -> tuple:
 class PageTree(HTMLParser):
     """Elements in document order, each with its span in one flat list of text pieces.
 
-    A piece is a string, a line break, or an int: a block boundary asking for that many line breaks.
+    A piece is a string, a line break, or an int: a block boundary, 2 for a paragraph's. One tree serves all renderings and selectors.
     """
 
-    def __init__(self, rendering: str):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines = rendering == "lines"
-        self.gaps = dict.fromkeys(BLOCK, 1)
-        if not self.lines:
-            self.gaps["p"] = 2
+        self.gaps = {**dict.fromkeys(BLOCK, 1), "p": 2}
+        self._rendered: dict[str, Rendered] = {}
+        self._hits: dict[tuple, list[int]] = {}
+        self._levels: dict[tuple, list[int]] = {}
         self.tags: list[str] = []
         self.attrs: list[dict] = []
         self.parents: list[int] = []
@@ -198,55 +201,118 @@ class PageTree(HTMLParser):
 
     def select(self, steps: tuple) -> list[int]:
         """Elements matching a parsed selector, in document order."""
-        *above, last = steps
-        pool = self.by_tag.get(last[0], ()) if last[0] else range(len(self.tags))
-        return [n for n in pool if self._fits(n, last) and self._under(n, above)]
-
-    def _under(self, n: int, above: list) -> bool:
-        for step in reversed(above):
-            n = self.parents[n]
-            while n >= 0 and not self._fits(n, step):
-                n = self.parents[n]
-            if n < 0:
-                return False
-        return True
-
-    def text(self, n: int) -> str:
-        """Rendered text: blanks collapsed, block boundaries and <br> as line breaks, hidden parts left out."""
+        if steps not in self._hits:
+            *above, last = steps
+            pool = self.by_tag.get(last[0], ()) if last[0] else range(len(self.tags))
+            hits = [n for n in pool if self._fits(n, last)]
+            if above and hits:
+                reached = self._reached(tuple(above))
+                hits = [n for n in hits if self.parents[n] >= 0 and reached[self.parents[n]] == len(above)]
+            self._hits[steps] = hits
+        return self._hits[steps]
+
+    def _reached(self, above: tuple) -> list[int]:
+        """For each element how many of the steps, in order, it and the elements around it fulfil."""
+        if above not in self._levels:
+            out = []
+            for n, parent in enumerate(self.parents):
+                level = out[parent] if parent >= 0 else 0
+                out.append(level + (level < len(above) and self._fits(n, above[level])))
+            self._levels[above] = out
+        return self._levels[above]
+
+    def text(self, n: int, rendering: str) -> str:
+        """An element's rendered text."""
+        if rendering not in self._rendered:
+            self._rendered[rendering] = Rendered(self.pieces, rendering == "lines")
+        return self._rendered[rendering].between(self.first[n], self.last[n])
+
+
+class Rendered:
+    """A page's text, written once; the text of any run of pieces is a slice of it.
+
+    Blanks are collapsed, block boundaries and <br> become line breaks, hidden parts are left out. What comes before a run decides
+    only about a blank or line breaks at its front, and those a run never begins with, so its text is cut out from its first own
+    character on. A blank at the end of a piece is held back until text follows on the same line.
+    """
+
+    def __init__(self, pieces: list, lines: bool):
+        self.lines = lines
         out: list[str] = []
-        gap = 0
-        soft = False  # the text so far ends in a blank that a line end swallows
-        for piece in self.pieces[self.first[n] : self.last[n]]:
+        at = gap = 0
+        newline, soft = False, False
+        self.begin: list[int] = []  # where a piece's own text starts
+        self.end = [0]  # where the text ends before each piece, the held-back blank left out
+        shows: list[bool] = []  # whether a run may start with the piece
+        for piece in pieces:
+            shown = ""
             if isinstance(piece, int):
-                gap = max(gap, piece)
-                continue
-            if isinstance(piece, tuple):
+                gap = max(gap, 1 if lines else piece)
+                shows.append(False)
+            elif isinstance(piece, tuple):
                 shown = piece[0]
+                shows.append(bool(shown))
             elif piece == _BREAK:
                 shown = piece
+                shows.append(True)
             else:
-                fresh = gap or not out or soft or out[-1].endswith("\n")
-                shown = piece[1:] if fresh and piece.startswith(" ") else piece
+                blank = piece.startswith(" ")
+                shown = piece[1:] if blank and (gap or not at or soft or newline) else piece
+                shows.append(len(piece) > blank)
             if not shown:
+                self.begin.append(at)
+                self.end.append(at)
                 continue
-            if soft and (shown == _BREAK or gap):
-                out[-1] = out[-1][:-1]
+            if soft and not (shown == _BREAK or gap):
+                out.append(" ")
+                at += 1
             # The line after a <br> is already a new one where lines are what is written.
-            if gap and out and not (self.lines and out[-1].endswith("\n")):
+            if gap and at and not (lines and newline):
                 out.append("\n" * gap)
+                at += gap
             gap = 0
-            out.append(shown)
-            soft = isinstance(piece, str) and shown.endswith(" ")
-        if soft:
-            out[-1] = out[-1][:-1]
-        text = "".join(out)
-        if self.lines:
-            return "\n".join(line.strip() for line in text.replace("\xa0", " ").split("\n")).strip()
-        return text
+            own = isinstance(piece, str) and piece != _BREAK
+            soft = own and shown.endswith(" ")
+            self.begin.append(at + (own and shown.startswith(" ")))
+            written = shown[:-1] if soft else shown
+            if written:
+                out.append(written)
+                at += len(written)
+                newline = written.endswith("\n")
+            self.end.append(at)
+        self.next = [len(pieces)] * (len(pieces) + 1)
+        for i in range(len(pieces) - 1, -1, -1):
+            self.next[i] = i if shows[i] else self.next[i + 1]
+        self.text = "".join(out)
+        if lines:
+            self.text = self.text.replace("\xa0", " ")
+            self.line_at = [0, *(m.end() for m in _LINE_END.finditer(self.text))]
+            trimmed = [line.strip() for line in self.text.split("\n")]
+            self.trimmed = "\n".join(trimmed)
+            self.trimmed_at = [0]
+            for line in trimmed:
+                self.trimmed_at.append(self.trimmed_at[-1] + len(line) + 1)
+
+    def between(self, first: int, last: int) -> str:
+        """The text of the pieces from ``first`` to before ``last``."""
+        piece = self.next[first]
+        if piece >= last:
+            return ""
+        a, b = self.begin[piece], self.end[last]
+        if not self.lines:
+            return self.text[a:b]
+        i, j = bisect_right(self.line_at, a) - 1, bisect_right(self.line_at, b) - 1
+        if i == j:
+            return self.text[a:b].strip()
+        front, back = self.text[a : self.line_at[i + 1]].strip(), self.text[self.line_at[j] : b].strip()
+        return f"{front}\n{self.trimmed[self.trimmed_at[i + 1] : self.trimmed_at[j]]}{back}".strip()
 
 
-def _within(tree: PageTree, hits: list[int], card: int) -> list[int]:
-    return hits[bisect_right(hits, card) : bisect_left(hits, tree.end[card] + 1)]
+def _within(tree: PageTree, hits: list[int], card: int, every: bool) -> list[int]:
+    """The matches inside a card, in document order; only the first unless ``every``."""
+    first = bisect_right(hits, card)
+    last = bisect_left(hits, tree.end[card] + 1)
+    return hits[first:last] if every else hits[first : min(last, first + 1)]
 
 
 @dataclass(frozen=True)
@@ -258,6 +324,7 @@ class Reader:
     time_attr: str
     rendering: str
     whole: bool
+    every: bool
 
     @staticmethod
     def of(spec: CardSpec) -> Reader:
@@ -270,21 +337,29 @@ class Reader:
             spec.time_attr,
             spec.rendering,
             spec.mode in ("A_lenient", "B_visible"),
+            spec.mode == "A_lenient",  # the one mode that reads more than a selector's first match
         )
 
 
-def page_cards(html: str | None, reader: Reader, cap: int | None = None) -> dict:
-    """Cards of one page. A page or card that cannot be read is reported in ``error``, not raised."""
+def page_cards(html: str | None, readers: Sequence[Reader], caps: Sequence[int | None] | None = None) -> list[dict]:
+    """Cards of one page for each reader; the page is parsed once. A page or card that cannot be read is reported in ``error``, not raised."""
     if html is None:
-        return {"found": 0, "cards": [], "error": None}
+        return [{"found": 0, "cards": [], "error": None}] * len(readers)
     try:
-        tree = PageTree(reader.rendering)
+        tree = PageTree()
         tree.feed(html)
         tree.finish()
+    except Exception as e:  # noqa: BLE001 - any unreadable page is quarantined
+        return [{"found": 0, "cards": [], "error": f"{type(e).__name__}: {e}"}] * len(readers)
+    return [_cards_for(tree, reader, cap) for reader, cap in zip(readers, caps or [None] * len(readers))]
+
+
+def _cards_for(tree: PageTree, reader: Reader, cap: int | None) -> dict:
+    try:
         cards = next((hits for hits in map(tree.select, reader.containers) if hits), [])
         wanted = cards if cap is None else cards[:cap]
         lists = [[tree.select(s) for s in steps] if wanted else [] for steps in reader.fields]
-    except Exception as e:  # noqa: BLE001 - any unreadable page is quarantined
+    except Exception as e:  # noqa: BLE001
         return {"found": 0, "cards": [], "error": f"{type(e).__name__}: {e}"}
     return {
         "found": len(cards),
@@ -294,20 +369,23 @@ def page_cards(html: str | None, reader: Reader, cap: int | None = None) -> dict
 
 
 def _card(tree: PageTree, reader: Reader, pos: int, n: int, lists: list) -> dict:
+    def text(m: int) -> str:
+        return tree.text(m, reader.rendering)
+
     try:
-        texts, users, times = ([_within(tree, hits, n) for hits in hit_lists] for hit_lists in lists)
-        texts = [[tree.text(m) for m in hits] for hits in texts]
+        texts, users, times = ([_within(tree, hits, n, reader.every and not k) for hits in hit_lists] for k, hit_lists in enumerate(lists))
+        texts = [list(map(text, hits)) for hits in texts]
         # No mode falls back to the whole card's text when the first match has text of its own.
         own = next((hits[0] for hits in texts if hits), "").strip()
         return {
             "pos": pos,
             "texts": texts,
-            "users": [[tree.text(m) for m in hits] for hits in users],
+            "users": [list(map(text, hits)) for hits in users],
             "times": [
-                [{"attr": tree.attrs[m].get(reader.time_attr), "text": tree.text(m)} for m in hits]
+                [{"attr": tree.attrs[m].get(reader.time_attr), "text": text(m)} for m in hits]
                 for hits in times
             ],
-            "whole": tree.text(n) if reader.whole and not own else None,
+            "whole": text(n) if reader.whole and not own else None,
             "error": None,
         }
     except Exception as e:  # noqa: BLE001 - one bad card must not lose the others
@@ -317,41 +395,47 @@ def _card(tree: PageTree, reader: Reader, pos: int, n: int, lists: list) -> dict
         }
 
 
-def _may_hold_cards(html: Column, spec: CardSpec) -> Column:
+def _may_hold_cards(html: Column, specs: Sequence[CardSpec]) -> Column:
     """False only for pages without any container tag. Tag names cannot be written as entities."""
-    tags = {parse_selector(s)[-1][0] for s in spec.containers}
+    tags = {parse_selector(s)[-1][0] for spec in specs for s in spec.containers}
     if None in tags:
         return F.lit(True)
     return html.rlike(r"(?i)<(?:" + "|".join(sorted(tags)) + r")[\s/>]")
 
 
 def cards_of_page(html: Column | str, spec: CardSpec, cap: Column | None = None) -> Column:
-    """Struct of PAGE_CARDS_TYPE for each page.
+    """Struct of PAGE_CARDS_TYPE for each page, as ``cards_by_spec`` gives it for one spec."""
+    return F.get(cards_by_spec(html, [spec], [F.lit(None) if cap is None else cap]), F.lit(0))
+
+
+def cards_by_spec(html: Column | str, specs: Sequence[CardSpec], caps: Sequence[Column] | None = None) -> Column:
+    """Array of PAGE_CARDS_TYPE for each page, one entry per spec in the given order; a page is parsed once for all.
 
-    ``cap`` bounds the cards read per page (NULL: all); ``found`` still counts every one. Pages without
+    ``caps`` bound the cards read per page, one for each spec (NULL: all); ``found`` still counts every one. Pages without
     any container tag are not sent to Python. The function is marked non-deterministic so that later
     filters are not pushed through it, which would run it twice: filter pages before calling this.
     """
-    arrow_type = to_arrow_type(PAGE_CARDS_TYPE)
-    reader = Reader.of(spec)
+    result = T.ArrayType(PAGE_CARDS_TYPE)
+    arrow_type = to_arrow_type(result)
+    readers = [Reader.of(spec) for spec in specs]
 
-    @F.arrow_udf(PAGE_CARDS_TYPE)
-    def read_cards(pages: pa.Array, caps: pa.Array) -> pa.Array:
-        rows = [page_cards(h, reader, c) for h, c in zip(pages.to_pylist(), caps.to_pylist())]
+    @F.arrow_udf(result)
+    def read_cards(pages: pa.Array, limits: pa.Array) -> pa.Array:
+        rows = [page_cards(h, readers, c) for h, c in zip(pages.to_pylist(), limits.to_pylist())]
         return pa.array(rows, type=arrow_type)
 
     page = _col(html)
-    limit = F.lit(None).cast("long") if cap is None else cap.cast("long")
-    return read_cards.asNondeterministic()(F.when(_may_hold_cards(page, spec), page), limit)
+    limits = F.array(*[(F.lit(None) if caps is None else caps[i]).cast("long") for i in range(len(specs))])
+    return read_cards.asNondeterministic()(F.when(_may_hold_cards(page, specs), page), limits)
 
 
 def page_text(html: str | None, rendering: str) -> str | None:
     if html is None:
         return None
     try:
-        tree = PageTree(rendering)
+        tree = PageTree()
         tree.feed(f"<x-page>{html}")
-        return tree.finish().text(0)
+        return tree.finish().text(0, rendering)
     except Exception:  # noqa: BLE001 - one unreadable page must not end the query
         return None
 

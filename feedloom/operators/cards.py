@@ -7,12 +7,12 @@ and no key can become hot, because a page is one row. Only what survives is expl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.markup import cards_of_page
+from feedloom.functions.markup import cards_by_spec, cards_of_page
 from feedloom.functions.predicates import hashtag_cs, keyword_ci, non_blank
 from feedloom.functions.text import clean_handle, strip_ws
 from feedloom.presets import UNKNOWN_USER, CardSpec
@@ -32,6 +32,14 @@ def read_cards(pages: DataFrame, spec: CardSpec, cap: Column | None = None) -> D
     )
 
 
+def read_cards_by_spec(pages: DataFrame, specs: Sequence[CardSpec], caps: Sequence[Column] | None = None) -> DataFrame:
+    """Replace ``html`` by one column per spec, ``_0``, ``_1`` …, of PAGE_CARDS_TYPE; every page is parsed once."""
+    kept = [c for c in pages.columns if c != "html"]
+    return pages.withColumn("_pages", cards_by_spec("html", specs, caps)).select(
+        *kept, *[F.get("_pages", F.lit(i)).alias(f"_{i}") for i in range(len(specs))]
+    )
+
+
 def explode_cards(pages: DataFrame, spec: CardSpec, cap: Column | None = None) -> DataFrame:
     """One row per card, with its 1-based position on the page."""
     cards = read_cards(pages, spec, cap)

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from feedloom import presets
 from feedloom.functions.predicates import not_blocked
 from feedloom.functions.urls import made_from
-from feedloom.operators.cards import candidate_cap, kept_posts, page_posts, read_cards
+from feedloom.operators.cards import candidate_cap, kept_posts, page_posts, read_cards, read_cards_by_spec
 from feedloom.operators.fallback import first_nonempty_page, first_unblocked_source, usable_sources
 from feedloom.operators.limits import scroll_stop
 from feedloom.presets import CardSpec
 from feedloom.schema import POST_COLUMNS
+from feedloom.session import run_dir
 from feedloom.sources.requests import candidate_urls, with_defaults
 
 DEFAULT_SPECS = {
@@ -38,6 +39,12 @@ DEFAULT_SPECS = {
     ("user", "a"): presets.USER_A,
     ("user", "b"): presets.USER_B,
 }
+TEMPLATES = {
+    ("hashtag", "a"): presets.HASHTAG_URLS_A,
+    ("hashtag", "b"): presets.HASHTAG_URLS_B,
+    ("user", "a"): presets.USER_URLS_A,
+    ("user", "b"): presets.USER_URLS_B,
+}
 RESULT_COLUMNS = ("req_id", *POST_COLUMNS)
 _RECORD = ["texto", "usuario", "timestamp"]
 
@@ -251,8 +258,10 @@ def run_requests(
     """Requests of all kinds and engines in one plan, results keyed by ``req_id``.
 
     ``snapshots`` is one table for all, or one per (kind, engine), for captures kept apart or extracted
-    beforehand.
+    beforehand. Of one table every page is parsed once for all kinds (``extract_for_all``).
     """
+    if isinstance(snapshots, DataFrame) and "cards" not in snapshots.columns:
+        snapshots, prune = extract_for_all(requests, snapshots, specs, address_book, prune), False
 
     def of(kind: str, engine: str) -> tuple[DataFrame, DataFrame, CardSpec, DataFrame | None]:
         asked = requests.where((F.col("kind") == kind) & (F.col("engine") == engine))
@@ -268,6 +277,41 @@ def run_requests(
     return reduce(DataFrame.unionByName, [p.select(*RESULT_COLUMNS) for p in parts])
 
 
+def extract_for_all(
+    requests: DataFrame,
+    snapshots: DataFrame,
+    specs: Mapping[tuple[str, str], CardSpec] = DEFAULT_SPECS,
+    address_book: DataFrame | None = None,
+    prune: bool = True,
+) -> dict[tuple[str, str], DataFrame]:
+    """The snapshots' cards for each (kind, engine): one parse of a page whatever the number of specs, written to the shared folder.
+
+    With ``prune`` pages nobody asked for are left out, and a page's cards are read only for the kinds that asked for it. A spec reads no
+    further than the largest cap of its requests (engine B's profile job reads all cards). Failed captures stay, without cards.
+    """
+    names = list(specs)
+    asked = F.struct("kind", "engine")
+    which = F.coalesce(*[F.when(asked == F.struct(F.lit(k), F.lit(e)), F.lit(1 << i)) for i, (k, e) in enumerate(names)])
+    ready = with_defaults(requests)
+    widest = ready.groupBy("kind", "engine").agg(F.when(F.min("max_tweets") >= 0, F.max("max_tweets")).alias("most"))
+    most = {(r["kind"], r["engine"]): r["most"] for r in widest.collect()}  # one row a kind
+    caps = [F.lit(None if name == ("user", "b") else most.get(name)).cast("long") for name in names]
+    if address_book is None:
+        snapshots = snapshots.where(made_from("requested_url", sorted({t for name in names for t in TEMPLATES[name]})))
+    if prune:
+        wanted = candidates_of(requests, address_book).groupBy("requested_url").agg(F.bit_or(which).alias("_which"))
+        snapshots = snapshots.join(wanted, "requested_url")
+        caps = [F.when(F.col("_which").bitwiseAND(F.lit(1 << i)) != 0, cap).otherwise(F.lit(0)) for i, cap in enumerate(caps)]
+    usable = F.when(F.col("status") == "ok", F.col("html")).alias("html")
+    kept = ["requested_url", "scroll", "url", "status"]
+    pages = snapshots.select(*kept, usable, *[cap.alias(f"_cap{i}") for i, cap in enumerate(caps)])
+    read = read_cards_by_spec(pages, list(specs.values()), [F.col(f"_cap{i}") for i in range(len(names))])
+    folder = run_dir(requests.sparkSession, "cards")
+    read.select(*kept, *[f"_{i}" for i in range(len(names))]).write.parquet(folder)
+    cards = requests.sparkSession.read.parquet(folder)
+    return {name: cards.select(*kept, f"_{i}.found", f"_{i}.cards", F.col(f"_{i}.error").alias("page_error")) for i, name in enumerate(names)}
+
+
 def page_report(results: DataFrame) -> DataFrame:
     """Counts per stage of ``page_results``: cards found, inspected under the cap, posts kept.
 

@@ -11,12 +11,39 @@ from feedloom.schema import PAGE_SCHEMA
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages kept as a parquet table (page_id, url, html), read where they lie.
 
-    Extraction is bound by CPU and runs per split. For more and smaller splits write pages in smaller row groups and
-    lower ``spark.sql.files.maxPartitionBytes``; markup is not shuffled for it.
+    Extraction is bound by CPU and runs per split. Land pages that come in a few large row groups with ``land_pages``, so that all
+    cores get some; markup is not shuffled for it.
     """
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
+def land_pages(pages: DataFrame, folder: str, rows_per_file: int = 256) -> DataFrame:
+    """``pages`` written once in files small enough to spread their parsing, and read from there.
+
+    Each task cuts its own rows into files as it writes them, in their order; there is no exchange. Spark packs small files
+    into splits by bytes and cores, so on large tables a split still holds many of them.
+    """
+    pages.write.option("maxRecordsPerFile", rows_per_file).parquet(folder)
+    return pages.sparkSession.read.schema(pages.schema).parquet(folder)
+
+
+def store_snapshots(snapshots: DataFrame, table: str, folder: str, buckets: int, rows_per_group: int = 1000) -> DataFrame:
+    """Snapshots kept as a table bucketed by ``requested_url``, its files sorted by (requested_url, scroll).
+
+    The one shuffle of markup in its life. Afterwards a job's semi-join on the asked addresses and the join of cards with requests
+    move the narrow side only, to the same buckets. Small row groups let a reader skip addresses that nobody asked for.
+    """
+    (
+        snapshots.repartition(buckets, "requested_url")
+        .write.option("path", folder)
+        .option("parquet.block.row.count.limit", rows_per_group)
+        .bucketBy(buckets, "requested_url")
+        .sortBy("requested_url", "scroll")
+        .saveAsTable(table)
+    )
+    return snapshots.sparkSession.table(table)
+
+
 def read_page_dumps(spark: SparkSession, folder: str) -> DataFrame:
     """Raw page dumps, one HTML file each: (path, html)."""
     files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)

@@ -11,6 +11,7 @@ from feedloom.operators.cards import (
     page_posts,
     quarantined,
     read_cards,
+    read_cards_by_spec,
 )
 
 ALL = {"A_lenient": presets.HASHTAG_A, "A_strict": presets.USER_A, "B_plain": presets.HASHTAG_B, "B_visible": presets.USER_B}
@@ -159,15 +160,15 @@ def test_min_zero_differs_between_engines(spark):
 def test_unreadable_cards_are_set_aside(spark, monkeypatch):
     good = markup.PageTree.text
 
-    def text(self, n):
+    def text(self, n, rendering):
         if self.attrs[n].get("id") == "bad":
             raise ValueError("broken")
-        return good(self, n)
+        return good(self, n, rendering)
 
     monkeypatch.setattr(markup.PageTree, "text", text)
     html = card(TEXT("a")) + card("<div data-testid='tweetText' id='bad'>b</div>") + card(TEXT("c"))
     reader = markup.Reader.of(presets.HASHTAG_A)
-    page = markup.page_cards(html, reader)
+    (page,) = markup.page_cards(html, [reader])
     assert [c["error"] for c in page["cards"]] == [None, "ValueError: broken", None]
     assert [c["pos"] for c in page["cards"]] == [1, 2, 3]
 
@@ -175,11 +176,11 @@ def test_unreadable_cards_are_set_aside(spark, monkeypatch):
         raise RuntimeError("no page")
 
     monkeypatch.setattr(markup.PageTree, "feed", feed)
-    assert markup.page_cards(html, reader) == {
+    assert markup.page_cards(html, [reader]) == [{
         "found": 0,
         "cards": [],
         "error": "RuntimeError: no page",
-    }
+    }]
 
 
 def test_quarantine_and_results_split(spark):
@@ -233,7 +234,7 @@ def test_rendered_text():
 
 
 def test_selectors():
-    tree = markup.PageTree("lines")
+    tree = markup.PageTree()
     tree.feed(
         "<div class='a b'><span id=1>x</span></div><span class='b' id=2></span>"
         "<div data-testid='User-Name'><p><span id=3></span></p></div><DIV DATA-TESTID=User-Name></DIV>"
@@ -266,7 +267,7 @@ def test_malformed_declarations_are_comments(html, text):
     got = markup.page_text(html, "lines")
     assert [line for line in got.split("\n") if line][0] == "a" and "<" not in got and "x" not in got
     reader = markup.Reader.of(presets.HASHTAG_A.with_selectors(containers=("p",), text=("p",), user=("b",), time=("a",)))
-    page = markup.page_cards(html, reader)
+    (page,) = markup.page_cards(html, [reader])
     assert page["error"] is None and page["found"] >= 1
 
 
@@ -274,3 +275,34 @@ def test_lost_markup_is_quarantined(spark):
     pages = spark.createDataFrame([(1, "<p>no cards</p>"), (2, None), (3, "")], "id int, html string")
     cards = read_cards(pages, presets.HASHTAG_A)
     assert [tuple(r) for r in quarantined(cards, ["id"]).collect()] == [(2, None, "no markup")]
+
+
+def test_nested_cards_take_no_longer_than_their_text():
+    """Unclosed articles stand in one another: each card's text is a slice, and only what a mode reads is rendered."""
+    import time
+
+    html = "<article>x" * 4000
+    for preset in (presets.HASHTAG_A, presets.USER_B):
+        reader = markup.Reader.of(preset.with_selectors(containers=("article",), text=("p",), user=("b i",), time=("a",)))
+        start = time.perf_counter()
+        (page,) = markup.page_cards(html, [reader])
+        assert time.perf_counter() - start < 2
+        assert page["found"] == 4000
+        assert [len(c["whole"].replace("\n", "")) for c in page["cards"][:3999:500]] == list(range(4000, 0, -500))
+
+
+def test_one_parse_serves_every_spec(spark, monkeypatch):
+    html = card(TEXT("a<p>b</p>") + "<time datetime='t'>now</time>") + "<div class='tweet'><p class='tweet-text'>c</p></div>"
+    specs = [presets.HASHTAG_A, presets.HASHTAG_B, presets.USER_A, presets.USER_B]
+    readers = [markup.Reader.of(s) for s in specs]
+    alone = [markup.page_cards(html, [r])[0] for r in readers]
+    feeds = []
+    feed = markup.PageTree.feed
+    monkeypatch.setattr(markup.PageTree, "feed", lambda self, text: (feeds.append(text), feed(self, text))[1])
+    assert markup.page_cards(html, readers) == alone and len(feeds) == 1
+    assert [len(p["cards"]) for p in markup.page_cards(html, readers, [0, None, 1, 5])] == [0, 1, 1, 1]
+    pages = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
+    both = read_cards_by_spec(pages, specs).orderBy("id").collect()
+    assert [both[0][f"_{i}"].found for i in range(4)] == [p["found"] for p in alone]
+    plan = read_cards_by_spec(pages, specs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
