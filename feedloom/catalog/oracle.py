@@ -217,6 +217,68 @@ BATCH = f"""got AS (
   SELECT {POST} FROM (WITH {PARAS}, {JOB_USER_A} SELECT * FROM picked) c UNION ALL
   SELECT {POST} FROM (WITH {LINKS}, {ONE_SCROLL} SELECT * FROM picked) d)"""
 
+# Requests by address template: pages as scrolls of their language's addresses, limits from a grid.
+SCROLL_GRID = """grid(i, most, least, last) AS (
+  VALUES (0, 30, 10, NULL), (1, 5, 3, 0), (2, 12, 4, 2), (3, -1, 1, 7), (4, 4, 0, 1), (5, NULL, NULL, NULL), (6, 200, 90, 40))"""
+
+
+def scrolled(addresses: int, scrolls: int, plus: int = 0) -> str:
+    """CTEs ``caps``, pages filed under one of so many addresses, and ``reqs``, with the engine's own number of scrolls."""
+    return f"""{SCROLL_GRID}, {BOOK},
+caps AS (
+  SELECT page_id, url, clean, n % {addresses} AS address, n // {addresses} AS scroll
+  FROM (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY page_id) - 1 AS n FROM filed) f),
+reqs AS (
+  SELECT clean, (ascii(clean) * 256 + ascii(substring(clean, 2, 1))) * 100 + i + {plus} AS req_id,
+         coalesce(most, 30) AS most, coalesce(least, 10) AS least, coalesce(last, {scrolls}) AS last
+  FROM (SELECT DISTINCT clean FROM filed) f, grid)"""
+
+
+def _template_job(order: list[int], scrolls: int, addresses: int, keep: str, engine: str, handle: str, plus: int = 0) -> str:
+    """A page job over the last capture that a request's scrolls allow; ``order``: the priority of each address."""
+    rank = " ".join(f"WHEN {a} THEN {p}" for a, p in enumerate(order))
+    passes = "rn <= greatest(least, 1)" if engine == "a" else "((least > 0 AND rn <= least) OR (least <= 0 AND pos = 1))"
+    return f"""{scrolled(addresses, scrolls, plus)},
+tried AS (
+  SELECT r.*, CASE c.address {rank} END AS priority, max_by(c.page_id, c.scroll) AS page_id
+  FROM reqs r JOIN caps c ON r.clean = c.clean
+  WHERE NOT contains(c.url, '://m.') AND NOT contains(c.url, 'login') AND c.scroll <= greatest(r.last, 0) AND c.address < {len(order)} GROUP BY ALL),
+seen AS (
+  SELECT t.req_id, t.clean, t.least, t.priority, l.pos, l.texto, l.href FROM tried t JOIN links l ON l.page_id = t.page_id
+  WHERE l.pos <= CASE WHEN t.most >= 0 THEN t.most ELSE greatest(l.n + t.most, 0) END),
+kept AS (SELECT *, row_number() OVER (PARTITION BY req_id, priority ORDER BY pos) AS rn FROM seen WHERE {keep}),
+stopped AS (SELECT * FROM kept WHERE {passes}),
+picked AS (
+  SELECT CAST(req_id AS BIGINT) AS req_id, {strip("texto")} AS texto, '{handle}' AS usuario, href AS "timestamp", pos AS numero
+  FROM (SELECT *, min(priority) OVER (PARTITION BY req_id) AS best FROM stopped) b WHERE priority = best)"""
+
+
+def _template_profile(plus: int = 0) -> str:
+    return f"""{scrolled(3, 5, plus)},
+chosen AS (
+  SELECT clean, coalesce(min(address) FILTER (WHERE scroll = 0 AND NOT contains(url, 'login')), 2) AS address FROM caps GROUP BY clean),
+live AS (
+  SELECT c.* FROM caps c JOIN chosen h ON c.clean = h.clean AND c.address = h.address WHERE NOT contains(c.url, '://m.')),
+rows_ AS (
+  SELECT r.req_id, l.scroll, k.pos, {strip("k.texto")} AS texto, k.href
+  FROM reqs r JOIN live l ON r.clean = l.clean JOIN links k ON k.page_id = l.page_id
+  WHERE l.scroll < r.last AND r.most > 0 AND {strip("k.texto")} <> ''
+    AND EXISTS (SELECT 1 FROM live z WHERE z.clean = r.clean AND z.scroll = 0)),
+{sighted("req_id", "texto, href", "rows_")},
+{stop_rule("req_id", "least", "most", "last", "SELECT req_id, CAST(i AS BIGINT) AS scroll, least, most, last FROM reqs, unnest(generate_series(0, last - 1)) AS u(i)", "least, most, last")},
+picked AS (
+  SELECT CAST(s.req_id AS BIGINT) AS req_id, s.texto, 'ana' AS usuario, s.href AS "timestamp",
+         row_number() OVER (PARTITION BY s.req_id ORDER BY s.scroll, s.pos) AS numero
+  FROM sighted s JOIN stops t ON s.req_id = t.req_id WHERE s.scroll <= t.stop)"""
+
+
+TEMPLATE_JOBS = [
+    ("hashtag", "#", "_tweets.csv", lambda plus: _template_job([1, 2, 3, 4], 10, 4, LINK_KEEP_A, "a", "@ana", plus)),
+    ("hashtag", "#", "_tweets_pw.csv", lambda plus: _template_job([1, 3, 2, 4], 5, 4, LINK_KEEP_B, "b", "@ana", plus)),
+    ("user", "@", "_tweets.csv", lambda plus: _template_job([1], 10, 3, "true", "a", "@ana", plus)),
+    ("user", "@", "_tweets_pw.csv", _template_profile),
+]
+
 # Whole visible page: block boundaries (2) and line breaks (1) as marks, then merged into line ends.
 _PAGE = r"regexp_replace(html, '^.*?</head>', '', 's')"
 _PAGE = rf"regexp_replace({_PAGE}, '<!--.*?-->', '', 'gs')"
@@ -360,6 +422,15 @@ SELECT CAST(r.req_id AS BIGINT) AS req_id, f.page_id AS priority, coalesce(c.n,
 FROM reqs r JOIN filed f ON r.clean = f.clean LEFT JOIN found c ON c.page_id = f.page_id
      LEFT JOIN per_page p ON p.req_id = r.req_id AND p.priority = f.page_id
 WHERE NOT contains(f.url, '://m.') AND NOT contains(f.url, 'spam-farm')""",
+    "job_error_report": f"""WITH {GRID}, {BOOK}, {reqs()}
+SELECT CAST(r.req_id AS BIGINT) AS req_id, f.page_id AS priority, f.url AS requested_url, 'no markup' AS page_error, CAST(0 AS BIGINT) AS bad_cards
+FROM reqs r JOIN filed f ON r.clean = f.clean WHERE f.page_id % 7 = 3 AND NOT contains(f.url, '://m.') AND NOT contains(f.url, 'spam-farm')""",
+    **{
+        f"job_{kind}_{engine}_templates": f"WITH {LINKS}, {job(0)} SELECT {POST} FROM picked"
+        for (kind, _, _, job), engine in zip(TEMPLATE_JOBS, "abab")
+    },
+    "requests_to_csv": f"""SELECT file_name, count(*) AS n_rows, CAST(sum(numero) AS BIGINT) AS numbers, CAST(sum(length(texto)) AS BIGINT) AS n_chars
+FROM ({" UNION ALL ".join(f"SELECT p.*, ' {sigil}' || clean || '{suffix}' AS file_name FROM (WITH {LINKS}, {job(0)} SELECT picked.*, clean FROM picked JOIN reqs USING (req_id)) p" for _, sigil, suffix, job in TEMPLATE_JOBS)}) x GROUP BY file_name""",
     "request_batch": f"WITH {BATCH} SELECT {POST} FROM got",
     "request_report": f"""WITH {GRID}, {BOOK},
 asked AS (

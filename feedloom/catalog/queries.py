@@ -610,6 +610,51 @@ def _job_page_report(spark, sf_dir):
     return jobs.page_report(results)
 
 
+@query("job_error_report")
+def _job_error_report(spark, sf_dir):
+    """Pages without markup that a hashtag request met; every seventh page has lost its own."""
+    lost = v.snapshots(spark, sf_dir).join(v.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("requested_url")), "requested_url")
+    lost = lost.withColumn("html", F.when(F.col("page_id") % 7 != 3, F.col("html"))).drop("page_id")
+    results = jobs.page_results(
+        v.requests(spark, sf_dir, "hashtag", "a"), lost, v.LINK_SPEC, "a", True, v.address_book(spark, sf_dir), BLOCKED, prune=False
+    )
+    return jobs.error_report(results)
+
+
+# Requests by address template: read from a list, pages pruned to what is asked for, the shipped selectors and limits.
+
+
+@query("job_hashtag_a_templates")
+def _job_hashtag_a_templates(spark, sf_dir):
+    return jobs.hashtag_posts_a(v.scroll_requests(spark, sf_dir, "hashtag", "a"), v.captured_by_template(spark, sf_dir))
+
+
+@query("job_hashtag_b_templates")
+def _job_hashtag_b_templates(spark, sf_dir):
+    return jobs.hashtag_posts_b(v.scroll_requests(spark, sf_dir, "hashtag", "b"), v.captured_by_template(spark, sf_dir))
+
+
+@query("job_user_a_templates")
+def _job_user_a_templates(spark, sf_dir):
+    return jobs.user_posts_a(v.scroll_requests(spark, sf_dir, "user", "a"), v.captured_by_template(spark, sf_dir))
+
+
+@query("job_user_b_templates")
+def _job_user_b_templates(spark, sf_dir):
+    return jobs.user_posts_b(v.scroll_requests(spark, sf_dir, "user", "b"), v.captured_by_template(spark, sf_dir))
+
+
+@query("requests_to_csv")
+def _requests_to_csv(spark, sf_dir):
+    """From a list of requests of all kinds to one CSV folder per file name, read back as counts per file name."""
+    asked = reduce(DataFrame.unionByName, [v.scroll_requests(spark, sf_dir, kind, engine).withColumn("req_id", F.col("req_id") + i * 10_000_000) for i, (kind, engine) in enumerate(jobs.DEFAULT_SPECS)])
+    posts = jobs.run_requests(asked, v.captured_by_template(spark, sf_dir))
+    folder = run_dir(spark, "requests-csv")
+    csv_sink.write_per_target(csv_sink.csv_file_names(posts.join(asked.select("req_id", "kind", "engine", "target"), "req_id")), folder)
+    back = csv_sink.read_csv(spark, folder, "texto string, usuario string, timestamp string, numero long, file_name string")
+    return back.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("numero").alias("numbers"), F.sum(F.length("texto")).cast("long").alias("n_chars"))
+
+
 def _all_requests(spark, sf_dir):
     kinds = [("hashtag", "a"), ("hashtag", "b"), ("user", "a"), ("user", "b")]
     each = [

@@ -13,7 +13,9 @@ from feedloom.operators.blocks import dense_number
 from feedloom.operators.cards import explode_cards_flat, read_cards
 from feedloom.schema import PAGE_SCHEMA
 from feedloom.session import run_dir
+from feedloom.functions.urls import target_urls
 from feedloom.sources.pages import land_pages, read_pages
+from feedloom.sources.requests import read_requests
 
 # Cards of two kinds: navigation links (flat markup), and articles (nested, with unclosed paragraphs).
 # The leading selectors match nothing in these pages, so the ordered fallback is exercised.
@@ -207,3 +209,38 @@ def host_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(12).alias("min_tweets"),
         F.lit(None).cast("int").alias("max_scrolls"),
     )
+
+
+# Links written as the posts that the shipped selectors look for.
+POST_MARKUP = (
+    '<article data-testid="tweet"><div data-testid="User-Name"><span>@ana</span></div>'
+    '<div data-testid="tweetText">$2</div><time datetime="$1">now</time></article>'
+)
+# (max_tweets, min_tweets, max_scrolls) of requests by address template.
+SCROLL_GRID = ((30, 10, None), (5, 3, 0), (12, 4, 2), (-1, 1, 7), (4, 0, 1), (None, None, None), (200, 90, 40))
+
+
+def captured_by_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page captured twice: as a scroll of one of its language's four hashtag addresses, and of one of three profile addresses."""
+    html = F.regexp_replace("html", r'(?s)<li><a href="([^"]*)">(.*?)</a></li>', POST_MARKUP)
+    seen = pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("url", LANG_IN_URL, 1).alias("clean"), html.alias("html"))
+    places = dense_number(seen.select("page_id", "clean"), ["clean"], "page_id", "_n").select("page_id", (F.col("_n") - 1).cast("int").alias("n"))
+    lists = [target_urls("clean", presets.HASHTAG_URLS_A), target_urls("clean", presets.USER_URLS_B)]
+    both = [F.struct(F.get(u, F.col("n") % k).alias("requested_url"), F.floor(F.col("n") / k).cast("int").alias("scroll")) for u, k in zip(lists, (4, 3))]
+    filed = seen.join(F.broadcast(places), "page_id").withColumn("_at", F.explode(F.array(*both)))
+    return filed.select("_at.requested_url", "_at.scroll", "url", capture_status("url").alias("status"), "html")
+
+
+def scroll_requests(spark: SparkSession, sf_dir: str, kind: str, engine: str) -> DataFrame:
+    """For every language one request per limits of SCROLL_GRID, written down and read back as a user's list of requests is."""
+    names = ("max_tweets", "min_tweets", "max_scrolls")
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(x).cast("int").alias(c) for c, x in zip(names, row)]) for i, row in enumerate(SCROLL_GRID)])
+    targets = address_book(spark, sf_dir).select("clean").distinct().select("clean", F.explode(grid).alias("g"))
+    code = F.ascii("clean") * 256 + F.ascii(F.substring("clean", 2, 1))
+    rows = targets.select(
+        (code * 100 + F.col("g.i")).cast("long").alias("req_id"), F.lit(kind).alias("kind"), F.lit(engine).alias("engine"),
+        F.concat(F.lit(f" {presets.SIGIL[kind]}"), "clean").alias("target"), *[f"g.{c}" for c in names],
+    )
+    folder = run_dir(spark, "requests")
+    rows.write.parquet(folder)
+    return read_requests(spark, folder)

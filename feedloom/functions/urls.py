@@ -24,14 +24,27 @@ def target_urls(target: Column | str, templates: Sequence[str]) -> Column:
     return F.array(*[fill_template(tpl, t) for tpl in templates])
 
 
+ALL_TEMPLATES = tuple(dict.fromkeys([*presets.HASHTAG_URLS_A, *presets.USER_URLS_A, *presets.USER_URLS_B]))
+
+
 def made_from(url: Column | str, templates: Sequence[str]) -> Column:
-    """Whether the address has the shape of one of the templates. Prefix tests reach the scan."""
+    """Whether the address has the shape of one of the templates. Prefix tests reach the scan.
+
+    A template that ends with the target takes in what others are made from (a profile's address begins every search), so
+    addresses of a longer known template that is not asked for are left out of it.
+    """
     u = _col(url)
+
+    def shaped(template: str) -> Column:
+        before, after = template.split("{t}")
+        test = u.startswith(before)
+        return test & u.endswith(after) if after else test
+
     tests = []
     for template in templates:
         before, after = template.split("{t}")
-        test = u.startswith(before)
-        tests.append(test & u.endswith(after) if after else test)
+        longer = [t for t in ALL_TEMPLATES if t != template and t.startswith(before)] if not after else []
+        tests.append(reduce(lambda a, b: a & ~b, map(shaped, longer), shaped(template)))
     return reduce(lambda a, b: a | b, tests)
 
 

@@ -86,8 +86,9 @@ def extract_snapshots(snapshots: DataFrame, spec: CardSpec) -> DataFrame:
 def _cards_of(snapshots: DataFrame, spec: CardSpec, cap: Column | None = None) -> DataFrame:
     columns = ["requested_url", "scroll"]
     if "cards" in snapshots.columns:
-        return snapshots.select(*columns, "found", "cards")
-    return read_cards(snapshots.select(*columns, "html"), spec, cap).drop("page_error")
+        error = F.col("page_error") if "page_error" in snapshots.columns else F.lit(None).cast("string").alias("page_error")
+        return snapshots.select(*columns, "found", "cards", error)
+    return read_cards(snapshots.select(*columns, "html"), spec, cap)
 
 
 def only_requested(snapshots: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def page_results(
     templates: Sequence[str] = presets.HASHTAG_URLS_A,
     prune: bool = True,
 ) -> DataFrame:
-    """One row per (request, address) that was captured: ``found`` cards and its array of ``posts``.
+    """One row per (request, address) that was captured: ``found`` cards, its array of ``posts``, ``page_error`` and ``bad_cards``.
 
     A page is read once however many requests want it, and no further than the largest candidate cap
     any request has. Without an address book, pages of other kinds of address are not read at all.
@@ -135,8 +136,9 @@ def page_results(
     widest = with_defaults(requests).agg(F.when(F.min("max_tweets") >= 0, F.max("max_tweets")))
     cards = _cards_of(_usable(snapshots, blocked), spec, widest.scalar())
     term = F.col("clean") if by_keyword else None
+    bad = F.size(F.filter("cards", lambda c: c["error"].isNotNull())).cast("long")
     return page_posts(
-        cards.join(reads, ["requested_url", "scroll"]),
+        cards.withColumn("bad_cards", bad).join(reads, ["requested_url", "scroll"]),
         spec,
         engine,
         F.col("max_tweets"),
@@ -328,6 +330,16 @@ def page_report(results: DataFrame) -> DataFrame:
     )
 
 
+def error_report(results: DataFrame) -> DataFrame:
+    """Of ``page_results`` the pages that could not be read and those with cards that could not, with the request that met them.
+
+    ``page_results`` counts both in the pass that reads the cards, so nothing is parsed a second time for it.
+    """
+    return results.where(F.col("page_error").isNotNull() | (F.col("bad_cards") > 0)).select(
+        "req_id", F.col("priority").cast("long").alias("priority"), "requested_url", "page_error", "bad_cards"
+    )
+
+
 def run_report(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Per request: rows returned, and whether they are fewer than asked for. Requests without rows stay."""
     counts = results.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_rows"))

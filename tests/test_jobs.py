@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom import presets
+from feedloom.functions.urls import made_from
 from feedloom.plans import jobs
 from feedloom.schema import SNAPSHOT_SCHEMA
 from feedloom.sources.requests import candidate_urls, read_requests, with_defaults
@@ -251,3 +252,33 @@ def test_no_requests_and_no_pages(spark):
     assert jobs.run_requests(none, snapshots).count() == 0
     assert jobs.run_requests(requests, snapshots.where(F.lit(False))).count() == 0
     assert jobs.run_requests(none, snapshots).columns == ["req_id", "texto", "usuario", "timestamp", "numero"]
+
+
+def test_profile_templates_leave_out_searches(spark):
+    urls = ["https://twitter.com/ana", "https://twitter.com/hashtag/x?src=hashtag_click", "https://twitter.com/search?q=%23x&src=typed_query&f=top", "https://x.com/ana"]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string")
+
+    def kept(templates):
+        return [r[0] for r in rows.where(made_from("u", templates)).collect()]
+
+    assert kept(presets.USER_URLS_A) == urls[:1]
+    assert kept(presets.HASHTAG_URLS_A) == urls[1:3]
+    assert kept((*presets.USER_URLS_A, *presets.HASHTAG_URLS_A)) == urls[:3]
+
+
+def test_one_extraction_equals_four(spark):
+    """Requests of all kinds over one table give what each job gives by itself, with and without pruning."""
+    post = "<article data-testid='tweet'><div data-testid='User-Name'><span>@u</span></div><div data-testid='tweetText'>{}</div><time datetime='t'></time></article>"
+    asked = read_requests(spark, [{"kind": k, "engine": e, "target": "spark", "max_tweets": 3, "min_tweets": 2} for k in ("hashtag", "user") for e in "ab"])
+    urls = [t.format(t="spark") for t in (*presets.HASHTAG_URLS_A, *presets.USER_URLS_B)] + ["https://twitter.com/other"]
+    rows = [(u, s, u, "ok" if i else "error", "".join(post.format(f"spark {i} {s} {k}") for k in range(4))) for i, u in enumerate(urls) for s in range(2)]
+    shots = spark.createDataFrame(rows, SNAPSHOT_SCHEMA)
+    each = [jobs.hashtag_posts_a, jobs.hashtag_posts_b, jobs.user_posts_a, jobs.user_posts_b]
+    kinds = [("hashtag", "a"), ("hashtag", "b"), ("user", "a"), ("user", "b")]
+    alone = [job(asked.where((F.col("kind") == k) & (F.col("engine") == e)), shots) for job, (k, e) in zip(each, kinds)]
+    want = sorted(tuple(r) for df in alone for r in df.select(*jobs.RESULT_COLUMNS).collect())
+    assert want
+    for prune in (True, False):
+        got = jobs.run_requests(asked, shots, prune=prune)
+        assert sorted(map(tuple, got.collect())) == want
+        assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()

@@ -5,10 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.schema import POST_SCHEMA
+from feedloom.schema import POST_SCHEMA, SNAPSHOT_SCHEMA
 from feedloom.session import run_dir, shared_dir
 from feedloom.sinks import csv
-from feedloom.sources.pages import read_page_dumps, read_pages
+from feedloom.sources.pages import land_pages, read_page_dumps, read_pages, store_snapshots
 
 ROWS = [
     ('a, "quoted", b', "u,1", "2024-01-01T00:00:00.000Z", 1),
@@ -108,3 +108,18 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_landed_pages_and_bucketed_snapshots(spark, tmp_path):
+    """Landing keeps the rows and spreads them over files; a bucketed table's markup meets the asked addresses without an exchange."""
+    rows = [(f"u{k % 40}", k // 40, f"u{k}", "ok", f"<p>{k}</p>") for k in range(400)]
+    shots = spark.createDataFrame(rows, SNAPSHOT_SCHEMA).coalesce(1)
+    landed = land_pages(shots, str(tmp_path / "landed"), rows_per_file=50)
+    assert len(landed.inputFiles()) == 8 and landed.exceptAll(shots).count() == 0 and landed.count() == 400
+    table = store_snapshots(shots, "snapshots_by_address", str(tmp_path / "table"), buckets=4)
+    asked = spark.range(0, 30).select(F.concat(F.lit("u"), "id").alias("requested_url"))
+    joined = table.join(asked.hint("merge"), "requested_url", "left_semi")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert joined.count() == 300
+    spark.sql("DROP TABLE snapshots_by_address")
