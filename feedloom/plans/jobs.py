@@ -45,6 +45,8 @@ TEMPLATES = {
     ("user", "a"): presets.USER_URLS_A,
     ("user", "b"): presets.USER_URLS_B,
 }
+#: Copies of a page's posts at most, for requests that ask for the very same.
+SALTS = 64
 RESULT_COLUMNS = ("req_id", *POST_COLUMNS)
 _RECORD = ["texto", "usuario", "timestamp"]
 
@@ -137,14 +139,19 @@ def page_results(
     cards = _cards_of(_usable(snapshots, blocked), spec, widest.scalar())
     term = F.col("clean") if by_keyword else None
     bad = F.size(F.filter("cards", lambda c: c["error"].isNotNull())).cast("long")
-    return page_posts(
-        cards.withColumn("bad_cards", bad).join(reads, ["requested_url", "scroll"]),
+    # What a page gives depends on these alone, so it is worked out once for all requests that share them, or once a salt where
+    # very many do; requests meet the result by (these, salt), which spreads a page that a third of them asks for.
+    same = ["requested_url", "scroll", *(["clean"] if by_keyword else []), "max_tweets", "min_tweets", "_salt"]
+    reads = reads.withColumn("_salt", F.pmod(F.xxhash64("req_id"), F.lit(SALTS)))
+    judged = page_posts(
+        cards.withColumn("bad_cards", bad).join(reads.select(*same).distinct(), ["requested_url", "scroll"]),
         spec,
         engine,
         F.col("max_tweets"),
         F.col("min_tweets"),
         term,
-    ).drop("cards")
+    )
+    return judged.drop("cards").join(reads, same).drop("_salt")
 
 
 def _rows_of_first_source(results: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedloom.operators import blocks, limits
@@ -241,3 +242,15 @@ def test_null_keys_are_a_group(spark):
     assert len(blocks.attach(df, facts, ["g"], "o", width=WIDTH).collect()) == 20
     cards = spark.createDataFrame([(None, 0, 1, "a"), (None, 1, 1, "b"), (1, 0, 1, "a")], "g int, scroll int, pos long, texto string")
     assert len(limits.scroll_stop(cards, ["g"], ["texto"], 9, 9, 9).collect()) == 3
+
+
+def test_dense_numbers_of_sparse_orders(spark):
+    """Hash ids, strings and nulls as orders, a hot group and a null one: as a plain window, with one cell a range."""
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"k{k % 7}", (k * 0x9E3779B97F4A7C15) % 2**63 - 2**62, f"s{k * 7919 % 10007}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "key string, id bigint, name string").repartition(7)
+    for order in (["id"], ["name", "id"]):
+        want = df.withColumn("numero", F.row_number().over(Window.partitionBy("key").orderBy(*order)).cast("long"))
+        got = blocks.dense_number_by_ranges(df, ["key"], order)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).count() == 0 and got.count() == 3000
+    assert blocks.dense_number_by_ranges(df.limit(0), ["key"], ["id"]).count() == 0

@@ -282,3 +282,25 @@ def test_one_extraction_equals_four(spark):
         got = jobs.run_requests(asked, shots, prune=prune)
         assert sorted(map(tuple, got.collect())) == want
         assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_asked_very_often_is_spread(spark):
+    """One page, 20,000 equal requests: its posts are worked out once a salt, and no task gets more than a few salts' requests."""
+    post = "<article data-testid='tweet'><div data-testid='tweetText'>{}</div></article>"
+    shots = spark.createDataFrame([(u.format(t="spark"), 0, "x", "ok", post.format("spark a") + post.format("spark b")) for u in presets.HASHTAG_URLS_A[:1]], SNAPSHOT_SCHEMA)
+    asked = spark.range(20000).select(
+        F.col("id").alias("req_id"), F.lit("hashtag").alias("kind"), F.lit("a").alias("engine"), F.lit("#spark").alias("target"),
+        *[F.lit(None).cast("int").alias(c) for c in ("max_tweets", "min_tweets", "max_scrolls")],
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("-1", "false", "32")):
+        spark.conf.set(k, v)
+    try:
+        results = jobs.page_results(asked, shots, presets.HASHTAG_A, "a", True)
+        assert results.count() == 20000
+        parts = [r[0] for r in results.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+        assert len(parts) > 16 and max(parts) < 20000 / 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs.hashtag_posts_a(asked, shots).count() == 40000
