@@ -12,6 +12,7 @@ per worker and looked up afterwards; tests hold the ids equal to those of whole
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -33,7 +34,7 @@ SHARD_TOKENS, ROUNDS, LEAST_USES = 1 << 19, 3, 64
 #: Symbols are written as 16 bits; ids stay below this and rules take the rest.
 SYMBOLS = 1 << 16
 #: Words a worker remembers (about 200 bytes each), and bytes of text it takes at once.
-CACHE_WORDS, PIECE_BYTES = 400_000, 2 << 20
+CACHE_WORDS, PIECE_BYTES = 1_000_000, 8 << 20
 END = 1
 
 FILE_SCHEMA = "part int, shard int, tokens bigint, doc_ids array<bigint>, counts binary, firsts binary, rules binary, lengths binary, symbols binary"
@@ -41,6 +42,15 @@ FILE_SCHEMA = "part int, shard int, tokens bigint, doc_ids array<bigint>, counts
 
 #: Words that the vocabulary's own splitting leaves whole: letters that lower-casing and composing leave as they are.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: ASCII marks between such a letter and a blank or the end; the apostrophe can begin a piece with letters, <, | and > a special token.
+_MARKED = "([A-Za-z\u00df-\u00f6\u00f8-\u00ff])([!-&(-/:;=?@\\[-`{}~]+)(\\s|$)"
+# How the vocabulary's file prepares and cuts texts.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CHAIN = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,12 +64,18 @@ class WordEncoder:
     """Ids of blank-separated words as little-endian 16-bit bytes, each word encoded once by the library.
 
     Plain words go to the library's BPE model many at a time, told apart by its word-end symbols; others go through its whole
-    chain. A full stop or comma after a letter is a piece of its own, so it is split off first.
+    chain. Marks between a letter and a blank are a piece of their own, so they are split off first. All this holds for a
+    vocabulary of lower-cased words with word ends whose file cuts texts by PIECES; another one is refused, never encoded wrongly.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as lines:
+            file = json.load(lines)
+        chain = [file["normalizer"], *file["pre_tokenizer"].get("pretokenizers", [file["pre_tokenizer"]])] if file.get("normalizer") and file.get("pre_tokenizer") else []
+        if chain != CHAIN or file["model"].get("end_of_word_suffix") != "</w>" or len(file["model"]["vocab"]) >= SYMBOLS:
+            raise ValueError(f"no vocabulary of lower-cased words with word ends: {path}")
         self.library = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.library.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -67,13 +83,9 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for symbol, i in vocabulary.items() if symbol.endswith("</w>")]] = True
         self.letters = _byte_letters()
-        self.ends = {p: self.whole(p) for p in ".,"}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def whole(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
     def _plain_words(self, words: list[str], letters: list[str]) -> None:
         for at in range(0, len(words), 1000):
             ids = np.array(self.plain.encode_batch_fast([" ".join(letters[at : at + 1000])], add_special_tokens=False)[0].ids, dtype="<u2")
@@ -85,48 +97,39 @@ class WordEncoder:
         if 2 * (len(self.known) + len(words)) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        parts, cores = [], {}
-        for w in words:
-            if w in known:
-                continue
-            if w in older:
-                known[w] = older[w]
-                continue
-            if w[-1:] in self.ends and w[-2:-1].isalpha() and w[-2:-1].isascii():
-                parts.append(w)
-                w = w[:-1]
-            if w not in known:
-                cores[w] = w.lower()
-        plain = [w for w, low in cores.items() if _PLAIN.fullmatch(low)]
+        fresh = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in fresh if w in older)
+        fresh = [w for w in fresh if w not in older]
+        low = [w.lower() for w in fresh]
+        plain = list(map(_PLAIN.fullmatch, low))
         letter = self.letters.__getitem__
-        self._plain_words(plain, [low if low.isascii() else "".join(map(letter, low.encode())) for low in map(cores.__getitem__, plain)])
-        for w in cores:
-            if w not in known:
-                known[w] = self.whole(w)
-        for w in parts:
-            known[w] = known[w[:-1]] + self.ends[w[-1]]
+        self._plain_words([w for w, p in zip(fresh, plain) if p], [x if x.isascii() else "".join(map(letter, x.encode())) for x, p in zip(low, plain) if p])
+        rest = [w for w, p in zip(fresh, plain) if not p]
+        for w, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.array(found.ids, dtype="<u2").tobytes()
         return list(map(known.__getitem__, words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an END after each text, and each text's count with the END."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        split = pc.ascii_split_whitespace(texts)
+        apart = pc.replace_substring_regex(texts, _MARKED, r"\1 \2\3")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
+            apart = pc.ascii_lower(apart)  # of a new array: pyarrow lowers slices wrongly
+        split = pc.ascii_split_whitespace(apart)
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
-        words = split.flatten()
-        if not pc.any(pc.match_substring(words, "<|")).as_py():  # special tokens are told by their case
-            words = pc.ascii_lower(words)
-        words = words.dictionary_encode()
+        words = split.flatten().dictionary_encode()
         per = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         distinct = self.of(words.dictionary.to_pylist())
         distinct.append(np.array([END], dtype="<u2").tobytes())
         size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 2
-        flat = np.frombuffer(b"".join(distinct), dtype="<u2")
-        where = np.concatenate(([0], np.cumsum(size)[:-1]))
         ends = np.cumsum(per)
-        index = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(distinct) - 1)
-        counts = np.add.reduceat(size[index], np.concatenate(([0], (ends + np.arange(1, len(per) + 1))[:-1]))) if len(per) else per
-        return flat[spread(where[index], size[index])], counts
+        index = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(distinct) - 1)
+        if not len(index):
+            return np.zeros(0, dtype="<u2"), per
+        flat = pa.array(distinct, pa.large_binary()).take(pa.array(index))
+        ids = np.frombuffer(flat.buffers()[2], dtype="<u2", count=int(size[index].sum()))
+        return ids, np.add.reduceat(size[index], np.concatenate(([0], (ends + np.arange(1, len(per) + 1))[:-1])))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -263,13 +266,23 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, partitions: int | No
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
             for piece in T.pieces(batch, most=PIECE_BYTES):
-                held.append(library.encode(piece.column("text")))
-                doc_ids += piece.column("doc_id").to_pylist()
-                if sum(len(x) for x, _ in held) >= SHARD_TOKENS:
-                    yield shard_row(part, number, doc_ids, *(np.concatenate(x) for x in zip(*held)))
-                    held, doc_ids, number = [], [], number + 1
+                ids, counts = library.encode(piece.column("text"))
+                names, to = piece.column("doc_id").to_pylist(), np.cumsum(counts)
+                at = 0
+                while at < len(counts):
+                    # Documents up to the one that fills the shard.
+                    done = int(to[at - 1]) if at else 0
+                    end = min(len(counts), int(np.searchsorted(to, done + SHARD_TOKENS - size)) + 1)
+                    held.append((ids[done : to[end - 1]], counts[at:end]))
+                    doc_ids += names[at:end]
+                    size += int(to[end - 1]) - done
+                    at = end
+                    if size >= SHARD_TOKENS:
+                        yield shard_row(part, number, doc_ids, *(np.concatenate(x) for x in zip(*held)))
+                        held, doc_ids, number, size = [], [], number + 1, 0
         if held:
             yield shard_row(part, number, doc_ids, *(np.concatenate(x) for x in zip(*held)))
 
