@@ -219,8 +219,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
 
     Words are runs outside blanks, A-Z lower-cased; a text's set is its distinct runs of ``size`` words, or its whole
     sequence where it has fewer. Rows link when 100 * common >= percent * union; component_id is the smallest doc_id
-    reachable. Null or blank texts have an empty set and link with nothing; rows that share a doc_id are one document;
-    rows without doc_id link with nothing and have a null component_id. An empty table gives no rows. Shingles are
+    reachable. Null or blank texts have an empty set and link with nothing; rows that share a doc_id are one document,
+    linked by every text it stands on; rows without doc_id link with nothing and have a null component_id. An empty table gives no rows. Shingles are
     compared by 64-bit hashes.
     """
     rows = stored(text_of(docs).mapInArrow(sets_with_parts(percent, size), PARTS_SCHEMA), "parts")
@@ -235,8 +235,13 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
 
     wanted = small(stored(members.select(F.col("node").alias("doc_id")).distinct(), "wanted", rows_in))
     sets = text_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets_of_nodes(size), SETS_SCHEMA)
-    if filled.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    # A doc_id on several texts is one document, so it joins the heads of all its sets.
+    several = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    same = None
+    if several.limit(1).count():
         sets = sets.dropDuplicates(["node", "shingles"])
+        owners = filled.join(several, "doc_id").select("doc_id", "n", "set_a", "set_b").distinct()
+        same = owners.join(nodes, ["n", "set_a", "set_b"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     # Round one: each member against the least node of its buckets, and against those of its block.
     stars = members.where("node <> least").select("least", "node", "n").distinct()
@@ -244,7 +249,9 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
     spread = small(stored(stars.groupBy("least").agg(_chunk(F.sum("n")).alias("chunks")), "spread", rows_in), rows_in)
     placed = stars.join(spread, "least").select(F.col("least").alias("block"), F.expr("cast(pmod(xxhash64(node), chunks) as int)").alias("part"), "node")
     centres = spread.select(F.col("least").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("least").alias("node"))
-    first = stored(_joined(placed.union(centres).withColumns({"walks": F.lit(True), "large": F.lit(False)}), sets, percent), "links-1", rows_in)
+    first = stored(_joined(placed.union(centres).withColumns({"walks": F.lit(True), "large": F.lit(False)}), sets, percent), "links-1")
+    if same is not None:
+        first = stored(first.union(same), "links-1")
     comps = connected(first)
 
     # Round two: buckets that still hold several classes. Classes that meet there make a region. A region is joined as a grid of
@@ -301,7 +308,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
 def one_of_each(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their class's smallest, with all columns; one row where a doc_id is repeated.
 
-    Rows without doc_id are kept. Among rows with the same doc_id the one with the least text stays.
+    Rows without doc_id are kept, null and empty texts too (each is its own class). Among rows with the same doc_id the one with the
+    least text that is not empty stays. Very long texts are compared whole; an empty table gives no rows.
     """
     classes = jaccard_classes(docs, percent, size)
     heads = stored(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "heads")
@@ -310,7 +318,7 @@ def one_of_each(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     again = (
         docs.join(small(repeated), "doc_id", "left_semi")
         .groupBy("doc_id")
-        .agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row"))
+        .agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")) == "", F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row"))
         .select("row.*")
     )
     return once.select(*docs.columns).union(again).union(docs.where(F.col("doc_id").isNull()))

@@ -4,8 +4,9 @@ A document's key is an exponential number divided by its quality weight; the sma
 documents are likelier to be taken. A source whose target is above its size is taken whole as often as that fits
 (complete epochs); the rest is the front of its key order, cut where the running sum of sizes comes nearest to the rest.
 
-No source is sorted in one task: keys are cut into bins, sizes are summed per source and bin, and only the bin in which
-the budget ends is ordered. Texts are read once; everything after works on a narrow written table.
+No source is sorted in one task: the keys of a source are cut into bins, sizes are summed per bin, and the bin in which the
+budget ends is cut again, ROUNDS times; only what is left between two keys is ordered. Texts are read once; everything after works on
+a narrow written table.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import small, stored, text_of
 
-#: Bins of a source's key order; the bin in which its budget ends is ordered by one task.
-BINS = 4096
+#: Bins that a range of a source's keys is cut into, and how often: the last range is ordered by one task.
+BINS, ROUNDS = 4096, 3
 #: No document is taken more often, and no target is above this many times the source.
 MOST_TIMES = 3
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -53,30 +54,46 @@ def source_targets(sizes: DataFrame, weights: int = 3) -> DataFrame:
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", bins: int = BINS) -> DataFrame:
+def _narrowed(sizes: DataFrame, ends: DataFrame, bins: int) -> DataFrame:
+    """``ends`` with low and high narrowed to the keys of the bin in which the source's rest ends, and base, the words before it.
+
+    Bins are as wide as each other between low and high of the source. A source whose rest is beyond all its words has no such bin and
+    gets nulls: all of it is taken.
+    """
+    held = sizes.join(small(ends.select("s", "low", "high")), F.col("source").eqNullSafe(F.col("s"))).where("key >= low AND key <= high")
+    share = (F.col("key") - F.col("low")) / (F.col("high") - F.col("low"))
+    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor(share * bins))).otherwise(0)
+    filled = held.groupBy("source", bin_.cast("int").alias("bin")).agg(F.sum("size").alias("filled"), F.min("key").alias("least"), F.max("key").alias("most"))
+    upto = F.sum("filled").over(Window.partitionBy("source").orderBy("bin"))
+    run = filled.select(F.col("source").alias("f"), "bin", "least", "most", (upto - F.col("filled")).alias("run"), upto.alias("upto"))
+    first = run.join(small(ends.select("s", "rest", "base")), F.col("f").eqNullSafe(F.col("s"))).where("base + upto >= rest")
+    first = first.groupBy("f").agg(F.min(F.struct("bin", "least", "most", (F.col("base") + F.col("run")).alias("base"))).alias("e"))
+    kept = ends.drop("low", "high", "base").join(first, F.col("s").eqNullSafe(F.col("f")), "left")
+    return kept.select("s", "source_size", "target", "epochs", "rest", F.col("e.least").alias("low"), F.col("e.most").alias("high"), F.col("e.base").alias("base"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", bins: int = BINS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, source, mark, size, source_size, target, times, taken) for every row of ``docs``; taken = times * size.
 
     Null texts have size 0; a null source is a source of its own; texts without words are never cut off by a budget that
     is not yet used up. Equal keys, that is repeated rows, are ordered by doc_id and text, and repeated rows among
     themselves in any order. The draw depends on seed, doc_id and text alone, so reruns agree. An empty table gives no rows.
     """
-    sizes = stored(weighted_sizes(docs, seed).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")), "sizes")
+    sizes = stored(weighted_sizes(docs, seed), "sizes")
     targets = stored(source_targets(sizes), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.select("source", "source_size", "target", epochs.cast("int").alias("epochs")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = targets.withColumnRenamed("source", "s")
-
-    filled = sizes.groupBy("source", "bin").agg(F.sum("size").alias("filled"))
-    upto = F.sum("filled").over(Window.partitionBy("source").orderBy("bin"))
-    ends = filled.select("source", "bin", (upto - F.col("filled")).alias("base"), upto.alias("upto")).join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("s")))
-    ends = ends.where("upto >= rest").groupBy("source").agg(F.min(F.struct("bin", "base")).alias("end")).select(F.col("source").alias("e"), "end.bin", "end.base")
-    ends = stored(targets.join(ends, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "source_size", "target", "epochs", "rest", F.col("bin").alias("last"), "base"), "ends")
+    targets = targets.select(F.col("source").alias("s"), "source_size", "target", epochs.cast("int").alias("epochs")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    keys = sizes.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")).select(F.col("source").alias("k"), "low", "high")
+    ends = targets.join(keys, F.col("s").eqNullSafe(F.col("k"))).drop("k").withColumn("base", F.lit(0).cast("bigint"))
+    ends = stored(ends, "ends")
+    for _ in range(rounds):
+        ends = stored(_narrowed(sizes, ends, bins), "ends")
 
     rows = sizes.join(small(ends), F.col("source").eqNullSafe(F.col("s")))
-    inner = rows.where("bin = last")
+    inner = rows.where("key >= low AND key <= high")
     before = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     inner = inner.withColumn("extra", (before + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    outer = rows.where("last IS NULL OR bin <> last").withColumn("extra", F.coalesce(F.col("bin") < F.col("last"), F.lit(True)).cast("int"))
+    outer = rows.where("low IS NULL OR key < low OR key > high").withColumn("extra", F.coalesce(F.col("key") < F.col("low"), F.lit(True)).cast("int"))
     times = F.least(F.lit(MOST_TIMES), F.col("epochs") + F.col("extra"))
     both = outer.unionByName(inner).withColumn("times", times)
     return both.select("doc_id", "source", "mark", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))

@@ -11,13 +11,13 @@ FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SCHEMA = "doc_id bigint, text string, node string, n int"
 
 
-def shingle_set(text):
+def shingle_set(text, size=3):
     w = WORD.findall((text or "").translate(FOLD))
-    return frozenset([tuple(w)] if 0 < len(w) < 3 else zip(w, w[1:], w[2:]))
+    return frozenset([tuple(w)] if 0 < len(w) < size else zip(*(w[k:] for k in range(size))))
 
 
-def classes(rows, percent=90):
-    sets = [(i, shingle_set(t)) for i, t in rows]
+def classes(rows, percent=90, size=3):
+    sets = [(i, shingle_set(t, size)) for i, t in rows]
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -97,3 +97,21 @@ def test_linked_sets_share_three_parts():
         b = a.copy()
         b[: most // 2] = rng.integers(0, 2**62, most // 2).astype(np.uint64)
         assert set(J.part_keys(a, 90, bounds).tolist()) & set(J.part_keys(b, 90, bounds).tolist())
+
+
+def test_one_id_on_two_texts(spark):
+    """(3, X), (5, X), (5, Y): 5 is a copy of 3, so all of it is 3's, and only 3 stays; 7 and 8 meet through 9's two texts."""
+    x, y, z, w, v = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyzwv")
+    rows = [(3, x), (5, x), (5, y), (7, z), (8, w), (9, z), (9, w), (11, None), (11, v), (11, "")]
+    df = spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA)
+    got = {(r["doc_id"], r["component_id"]) for r in J.jaccard_classes(df).collect()}
+    assert got == {(3, 3), (5, 3), (7, 7), (8, 7), (9, 7), (11, 11)}
+    kept = [(r["doc_id"], (r["text"] or "")[:2]) for r in J.one_of_each(df).collect()]
+    assert sorted(kept) == [(3, "x0"), (7, "z0"), (11, "v0")]
+
+
+def test_five_words_and_four_fifths(spark):
+    rows = near_copies(5, groups=6, size=9)
+    df = spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_classes(df, percent=80, size=5).collect()}
+    assert got == classes(rows, 80, 5)

@@ -73,3 +73,21 @@ def test_better_documents_come_first(spark):
     out = M.mix(spark.createDataFrame(data, SCHEMA)).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg("times").alias("t"))
     got = {r["good"]: r["t"] for r in out.collect()}
     assert got[1] >= got[0]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_bins_follow_the_keys(spark, rounds):
+    """Documents of the lowest quality have keys twenty times as far apart; few of them are left to order, and the result is the same."""
+    data = [(k, "a ## $$ %% && ** " * 4 if k % 10 else "plain words", "low" if k < 3000 else "other", 1, "") for k in range(4500)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    want = {tuple(r) for r in M.mix(docs).collect()}
+    assert {tuple(r) for r in M.mix(docs, bins=64, rounds=rounds).collect()} == want
+    sizes = M.weighted_sizes(docs)
+    ends = sizes.groupBy("source").agg(F.min("key").alias("low"), F.max("key").alias("high")).selectExpr(
+        "source s", "1L source_size", "1.0D target", "0 epochs", "900.0D rest", "low", "high", "0L base"
+    )
+    left = [sizes.count()]
+    for _ in range(3):
+        ends = M._narrowed(sizes, ends, 64)
+        left.append(sizes.join(ends, F.col("source").eqNullSafe(F.col("s"))).where("key >= low AND key <= high").count())
+    assert left[1] < left[0] / 4 and left[3] <= 4

@@ -24,7 +24,7 @@ def test_each_stage_on_what_the_last_one_kept(spark, sf_dir):
     assert set(ids["quality"]) == {r[0] for r in scores.where("predicted = 1").select("doc_id").collect()}
 
     texts = [(r[0], r[1]) for r in kept["quality"].select("doc_id", "text").collect()]
-    assert set(ids["near_duplicates"]) == {c for _, c in classes(texts).values()}
+    assert set(ids["near_duplicates"]) == {c for _, c in classes(texts, 80, 5).values()}
 
     bad = decontaminate.contamination(kept["near_duplicates"], table(spark, sf_dir, "benchmark")).where("contaminated")
     assert set(ids["benchmark_free"]) == set(ids["near_duplicates"]) - {r["doc_id"] for r in bad.collect()}
@@ -46,7 +46,7 @@ def test_each_stage_on_what_the_last_one_kept(spark, sf_dir):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 11))
+    assert "pipeline" in names and sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "benchmark_free", "mixture", "token_files"]
 
 
