@@ -18,27 +18,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled documents vote for."""
+    """Documents that the nearest labelled documents vote for.
+
+    Null and empty texts have the labelled sample's mean score; repeated rows are judged alike; an empty table gives no rows. Columns
+    beside doc_id and text are carried along, whatever their names.
+    """
     return quality_knn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: 3-word shingles, a similarity of 0.9 or more."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each class of near copies: five words, a similarity of 0.8 or more.
+
+    The smallest doc_id of a class stays, one row of it. Null, empty and blank texts are copies of nothing, rows without doc_id stay.
+    """
+    return jaccard_join.one_of_each(docs, percent=80, size=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lies in benchmark n-grams."""
+    """Documents of whose words less than a twentieth lies in benchmark n-grams.
+
+    Null, empty and very short texts have no hit and stay; repeated rows are judged alike; an empty benchmark drops nothing.
+    """
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it."""
+    """Each document as often as its source's budget takes it.
+
+    A null source is one of its own; texts without words take nothing from a budget; reruns draw the same.
+    """
     return mix_sources.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The compressed files of the mixture, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The compressed files of the mixture, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id alone; repeated rows are written each; very long texts are a shard of their own.
+    """
     return repair_files.encode_and_read(docs, tokenizer_path())
 
 
