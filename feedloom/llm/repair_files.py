@@ -1,8 +1,8 @@
 """Token ids in compressed files: Re-Pair grammars per shard, with expansion lengths for random access.
 
 Documents are range-partitioned by doc_id and encoded; a shard is a run of consecutive documents of about SHARD_TOKENS
-ids. Within a shard, frequent pairs of neighbouring ids are replaced by new symbols, round after round, until no pair is
-frequent or the rounds are used up. A file is Parquet; each row is a shard: its grammar (two symbols per rule), the length
+ids. Within a shard, frequent pairs of neighbouring ids are replaced by new symbols, round after round, until no pair has
+LEAST_USES or the symbols are used up. A file is Parquet; each row is a shard: its grammar (two symbols per rule), the length
 each rule expands to, the compressed symbols, and per document its id, its ids' count and the place of its first symbol,
 so that one document is decoded without the others. Pairs never reach over a document's end.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from feedloom.llm import text as T
 from feedloom.llm.common import scratch_path, text_of
 
-#: Ids of one shard, apart from a single longer document; rounds of replacement; least uses of a replaced pair.
-SHARD_TOKENS, ROUNDS, LEAST_USES = 1 << 19, 3, 64
+#: Ids of one shard, apart from a single longer document; least uses of a replaced pair, and of pairs in the first round.
+SHARD_TOKENS, LEAST_USES, FIRST_USES = 1 << 19, 8, 64
 #: Symbols are written as 16 bits; ids stay below this and rules take the rest.
 SYMBOLS = 1 << 16
 #: Words a worker remembers (about 200 bytes each), and bytes of text it takes at once.
@@ -146,10 +146,11 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, symbols, firsts): Re-Pair in rounds; each replaces all pairs used ``least`` times or more, most used first.
+def compress(ids: np.ndarray, counts: np.ndarray, least: int = LEAST_USES, first: int = FIRST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths, symbols, firsts): Re-Pair in rounds; each replaces all pairs used often enough, most used first.
 
-    Where two occurrences overlap, the more used pair goes first. Ids are below ``base``, the greatest id plus one; symbol
+    What is often enough starts at ``first`` uses and is halved, down to ``least``, whenever a round finds no such pair; the rounds end when
+    no pair has ``least`` uses or all symbols of 16 bits are taken. Where two occurrences overlap, the more used pair goes first. Ids are below ``base``, the greatest id plus one; symbol
     base + r stands for rule r. Files keep ``base`` before the lengths.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
@@ -158,7 +159,8 @@ def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, least: i
     last[np.cumsum(counts) - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
+    need = max(first, least)
+    while need >= least:
         room = SYMBOLS - base - made
         if room <= 0 or len(seq) < 2:
             break
@@ -166,12 +168,13 @@ def compress(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, least: i
         pair = seq[:-1].astype(np.uint64) * width + seq[1:]
         hashed = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
         open_ = ~last[:-1]
-        often = np.bincount(hashed[open_], minlength=1 << 18) >= least
+        often = np.bincount(hashed[open_], minlength=1 << 18) >= need
         maybe = np.flatnonzero(open_ & often[hashed])
         kinds, index, uses = np.unique(pair[maybe], return_inverse=True, return_counts=True)
-        order = np.argsort(-uses, kind="stable")[: min(room, int((uses >= least).sum()))]
+        order = np.argsort(-uses, kind="stable")[: min(room, int((uses >= need).sum()))]
         if not len(order):
-            break
+            need = need // 2 if need == least or need // 2 >= least else least
+            continue
         rank = np.full(len(kinds), -1, dtype=np.int64)
         rank[order] = np.arange(len(order))
         rank = rank[index]
@@ -205,24 +208,37 @@ def _no_overlaps(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return best | (free & ((number - start) % 2 == 0))
 
 
+def _by_need(grammar: np.ndarray, base: int) -> Iterator[np.ndarray]:
+    """The rules in groups, each made of ids and rules of earlier groups."""
+    known = np.zeros(base + len(grammar), dtype=bool)
+    known[:base] = True
+    left = np.arange(len(grammar))
+    while len(left):
+        ready = known[grammar[left]].all(axis=1)
+        yield left[ready]
+        known[base + left[ready]] = True
+        left = left[~ready]
+
+
 def rule_lengths(grammar: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for."""
     size = np.ones(base + len(grammar), dtype=np.uint32)
-    for r, (a, b) in enumerate(grammar.tolist()):
-        size[base + r] = size[a] + size[b]
+    for rules in _by_need(grammar, base):
+        size[base + rules] = size[grammar[rules]].sum(axis=1)
     return size[base:]
 
 
 def expansions(grammar: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all symbols in one array, with each symbol's place and length."""
     size = np.concatenate((np.ones(base, dtype=np.int64), rule_lengths(grammar, base).astype(np.int64)))
-    place = np.concatenate(([0], np.cumsum(size)[:-1]))
+    place = np.cumsum(size) - size
     flat = np.empty(int(size.sum()), dtype=np.uint16)
     flat[:base] = np.arange(base)
-    for r, (a, b) in enumerate(grammar.tolist()):
-        at = place[base + r]
-        flat[at : at + size[a]] = flat[place[a] : place[a] + size[a]]
-        flat[at + size[a] : at + size[a] + size[b]] = flat[place[b] : place[b] + size[b]]
+    for rules in _by_need(grammar, base):
+        a, b = grammar[rules].astype(np.int64).T
+        at = place[base + rules]
+        flat[spread(at, size[a])] = flat[spread(place[a], size[a])]
+        flat[spread(at + size[a], size[b])] = flat[spread(place[b], size[b])]
     return flat, place, size
 
 

@@ -1,9 +1,10 @@
 """Toxicity: linear classifiers learned from confirmed toxic examples and unlabelled text with a non-negative risk estimate.
 
 Features are hashed byte 4-grams and 6-grams of the text with A-Z lower-cased and blanks made alike, so that stems of any
-language count. The grams most enriched in confirmed examples beyond what the class prior explains in unlabelled text, of
-which all rows outside the held-out fold are counted, are chosen; on their presence in a bounded sample, linear models are
-trained with the sigmoid loss and the estimator
+language count. Texts are grouped by their byte pairs, which sets languages and scripts apart without being told them, and the
+grams most enriched in confirmed examples beyond what the class prior explains in unlabelled text are chosen in every group and
+over all: a language with few examples is compared with its own texts. Unlabelled frequencies are of all rows outside the held-out
+fold. On the grams' presence in a bounded sample, linear models are trained with the logistic loss and the estimator
 ``prior * risk+(P) + max(0, risk-(U) - prior * risk-(P))``: where the second part falls below zero, its own gradient is
 stepped up again instead, so the model cannot overfit the unlabelled toxic rows.
 """
@@ -15,16 +16,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm import text as T
 from feedloom.llm.common import held_out, share_of, stored, text_of, training_labels
 
 #: Confirmed toxic and unlabelled rows that are learned from, on average, and the grams kept.
-POSITIVES, UNLABELLED, GRAMS = 4000, 16000, 2048
+POSITIVES, UNLABELLED, GRAMS = 4000, 16000, 1024
+#: Groups of texts, rows they are found from, and cells of a text's profile of byte pairs.
+GROUPS, PROFILES, CELLS = 8, 2000, 512
+#: Grams counted over all rows for each one chosen.
+CANDIDATES = 4
+#: Standard errors by which a gram must be more frequent in confirmed examples.
+LEAST_Z = 1.5
 BITS, SIZES = 20, (4, 6)
-MEMBERS, EPOCHS, BATCHES = 3, 40, 8
+MEMBERS, EPOCHS, BATCHES, DECAY = 5, 20, 8, 1e-4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -46,30 +53,87 @@ def grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield bucket[inside], doc[:count][inside]
 
 
-def _frequencies(wanted: np.ndarray | None = None):
-    """One row per bucket (of ``wanted``, a mask, if given) and task: the rows that hold it; bucket -1: all rows."""
+def profiles(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row per text: square roots of hashed byte-pair frequencies, of length one."""
+    n = len(at) - 1
+    folded = _FOLD[data].astype(np.int64)
+    cell = ((folded[:-1] * 256 + folded[1:]) * 0x9E3779B1 >> 15) % CELLS
+    doc = np.repeat(np.arange(n), np.diff(at))
+    inside = doc[:-1] == doc[1:]
+    counts = np.bincount(doc[:-1][inside] * CELLS + cell[inside], minlength=n * CELLS).reshape(n, CELLS)
+    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).astype(np.float32)
+
+
+def find_groups(rows: np.ndarray, most: int = GROUPS) -> np.ndarray:
+    """Centres of up to ``most`` groups of profiles by spherical k-means from centres far apart; the rows' order decides nothing but ties."""
+    rows = rows[np.lexsort(rows.T[:8])]
+    if not len(rows):
+        return np.zeros((1, CELLS), dtype=np.float32)
+    centres = [rows.mean(axis=0)]
+    near = rows @ centres[0]
+    while len(centres) < most:
+        # Of the tenth of rows that lie farthest, the middle one: single odd texts make no group.
+        far = np.argsort(near, kind="stable")[: max(1, len(rows) // 10)]
+        centres.append(rows[far[len(far) // 2]])
+        near = np.maximum(near, rows @ centres[-1])
+    centres = np.array(centres)
+    for _ in range(20):
+        own = (rows @ centres.T).argmax(axis=1)
+        centres = np.array([rows[own == k].mean(axis=0) if (own == k).any() else c for k, c in enumerate(centres)])
+        centres /= np.maximum(1e-9, np.linalg.norm(centres, axis=1, keepdims=True))
+    return centres.astype(np.float32)
+
+
+WIDTH = len(SIZES) << BITS
+
+
+def _frequencies(centres: np.ndarray, wanted: np.ndarray | None = None):
+    """One row per key and task: the rows that hold it. A key is group * WIDTH + bucket, the group after the last one is of all texts;
+    key -1 - group counts the group's rows. ``wanted``: the keys that are counted."""
+    groups = len(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(SIZES) << BITS
-        held = np.zeros(width, dtype=np.int64)
-        rows = 0
+        held = np.zeros((groups + 1) * WIDTH, dtype=np.int32)
+        rows = np.zeros(groups + 1, dtype=np.int64)
         for batch in batches:
             for piece in T.pieces(batch, rows=512):
-                rows += piece.num_rows
-                for bucket, doc in grams(*T.raw(piece.column("text"))):
-                    if wanted is not None:
-                        hit = wanted[bucket]
-                        bucket, doc = bucket[hit], doc[hit]
-                    held += np.bincount(np.unique(doc * width + bucket) % width, minlength=width)
+                data, at = T.raw(piece.column("text"))
+                own = (profiles(data, at) @ centres.T).argmax(axis=1)
+                rows += np.append(np.bincount(own, minlength=groups), len(own))
+                for bucket, doc in grams(data, at):
+                    for key in (own[doc] * WIDTH + bucket, groups * WIDTH + bucket):
+                        d = doc
+                        if wanted is not None:
+                            hit = wanted[key]
+                            key, d = key[hit], doc[hit]
+                        keys, count = np.unique(np.unique(d * len(held) + key) % len(held), return_counts=True)
+                        held[keys] += count.astype(np.int32)
         some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], rows))], names=["bucket", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1 - np.arange(groups + 1))), pa.array(np.append(held[some], rows))], names=["key", "rows"])
 
     return run
 
 
-def _held(texts: DataFrame, name: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """(bucket, ``name``): the rows of ``texts`` that hold each bucket, summed over tasks."""
-    return texts.select("text").mapInArrow(_frequencies(wanted), "bucket bigint, rows bigint").groupBy("bucket").agg(F.sum("rows").alias(name))
+def _held(texts: DataFrame, name: str, centres: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, ``name``): the rows of ``texts`` that hold each key, summed over tasks."""
+    return texts.select("text").mapInArrow(_frequencies(centres, wanted), "key bigint, rows bigint").groupBy("key").agg(F.sum("rows").alias(name))
+
+
+def _enriched(counts: DataFrame, groups: int, prior: float, most: int) -> list[tuple[int, int]]:
+    """(key, rank) of each group's ``most`` most enriched grams, by counts (key, p, u); ranks of a group start at 0."""
+    rows = counts.where("key < 0").collect()
+    total = {-1 - r["key"]: (r["p"] or 0, r["u"] or 0) for r in rows}
+    group = F.floor(F.col("key") / WIDTH)
+    of = F.create_map(*[F.lit(x) for g in range(groups + 1) for x in (g, max(1, total.get(g, (0, 0))[0]))])
+    ou = F.create_map(*[F.lit(x) for g in range(groups + 1) for x in (g, max(1, total.get(g, (0, 0))[1]))])
+    n_p, n_u = of[group.cast("int")], ou[group.cast("int")]
+    in_p, in_u = F.col("p") / n_p, F.col("u") / n_u
+    rest = F.greatest(F.lit(0.0), (in_u - prior * in_p) / (1 - prior)) if prior < 1 else F.lit(0.0)
+    excess = (in_p - rest) / F.sqrt(rest * (1 - rest) / n_u + in_p * (1 - in_p) / n_p + 1.0 / (n_p * n_p))
+    ranked = counts.where("key >= 0").select("key", group.alias("g"), excess.alias("z")).where(f"z > {LEAST_Z}")
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("z"), "key"))
+    top = ranked.withColumn("rank", rank - 1).where(F.col("rank") < most)
+    return sorted((r["key"], r["rank"]) for r in top.select("key", "rank").collect())
 
 
 @dataclass
@@ -117,18 +181,18 @@ def train(doc: np.ndarray, f: np.ndarray, confirmed: np.ndarray, unlabelled: np.
             local = np.repeat(np.arange(len(rows)), n)
             items = f[np.arange(n.sum()) + np.repeat(first[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n)]
             g = np.bincount(local, weights=w[items], minlength=len(rows)) + w[width]
-            s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))  # the loss of being called negative
-            slope = s * (1 - s)
+            s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
             k = len(part_p)
-            left = s[k:].mean() - prior * s[:k].mean()
+            negative = np.logaddexp(0, g)  # the loss of being called negative
+            left = negative[k:].mean() - prior * negative[:k].mean()
             weight = np.empty(len(rows))
             if left >= 0:
-                weight[:k] = -2 * prior * slope[:k] / k
-                weight[k:] = slope[k:] / len(part_u)
+                weight[:k] = -prior / k  # of both losses of a confirmed row together, whatever its score: none is ever given up
+                weight[k:] = s[k:] / len(part_u)
             else:
-                weight[:k] = prior * slope[:k] / k
-                weight[k:] = -slope[k:] / len(part_u)
-            grad = np.append(np.bincount(items, weights=weight[local], minlength=width), weight.sum()) + 1e-6 * w
+                weight[:k] = prior * s[:k] / k
+                weight[k:] = -s[k:] / len(part_u)
+            grad = np.append(np.bincount(items, weights=weight[local], minlength=width), weight.sum()) + DECAY * w
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
@@ -136,6 +200,19 @@ def train(doc: np.ndarray, f: np.ndarray, confirmed: np.ndarray, unlabelled: np.
     return w[:width], float(w[width])
 
 
+def _profiles_of(texts: DataFrame) -> np.ndarray:
+    """The profiles of a bounded number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in T.pieces(batch, rows=512):
+                rows = profiles(*T.raw(piece.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["profile"])
+
+    found = texts.select("text").mapInArrow(run, "profile binary").collect()
+    return np.array([np.frombuffer(r["profile"], dtype=np.float32) for r in found]).reshape(-1, CELLS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, chosen: int = GRAMS) -> Toxicity:
     """Classifiers from about ``positives`` confirmed rows and ``unlabelled`` rows outside the held-out fold, by a hash of doc_id.
 
@@ -144,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
     known = training_labels(labels, name)
     r = known.agg(F.count("*").alias("n"), F.sum("label").alias("k")).first()
     confirmed, prior = r["k"] or 0, (r["k"] or 0) / max(1, r["n"])
-    none = Toxicity(np.full(len(SIZES) << BITS, -1, dtype=np.int32), np.zeros((0, 0)), np.zeros(0), prior)
+    none = Toxicity(np.full(WIDTH, -1, dtype=np.int32), np.zeros((0, 0)), np.zeros(0), prior)
     if not confirmed:
         return none
     every = docs.where(~held_out(F.col("doc_id"))).count()
@@ -157,21 +234,31 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
         .where("confirmed OR unlabelled"),
         "pu-sample",
     )
-    # Grams of three confirmed rows or more are counted over all rows outside the held-out fold.
-    in_sure = stored(_held(sample.where("confirmed"), "p").where("bucket < 0 OR p >= 3"), "pu-confirmed")
-    wanted = np.zeros(len(SIZES) << BITS, dtype=bool)
-    wanted[in_sure.where("bucket >= 0").select("bucket").toArrow().column("bucket").to_numpy()] = True
-    in_free = _held(text_of(docs).where(~held_out(F.col("doc_id"))), "u", wanted)
-    held = stored(in_sure.join(in_free, "bucket", "left").select("bucket", "p", F.coalesce("u", F.lit(0)).alias("u")), "pu-grams")
-    total = held.where("bucket < 0").first()
-    if not total or not total["p"] or not total["u"]:
-        return none
-    in_p, in_u = F.col("p") / total["p"], F.col("u") / total["u"]
-    rest = F.greatest(F.lit(0.0), (in_u - prior * in_p) / (1 - prior)) if prior < 1 else F.lit(0.0)
-    excess = (in_p - rest) / F.sqrt(rest * (1 - rest) / total["u"] + in_p * (1 - in_p) / total["p"] + F.lit(1e-6))
-    top = held.where("bucket >= 0").select("bucket", excess.alias("z")).where("z > 3").orderBy(F.desc("z"), "bucket").limit(chosen).collect()
+    few = sample.where(share_of("pu-groups", "doc_id") < min(1.0, PROFILES / max(1, sample.count()))).limit(2 * PROFILES)
+    centres = find_groups(_profiles_of(few))
+    groups = len(centres)
+
+    def mask(keys: np.ndarray) -> np.ndarray:
+        out = np.zeros((groups + 1) * WIDTH, dtype=bool)
+        out[keys] = True
+        return out
+
+    def with_free(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+        counts = in_sure.join(_held(texts, "u", centres, wanted), "key", "left")
+        return stored(counts.select("key", "p", F.coalesce("u", F.lit(0)).alias("u")), "pu-grams")
+
+    # Grams of three confirmed rows of a group are counted in the sample; the best of them over all rows outside the held-out fold.
+    in_sure = stored(_held(sample.where("confirmed"), "p", centres).where("key < 0 OR p >= 3"), "pu-confirmed")
+    tried = mask(in_sure.where("key >= 0").select("key").toArrow().column("key").to_numpy())
+    likely = _enriched(with_free(sample.where("unlabelled"), tried), groups, prior, CANDIDATES * chosen // (groups + 1))
+    keys = np.array([k for k, _ in likely], dtype=np.int64)
+    counts = with_free(text_of(docs).where(~held_out(F.col("doc_id"))), mask(keys))
+    wanted = docs.sparkSession.createDataFrame([(int(k),) for k in [*keys, *(-1 - np.arange(groups + 1))]], "key bigint")
+    ranked = _enriched(counts.join(wanted, "key", "left_semi"), groups, prior, chosen)
+    # Round-robin over the groups, each gram once.
+    buckets = list(dict.fromkeys(k % WIDTH for k, _ in sorted(ranked, key=lambda x: (x[1], x[0]))))[:chosen]
     model = Toxicity(none.feature.copy(), np.zeros((0, 0)), np.zeros(0), prior)
-    model.feature[[r["bucket"] for r in top]] = np.arange(len(top))
+    model.feature[buckets] = np.arange(len(buckets))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model).copy())
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
     f = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, dtype=np.int64)
     kinds = [np.array([r[c] for r in rows], dtype=bool) for c in ("confirmed", "unlabelled")]
-    members = [train(doc, f, *kinds, len(top), prior, seed) for seed in range(MEMBERS)]
+    members = [train(doc, f, *kinds, len(buckets), prior, seed) for seed in range(MEMBERS)]
     model.weights, model.bias = np.array([w for w, _ in members]), np.array([b for _, b in members])
     return model
 

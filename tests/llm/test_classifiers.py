@@ -88,3 +88,61 @@ def test_grams_are_chosen_from_all_rows(spark, labelled):
     docs, labels, _ = labelled
     few, all_ = (toxicity_pu.fit(docs, labels, unlabelled=n).feature for n in (40, 16_000))
     assert (few >= 0).sum() > 10 and (few == all_).all()
+
+
+def test_toxicity_in_two_languages(spark):
+    """A language with few examples is found like one with many, though neither is told apart by a column."""
+    rng = random.Random(11)
+    alphabets = {"many": ["ba", "do", "ke", "li", "mo", "nu"], "few": ["schä", "tza", "pfu", "grö", "wie", "xü"]}
+    bad = {"many": ["idiox", "trasko"], "few": ["zzorn", "quälex"]}
+
+    def word(language):
+        return "".join(rng.choice(alphabets[language]) for _ in range(rng.randrange(1, 4)))
+
+    rows, labels = [], []
+    for k in range(1600):
+        language = "few" if k % 8 == 0 else "many"
+        words = [word(language) for _ in range(60)]
+        toxic = rng.random() < 0.15
+        for _ in range(4 * toxic):
+            words[rng.randrange(60)] = rng.choice(bad[language])
+        rows.append((k, " ".join(words), language))
+        if k % 2 == 0 or language == "few":
+            labels.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    scored = {r["doc_id"]: r for r in toxicity_pu.score_toxicity(docs, marks).collect()}
+    for language in ("many", "few"):
+        held = [(t, scored[k]["predicted"]) for k, t in labels if scored[k]["held_out"] and rows[k][2] == language]
+        found = [p for t, p in held if t]
+        assert len(found) > 2 and sum(found) / len(found) >= 0.8, language
+        assert sum(p for t, p in held if not t) <= 0.05 * len(held)
+
+
+def test_risk_is_the_corrected_one():
+    """A step goes down the gradient of prior * (loss of P as positive - loss of P as negative) + loss of U as negative, by brute force."""
+    rng = np.random.default_rng(1)
+    present = rng.random((40, 6)) < 0.4
+    doc, f = np.nonzero(present)
+    confirmed, unlabelled = np.arange(40) < 12, np.arange(40) >= 12
+    prior = 0.2
+
+    def risk(w, b):
+        g = present @ w + b
+        plus, minus = np.logaddexp(0, -g), np.logaddexp(0, g)
+        rest = minus[unlabelled].mean() - prior * minus[confirmed].mean()
+        return prior * plus[confirmed].mean() + max(0.0, rest)
+
+    w, b = toxicity_pu.train(doc, f, confirmed, unlabelled, 6, prior, 0)
+    start = risk(np.zeros(6), -1.0)
+    assert risk(w, b) < start
+    best = min(risk(w + d, b) for d in rng.normal(0, 0.05, (200, 6)))
+    assert risk(w, b) <= best + 0.05
+
+
+def test_groups_follow_the_script():
+    texts = [("alpha beta gamma delta " * 5 if k % 5 else "альфа бета гамма дельта " * 5) + str(k) for k in range(100)]
+    rows = toxicity_pu.profiles(*T.raw(pa.array(texts)))
+    own = (rows @ toxicity_pu.find_groups(rows, 2).T).argmax(axis=1)
+    assert len({own[k] for k in range(100) if k % 5}) == 1 and len({own[k] for k in range(0, 100, 5)}) == 1 and own[0] != own[1]
+    assert toxicity_pu.find_groups(np.zeros((0, toxicity_pu.CELLS), dtype=np.float32)).shape == (1, toxicity_pu.CELLS)

@@ -40,7 +40,7 @@ def test_words_apart_equal_whole_texts(library):
 def test_round_trip(docs):
     counts = np.array([len(d) + 1 for d in docs])
     ids = np.array([x for d in docs for x in [*d, R.END]], dtype=np.uint16)
-    rules, lengths, symbols, firsts = R.compress(ids, counts, rounds=4, least=2)
+    rules, lengths, symbols, firsts = R.compress(ids, counts, least=2, first=5)
     base = int(ids.max()) + 1
     assert R.expand(symbols, rules, base).tolist() == ids.tolist()
     assert len(symbols) <= len(ids) and len(firsts) == len(docs)
