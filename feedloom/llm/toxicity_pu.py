@@ -26,8 +26,8 @@ from feedloom.llm.common import held_out, share_of, stored, text_of, training_la
 POSITIVES, UNLABELLED, GRAMS = 4000, 16000, 1024
 #: Groups of texts, rows they are found from, and cells of a text's profile of byte pairs.
 GROUPS, PROFILES, CELLS = 8, 2000, 512
-#: Grams counted over all rows for each one chosen.
-CANDIDATES = 4
+#: Grams counted over all rows for each one chosen, and rows in which they are looked for.
+CANDIDATES, LIKELY = 4, 16000
 #: Standard errors by which a gram must be more frequent in confirmed examples.
 LEAST_Z = 1.5
 BITS, SIZES = 20, (4, 6)
@@ -227,14 +227,16 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
     every = docs.where(~held_out(F.col("doc_id"))).count()
     sure = known.where((F.col("label") == 1) & (share_of("pu-p", "doc_id") < min(1.0, positives / confirmed))).select("doc_id", F.lit(True).alias("confirmed"))
     free = ~held_out(F.col("doc_id")) & (share_of("pu-u", "doc_id") < min(1.0, unlabelled / max(1, every)))
+    likely = ~held_out(F.col("doc_id")) & (share_of("pu-u", "doc_id") < min(1.0, LIKELY / max(1, every)))
     sample = stored(
         text_of(docs)
         .join(F.broadcast(sure), "doc_id", "left")
-        .select("doc_id", "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), free.alias("unlabelled"))
-        .where("confirmed OR unlabelled"),
+        .select("doc_id", "text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"), free.alias("unlabelled"), likely.alias("likely"))
+        .where("confirmed OR unlabelled OR likely"),
         "pu-sample",
     )
-    few = sample.where(share_of("pu-groups", "doc_id") < min(1.0, PROFILES / max(1, sample.count()))).limit(2 * PROFILES)
+    free_rows = sample.where("likely")
+    few = free_rows.where(share_of("pu-groups", "doc_id") < min(1.0, PROFILES / max(1, free_rows.count())))
     centres = find_groups(_profiles_of(few))
     groups = len(centres)
 
@@ -250,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
     # Grams of three confirmed rows of a group are counted in the sample; the best of them over all rows outside the held-out fold.
     in_sure = stored(_held(sample.where("confirmed"), "p", centres).where("key < 0 OR p >= 3"), "pu-confirmed")
     tried = mask(in_sure.where("key >= 0").select("key").toArrow().column("key").to_numpy())
-    likely = _enriched(with_free(sample.where("unlabelled"), tried), groups, prior, CANDIDATES * chosen // (groups + 1))
-    keys = np.array([k for k, _ in likely], dtype=np.int64)
+    best = _enriched(with_free(free_rows, tried), groups, prior, CANDIDATES * chosen // (groups + 1))
+    keys = np.array([k for k, _ in best], dtype=np.int64)
     counts = with_free(text_of(docs).where(~held_out(F.col("doc_id"))), mask(keys))
     wanted = docs.sparkSession.createDataFrame([(int(k),) for k in [*keys, *(-1 - np.arange(groups + 1))]], "key bigint")
     ranked = _enriched(counts.join(wanted, "key", "left_semi"), groups, prior, chosen)
@@ -270,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
                 items = pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("confirmed"), piece.column("unlabelled"), items], names=["doc_id", "confirmed", "unlabelled", "items"])
 
-    rows = sample.mapInArrow(present, "doc_id bigint, confirmed boolean, unlabelled boolean, items binary").collect()
+    rows = sample.where("confirmed OR unlabelled").mapInArrow(present, "doc_id bigint, confirmed boolean, unlabelled boolean, items binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["items"]))
     lists = [np.frombuffer(r["items"], dtype=np.int32) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
