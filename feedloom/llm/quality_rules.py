@@ -1,8 +1,9 @@
 """Quality rules: counts per text, and the Jensen-Shannon distance of its histograms to references of its language.
 
-Two histograms are compared: classes of characters, and common words of the language (lists below). References are the
+Two histograms are compared: classes of characters, and common words of the language (lists below) with a bin for every other
+word, so that a text without common words is far from its language and not left unjudged. References are the
 summed histograms of all documents of the language that pass the count rules, so they grow with the corpus and need no
-given model. Texts with too few characters or common words are not judged by that histogram. Texts are read once, by
+given model. Texts with too few characters or words are not judged by that histogram. Texts are read once, by
 DataFrame functions only; all that follows works on a narrow written table.
 """
 
@@ -21,8 +22,8 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una".split(),
 }
 _NAMES = 16
-#: Greatest distances kept, and least characters and common words for a judgement.
-MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_HITS = 0.30, 0.75, 300, 25
+#: Greatest distances kept, and least characters and words for a judgement.
+MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.30, 0.26, 300, 100
 CLASSES = ["lower", "blank", "high", "upper", "digit", "symbol", "loud", "other"]
 
 
@@ -63,8 +64,7 @@ def counted(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(covered).alias("n_repeat_words"),
         F.array(*chars).alias("chars"),
-        F.expr(f"transform(sequence(1, {_NAMES}), k -> CAST(size(filter(hits, h -> h = k)) AS BIGINT))").alias("common"),
-        F.size("hits").cast("long").alias("n_hits"),
+        F.expr(f"concat(transform(sequence(1, {_NAMES}), k -> CAST(size(filter(hits, h -> h = k)) AS BIGINT)), array(CAST(size(words) - size(hits) AS BIGINT)))").alias("common"),
     )
 
 
@@ -80,17 +80,17 @@ def judged(docs: DataFrame) -> DataFrame:
 
     Words are runs outside blanks. base_failed: fewer than 50 words, or more than half of the words in repeated 3-word
     windows. kept: not base_failed, and each histogram long enough for a judgement is near its language's reference. A
-    language (null is one) without passing documents has no reference and judges nothing; languages without a list have no
-    common words. Null texts are empty; repeated rows are judged each; an empty table gives no rows.
+    language (null is one) without passing documents has no reference and judges nothing; in languages without a list all
+    words are other words. Null texts are empty; repeated rows are judged each; an empty table gives no rows.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = stored(counted(docs).withColumn("base_failed", failed), "rule-counts")
-    sums = [F.sum(F.col("chars")[k]) for k in range(len(CLASSES))], [F.sum(F.col("common")[k]) for k in range(_NAMES)]
+    sums = [F.sum(F.col("chars")[k]) for k in range(len(CLASSES))], [F.sum(F.col("common")[k]) for k in range(_NAMES + 1)]
     references = rows.where("NOT base_failed").groupBy("lang").agg(F.array(*sums[0]).alias("ref_chars"), F.array(*sums[1]).alias("ref_common"))
     references = stored(references.withColumnRenamed("lang", "ref_lang"), "rule-references")
     out = rows.join(small(references), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     js_chars = F.when(F.col("word_chars") >= LEAST_CHARS, _distance("chars", "ref_chars"))
-    js_words = F.when(F.col("n_hits") >= LEAST_HITS, _distance("common", "ref_common"))
+    js_words = F.when(F.col("n_words") >= LEAST_WORDS, _distance("common", "ref_common"))
     out = out.withColumns({"js_chars": js_chars, "js_words": js_words})
     near = (F.coalesce("js_chars", F.lit(0.0)) <= MOST_CHARS) & (F.coalesce("js_words", F.lit(0.0)) <= MOST_WORDS)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_chars", "js_words", (~F.col("base_failed") & near).alias("kept"))
@@ -111,14 +111,14 @@ f AS (
   SELECT d.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
          [length(regexp_replace(t, p, '', 'g')) FOR p IN ['[^a-z]+', '[^\x20\x09-\x0D]+', '[\x00-\x7F]+', '[^A-Z]+', '[^0-9]+', '[^#*$%&|<>]+', '[^!?]+', '[a-z\x20\x09-\x0DA-Z0-9#*$%&|<>!?]+|[^\x00-\x7F]+']] AS chars,
-         [{", ".join(f"coalesce(c{k}, 0)" for k in range(1, _NAMES + 1))}] AS common, coalesce(n_hits, 0) AS n_hits
+         [{", ".join(f"coalesce(c{k}, 0)" for k in range(1, _NAMES + 1))}, len(w) - coalesce(n_hits, 0)] AS common
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN hist USING (rid)),
 g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-ref AS (SELECT lang, [{", ".join(f"sum(chars[{k}])" for k in range(1, len(CLASSES) + 1))}] AS rc, [{", ".join(f"sum(common[{k}])" for k in range(1, _NAMES + 1))}] AS rw FROM g WHERE NOT base_failed GROUP BY lang),
+ref AS (SELECT lang, [{", ".join(f"sum(chars[{k}])" for k in range(1, len(CLASSES) + 1))}] AS rc, [{", ".join(f"sum(common[{k}])" for k in range(1, _NAMES + 2))}] AS rw FROM g WHERE NOT base_failed GROUP BY lang),
 sh AS (SELECT g.*, [x / list_sum(chars) FOR x IN chars] AS p1, [x / list_sum(rc) FOR x IN rc] AS q1, [x / list_sum(common) FOR x IN common] AS p2, [x / list_sum(rw) FOR x IN rw] AS q2
        FROM g LEFT JOIN ref ON g.lang IS NOT DISTINCT FROM ref.lang),
 js AS (SELECT *, sqrt(greatest(0, list_sum([CASE WHEN p1[k] > 0 THEN p1[k] * log2(p1[k] * 2 / (p1[k] + q1[k])) ELSE 0 END + CASE WHEN q1[k] > 0 THEN q1[k] * log2(q1[k] * 2 / (p1[k] + q1[k])) ELSE 0 END FOR k IN range(1, {len(CLASSES) + 1})]) / 2)) AS a,
-              sqrt(greatest(0, list_sum([CASE WHEN p2[k] > 0 THEN p2[k] * log2(p2[k] * 2 / (p2[k] + q2[k])) ELSE 0 END + CASE WHEN q2[k] > 0 THEN q2[k] * log2(q2[k] * 2 / (p2[k] + q2[k])) ELSE 0 END FOR k IN range(1, {_NAMES + 1})]) / 2)) AS b FROM sh)
+              sqrt(greatest(0, list_sum([CASE WHEN p2[k] > 0 THEN p2[k] * log2(p2[k] * 2 / (p2[k] + q2[k])) ELSE 0 END + CASE WHEN q2[k] > 0 THEN q2[k] * log2(q2[k] * 2 / (p2[k] + q2[k])) ELSE 0 END FOR k IN range(1, {_NAMES + 2})]) / 2)) AS b FROM sh)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (word_chars < {LEAST_CHARS} OR coalesce(a, 0) <= {MOST_CHARS}) AND (n_hits < {LEAST_HITS} OR coalesce(b, 0) <= {MOST_WORDS}) AS kept FROM js
+       NOT base_failed AND (word_chars < {LEAST_CHARS} OR coalesce(a, 0) <= {MOST_CHARS}) AND (n_words < {LEAST_WORDS} OR coalesce(b, 0) <= {MOST_WORDS}) AS kept FROM js
 """

@@ -142,3 +142,18 @@ def test_adjacent_licenses_are_all_found(spark):
     docs = spark.createDataFrame([(k, "lead " * k + " ".join(words)) for k in range(8)], "doc_id bigint, text string")
     got = license_scan.scan_licenses(docs, license_scan.template_table(spark, templates)).collect()
     assert {r["doc_id"]: r["licenses"] for r in got} == {k: ",".join(sorted(templates)) for k in range(8)}
+
+
+def test_texts_without_common_words_are_far(spark):
+    """Plain letters of no language pass the count rules and the character classes; the bin of other words sets them apart."""
+    rng = random.Random(8)
+    listed, rest = quality_rules.COMMON["en"], [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmn"]
+
+    def prose(share):
+        return " ".join(rng.choice(listed if rng.random() < share else rest) for _ in range(200))
+
+    rows = [(k, prose(0.25), "en", "s") for k in range(40)] + [(100 + k, prose(0.0), "en", "s") for k in range(4)] + [(200, " ".join(prose(0.0).split()[:99]), "en", "s")]
+    got = {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[k]["kept"] for k in range(40))
+    assert all(not got[100 + k]["kept"] and not got[100 + k]["base_failed"] for k in range(4))
+    assert got[200]["kept"]  # too short to be judged by its words
