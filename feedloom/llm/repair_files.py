@@ -30,7 +30,7 @@ from feedloom.llm import text as T
 from feedloom.llm.common import scratch_path, text_of
 
 #: Ids of one shard, apart from a single longer document; least uses of a replaced pair, and of pairs in the first round.
-SHARD_TOKENS, LEAST_USES, FIRST_USES = 1 << 19, 8, 64
+SHARD_TOKENS, LEAST_USES, FIRST_USES = 1 << 19, 32, 64
 #: Symbols are written as 16 bits; ids stay below this and rules take the rest.
 SYMBOLS = 1 << 16
 #: Words a worker remembers (about 200 bytes each), and bytes of text it takes at once.
