@@ -32,6 +32,8 @@ CANDIDATES, LIKELY = 4, 16000
 LEAST_Z = 1.5
 BITS, SIZES = 20, (4, 6)
 MEMBERS, EPOCHS, BATCHES, DECAY = 5, 20, 8, 1e-4
+#: Bytes of text whose grams a worker holds at once, apart from a single longer text; about 100 bytes of memory go with each.
+PIECE_BYTES = 256 << 10
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -89,14 +91,18 @@ WIDTH = len(SIZES) << BITS
 
 def _frequencies(centres: np.ndarray, wanted: np.ndarray | None = None):
     """One row per key and task: the rows that hold it. A key is group * WIDTH + bucket, the group after the last one is of all texts;
-    key -1 - group counts the group's rows. ``wanted``: the keys that are counted."""
+    key -1 - group counts the group's rows. ``wanted``: the keys that are counted, a bit each, packed; only these then have a counter."""
     groups = len(centres)
+    most = (groups + 1) * WIDTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((groups + 1) * WIDTH, dtype=np.int32)
+        if wanted is not None:
+            counted = np.unpackbits(wanted, count=most).view(bool)
+            names = np.flatnonzero(counted).astype(np.int32)
+        held = np.zeros(most if wanted is None else len(names), dtype=np.int32)
         rows = np.zeros(groups + 1, dtype=np.int64)
         for batch in batches:
-            for piece in T.pieces(batch, rows=512):
+            for piece in T.pieces(batch, most=PIECE_BYTES, rows=512):
                 data, at = T.raw(piece.column("text"))
                 own = (profiles(data, at) @ centres.T).argmax(axis=1)
                 rows += np.append(np.bincount(own, minlength=groups), len(own))
@@ -104,12 +110,13 @@ def _frequencies(centres: np.ndarray, wanted: np.ndarray | None = None):
                     for key in (own[doc] * WIDTH + bucket, groups * WIDTH + bucket):
                         d = doc
                         if wanted is not None:
-                            hit = wanted[key]
+                            hit = counted[key]
                             key, d = key[hit], doc[hit]
-                        keys, count = np.unique(np.unique(d * len(held) + key) % len(held), return_counts=True)
-                        held[keys] += count.astype(np.int32)
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1 - np.arange(groups + 1))), pa.array(np.append(held[some], rows))], names=["key", "rows"])
+                        keys, count = np.unique(np.unique(d * most + key) % most, return_counts=True)
+                        held[keys if wanted is None else np.searchsorted(names, keys.astype(np.int32))] += count.astype(np.int32)
+        at = np.flatnonzero(held)
+        some, held = at if wanted is None else names[at].astype(np.int64), held[at]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1 - np.arange(groups + 1))), pa.array(np.append(held, rows))], names=["key", "rows"])
 
     return run
 
@@ -205,7 +212,7 @@ def _profiles_of(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch, rows=512):
+            for piece in T.pieces(batch, most=PIECE_BYTES, rows=512):
                 rows = profiles(*T.raw(piece.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["profile"])
 
@@ -243,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
     def mask(keys: np.ndarray) -> np.ndarray:
         out = np.zeros((groups + 1) * WIDTH, dtype=bool)
         out[keys] = True
-        return out
+        return np.packbits(out)
 
     def with_free(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
         counts = in_sure.join(_held(texts, "u", centres, wanted), "key", "left")
@@ -266,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", positives: int
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Toxicity(**shared.value)
         for batch in batches:
-            for piece in T.pieces(batch, rows=512):
+            for piece in T.pieces(batch, most=PIECE_BYTES, rows=512):
                 doc, f = model.present(piece.column("text"))
                 at = np.searchsorted(doc, np.arange(piece.num_rows + 1))
                 items = pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])], pa.binary())
@@ -295,7 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Toxicity(**shared.value)
         for batch in batches:
-            for piece in T.pieces(batch, rows=512):
+            for piece in T.pieces(batch, most=PIECE_BYTES, rows=512):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(model.scores(piece.column("text")))], names=["doc_id", "score"])
 
     scored = text_of(docs).mapInArrow(run, "doc_id bigint, score double")

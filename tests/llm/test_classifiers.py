@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,28 @@ def test_groups_follow_the_script():
     own = (rows @ toxicity_pu.find_groups(rows, 2).T).argmax(axis=1)
     assert len({own[k] for k in range(100) if k % 5}) == 1 and len({own[k] for k in range(0, 100, 5)}) == 1 and own[0] != own[1]
     assert toxicity_pu.find_groups(np.zeros((0, toxicity_pu.CELLS), dtype=np.float32)).shape == (1, toxicity_pu.CELLS)
+
+
+@pytest.mark.parametrize("chosen", [False, True])
+def test_counting_grams_holds_little(chosen):
+    """Two megabytes of text in one batch: keys and rows are right, beside the counters a worker holds a few pieces' grams only."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 4000, dtype=np.uint8)).decode() for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    centres = rng.random((8, toxicity_pu.CELLS)).astype(np.float32)
+    data, at = T.raw(batch.column(0).slice(0, 1))
+    some = np.concatenate([8 * toxicity_pu.WIDTH + bucket for bucket, _ in toxicity_pu.grams(data, at)])
+    wanted = np.zeros(9 * toxicity_pu.WIDTH, dtype=bool)
+    wanted[some] = True
+    tracemalloc.start()
+    out, = toxicity_pu._frequencies(centres, np.packbits(wanted) if chosen else None)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < (60 << 20 if chosen else 150 << 20)
+    rows = dict(zip(*(c.to_pylist() for c in out.columns)))
+    held = np.zeros(9 * toxicity_pu.WIDTH, dtype=int)
+    for k in range(500):
+        held[np.unique(np.concatenate([8 * toxicity_pu.WIDTH + b for b, _ in toxicity_pu.grams(*T.raw(batch.column(0).slice(k, 1)))]))] += 1
+    every = {k: n for k, n in rows.items() if k >= 8 * toxicity_pu.WIDTH}
+    assert every == {int(k): int(held[k]) for k in (np.unique(some) if chosen else np.flatnonzero(held))}
+    assert rows[-9] == 500 and sum(rows[-1 - g] for g in range(8)) == 500
