@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.schema import POST_SCHEMA, SNAPSHOT_SCHEMA
 from feedloom.session import run_dir, shared_dir
 from feedloom.sinks import csv
-from feedloom.sources.pages import land_pages, read_page_dumps, read_pages, store_snapshots
+from feedloom.sources.pages import land_pages, read_page_dumps, read_pages, store_snapshots, write_page_dumps
 
 ROWS = [
     ('a, "quoted", b', "u,1", "2024-01-01T00:00:00.000Z", 1),
@@ -123,3 +124,42 @@ def test_landed_pages_and_bucketed_snapshots(spark, tmp_path):
     assert plan.count("Exchange") == 1
     assert joined.count() == 300
     spark.sql("DROP TABLE snapshots_by_address")
+
+
+@pytest.mark.parametrize("scheme", ["", "file://", "file:"])
+def test_written_page_dumps(spark, tmp_path, scheme):
+    """One file a page as Spark's own writer has them, rows of a task that share a page in one; a hundred folders are listed in few tasks."""
+    rows = [(k, f"<p>{k} äöü</p>\n" + "x" * k) for k in range(100)] + [(7, "again"), (None, "no id"), (5000, "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(2)
+    place = str(tmp_path / "some place")
+    write_page_dumps(pages, scheme + place)
+    pages.write.partitionBy("page_id").option("lineSep", "\n").text(str(tmp_path / "spark"))
+
+    def found(folder):
+        every = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.input_file_name(), "value").collect()
+        return sorted((re.search("page_id=([^/]+)/", r[0])[1], r[1]) for r in every)
+
+    assert found(place) == found(str(tmp_path / "spark"))
+    files = read_page_dumps(spark, scheme + place)
+    assert files.rdd.getNumPartitions() <= 32 * spark.sparkContext.defaultParallelism
+    got = files.where("path NOT LIKE '%DEFAULT%'").select(F.regexp_extract("path", r"page_id=(\d+)/", 1), "html").collect()
+    assert sorted((k, html) for k, html in map(tuple, got)) == [x for x in found(place) if x[0].isdigit()]
+    # No processes are started for a file, and no checksum files written.
+    assert not [f for _, _, names in os.walk(place) for f in names if f.endswith(".crc") or f.startswith(".")]
+    write_page_dumps(pages.limit(0), scheme + str(tmp_path / "none"))
+    assert read_page_dumps(spark, scheme + str(tmp_path / "none")).count() == 0
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    write_page_dumps(spark.range(200).selectExpr("id AS page_id", "'x' AS html"), str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("lists", "lists")
+    try:
+        read_page_dumps(spark, str(tmp_path / "d"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("lists")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    tasks = sum(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds)
+    assert 0 < tasks <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
