@@ -1,5 +1,10 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from feedloom import presets
 from feedloom.functions import markup
@@ -13,6 +18,7 @@ from feedloom.operators.cards import (
     read_cards,
     read_cards_by_spec,
 )
+from feedloom.schema import PAGE_CARDS_TYPE
 
 ALL = {"A_lenient": presets.HASHTAG_A, "A_strict": presets.USER_A, "B_plain": presets.HASHTAG_B, "B_visible": presets.USER_B}
 
@@ -306,3 +312,19 @@ def test_one_parse_serves_every_spec(spark, monkeypatch):
     assert [both[0][f"_{i}"].found for i in range(4)] == [p["found"] for p in alone]
     plan = read_cards_by_spec(pages, specs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_cards_of_a_batch_are_not_all_python_objects_at_once():
+    """Five hundred pages in one batch: the cards are those of each page alone, and few of them stand as Python objects."""
+    html = "<ul>" + "".join(f"<li><a href='/{k}'>post <b>{k}</b></a></li>" for k in range(60)) + "</ul>"
+    pages = [f"{html}<p>{k}</p>" if k % 50 else None for k in range(500)]
+    spec = presets.HASHTAG_A.with_selectors(containers=("li",), text=("a",), user=("b",), time=("a",), time_attr="href")
+    readers = [markup.Reader.of(spec), markup.Reader.of(presets.USER_B.with_selectors(containers=("li",), text=("a",), user=("b",), time=("b",)))]
+    limits = pa.array([[k % 70 if k % 3 else None, 5] for k in range(500)], pa.list_(pa.int64()))
+    tracemalloc.start()
+    got = markup.cards_array(pa.array(pages), limits, readers, to_arrow_type(T.ArrayType(PAGE_CARDS_TYPE)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 << 20
+    assert got.to_pylist() == [markup.page_cards(h, readers, c) for h, c in zip(pages, limits.to_pylist())]
+    assert len(markup.cards_array(pa.array([], pa.string()), limits.slice(0, 0), readers, got.type)) == 0
