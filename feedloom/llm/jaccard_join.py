@@ -29,6 +29,8 @@ from feedloom.llm.common import connected, small, stored, text_of
 
 #: Shingles of the sets of one block, apart from single sets that have more.
 MOST_SHINGLES = 1_000_000
+#: Bytes of text whose words and shingles a worker holds at once, apart from a single longer text; about 100 bytes of memory go with each.
+PIECE_BYTES = 512 << 10
 #: Growth of the size classes, and equal parts asked for beyond one.
 CLASS_GROWTH, SPARE = 1.5, 2
 #: Cells of the table (shingles x walking sets) held at once.
@@ -82,7 +84,7 @@ def sets_with_parts(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = size_classes(1 << 40)
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, most=PIECE_BYTES):
                 values, per = T.shingles(T.split_words(*T.raw(piece.column("text")), fold=True), size)
                 n, a, b, keys = [], [], [], []
                 for one in T.distinct_in(values, per):
@@ -105,7 +107,7 @@ def sets_of_nodes(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, most=PIECE_BYTES):
                 values, per = T.shingles(T.split_words(*T.raw(piece.column("text")), fold=True), size)
                 sets = list(T.distinct_in(values, per))
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))

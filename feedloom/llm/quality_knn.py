@@ -46,6 +46,8 @@ for _k, _bytes in enumerate(
 SHAPES = CLASS_COUNT**3
 MARKS = 3
 _ROWS = 512
+#: Bytes of text whose words and shapes a worker holds at once, apart from a single longer text; about 100 bytes of memory go with each.
+PIECE_BYTES = 512 << 10
 
 
 def shape_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -60,6 +62,16 @@ def shape_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Counts of shape trigrams, and shares of repetition (word = word before, repeated 3-word runs, repeated words), per text."""
+    counts, marks = np.zeros((len(texts), SHAPES), dtype=np.int64), np.zeros((len(texts), MARKS))
+    done = 0
+    for piece in T.pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), most=PIECE_BYTES):
+        to = done + piece.num_rows
+        counts[done:to], marks[done:to] = _term_counts(piece.column("text"))
+        done = to
+    return counts, marks
+
+
+def _term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = T.raw(texts)
     n = len(at) - 1
     counts = shape_counts(data, at)
@@ -88,7 +100,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per term and task: the documents that hold it; term -1: all documents."""
     total = np.zeros(SHAPES + 1, dtype=np.int64)
     for batch in batches:
-        for piece in T.pieces(batch, rows=_ROWS):
+        for piece in T.pieces(batch, most=PIECE_BYTES, rows=_ROWS):
             total[:SHAPES] += (shape_counts(*T.raw(piece.column("text"))) > 0).sum(axis=0)
             total[SHAPES] += piece.num_rows
     terms = np.flatnonzero(total)

@@ -33,8 +33,8 @@ from feedloom.llm.common import scratch_path, text_of
 SHARD_TOKENS, LEAST_USES, FIRST_USES = 1 << 19, 32, 64
 #: Symbols are written as 16 bits; ids stay below this and rules take the rest.
 SYMBOLS = 1 << 16
-#: Words a worker remembers (about 200 bytes each), and bytes of text it takes at once.
-CACHE_WORDS, PIECE_BYTES = 1_000_000, 8 << 20
+#: Words a worker remembers (about 200 bytes each), and bytes of text it takes at once (about 30 bytes of memory each).
+CACHE_WORDS, PIECE_BYTES = 400_000, 2 << 20
 END = 1
 
 FILE_SCHEMA = "part int, shard int, tokens bigint, doc_ids array<bigint>, counts binary, firsts binary, rules binary, lengths binary, symbols binary"

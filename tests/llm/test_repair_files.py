@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -63,3 +65,22 @@ def test_files(spark, library, tmp_path, monkeypatch):
         start += len(ids)
     assert sum(1 for r in spark.read.parquet(path).collect()) >= 3
     assert R.encode_and_read(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_encoding_holds_little(library):
+    """Eight megabytes of ever new words: a worker remembers a bounded number and takes a few of the texts at once."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(3000)) for _ in range(270)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    encoder = R.WordEncoder(tokenizer_path())
+    pa.default_memory_pool().release_unused()
+    tracemalloc.start()
+    got = [encoder.encode(piece.column("text")) for piece in R.T.pieces(batch, most=R.PIECE_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) > 3 and len(encoder.known) + len(encoder.older) <= R.CACHE_WORDS <= 500_000
+    assert peak < 200 << 20
+    ids, counts = np.concatenate([ids for ids, _ in got]), np.concatenate([counts for _, counts in got])
+    at = np.cumsum(counts) - counts
+    for k in (0, 100, 269):
+        assert ids[at[k] : at[k] + counts[k]].tolist() == library.encode(texts[k], add_special_tokens=False).ids + [R.END]
