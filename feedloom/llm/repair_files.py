@@ -6,8 +6,8 @@ LEAST_USES or the symbols are used up. A file is Parquet; each row is a shard: i
 each rule expands to, the compressed symbols, and per document its id, its ids' count and the place of its first symbol,
 so that one document is decoded without the others. Pairs never reach over a document's end.
 
-Encoding uses the tokenizers library. Its BPE works on words apart, so each distinct blank-separated word is encoded once
-per worker and looked up afterwards; tests hold the ids equal to those of whole texts.
+Encoding uses the tokenizers library. Its BPE works on words apart, so a worker has each distinct blank-separated word encoded
+once and keeps the words met last, with their ids, in Arrow arrays; tests hold the ids equal to those of whole texts.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from feedloom.llm.common import scratch_path, text_of
 SHARD_TOKENS, LEAST_USES, FIRST_USES = 1 << 19, 32, 64
 #: Symbols are written as 16 bits; ids stay below this and rules take the rest.
 SYMBOLS = 1 << 16
-#: Words a worker remembers (about 200 bytes each), and bytes of text it takes at once (about 30 bytes of memory each).
-CACHE_WORDS, PIECE_BYTES = 400_000, 2 << 20
+#: Words a worker remembers (about 40 bytes each) and their bytes, and bytes of text it takes at once (about 30 bytes of memory each).
+CACHE_WORDS, CACHE_BYTES, PIECE_BYTES = 200_000, 32 << 20, 2 << 20
 END = 1
 
 FILE_SCHEMA = "part int, shard int, tokens bigint, doc_ids array<bigint>, counts binary, firsts binary, rules binary, lengths binary, symbols binary"
@@ -61,7 +61,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of blank-separated words as little-endian 16-bit bytes, each word encoded once by the library.
+    """Ids of blank-separated words as little-endian 16-bit bytes, each word encoded by the library once until it is forgotten.
 
     Plain words go to the library's BPE model many at a time, told apart by its word-end symbols; others go through its whole
     chain. Marks between a letter and a blank are a piece of their own, so they are split off first. All this holds for a
@@ -82,32 +82,51 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for symbol, i in vocabulary.items() if symbol.endswith("</w>")]] = True
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _plain_words(self, words: list[str], letters: list[str]) -> None:
-        for at in range(0, len(words), 1000):
-            ids = np.array(self.plain.encode_batch_fast([" ".join(letters[at : at + 1000])], add_special_tokens=False)[0].ids, dtype="<u2")
-            cuts = (2 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(words[at : at + 1000], (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
-
-    def of(self, words: list[str]) -> list[bytes]:
-        if 2 * (len(self.known) + len(words)) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        fresh = [w for w in words if w not in known]
-        known.update((w, older[w]) for w in fresh if w in older)
-        fresh = [w for w in fresh if w not in older]
-        low = [w.lower() for w in fresh]
-        plain = list(map(_PLAIN.fullmatch, low))
-        letter = self.letters.__getitem__
-        self._plain_words([w for w, p in zip(fresh, plain) if p], [x if x.isascii() else "".join(map(letter, x.encode())) for x, p in zip(low, plain) if p])
-        rest = [w for w, p in zip(fresh, plain) if not p]
-        for w, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(found.ids, dtype="<u2").tobytes()
-        return list(map(known.__getitem__, words))
+        self.letters = _byte_letters() | {32: " "}  # blanks stay between words
+        #: Words remembered (a blank stands for the end of a text), those before and after the last time some were forgotten; their ids; the piece that had them last.
+        self.older, self.known = pa.array([" "], pa.large_string()), pa.array([], pa.large_string())
+        self.ids = _binaries(np.array([END], dtype="<u2"), np.array([1]))
+        self.met = np.zeros(1, dtype=np.int32)
+        self.number = 0
+
+    def _plain_words(self, lines: list[str], count: int) -> pa.Array:
+        """The ids of ``count`` words that the model takes as they are, given in lines."""
+        ids = [np.array(self.plain.encode_batch_fast([x], add_special_tokens=False)[0].ids, dtype="<u2") for x in lines]
+        ids = np.concatenate(ids) if ids else np.zeros(0, dtype="<u2")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != count:
+            raise ValueError(f"{count} words have {len(ends)} ends")
+        return _binaries(ids, ends)
+
+    def of(self, fresh: pa.Array) -> pa.Array:
+        """The ids of distinct words, each encoded by the library."""
+        ascii_ = pc.match_substring_regex(fresh, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~ascii_)
+        others = fresh.take(pa.array(other)).to_pylist()
+        low = [w.lower() for w in others]
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, low)), dtype=bool, count=len(low))
+        latin = [w for w, p in zip(low, plain) if p]
+        lines = [" ".join(latin[at : at + 1000]).encode().decode("latin-1").translate(self.letters) for at in range(0, len(latin), 1000)]
+        rest = self.library.encode_batch_fast([w for w, p in zip(others, plain) if not p], add_special_tokens=False)
+        found = [
+            self._plain_words(_lines(pc.ascii_lower(fresh.filter(pa.array(ascii_)))), len(fresh) - len(other)),
+            self._plain_words(lines, len(latin)),
+            pa.array([np.array(x.ids, dtype="<u2").tobytes() for x in rest], pa.large_binary()),
+        ]
+        place = np.empty(len(fresh), dtype=np.int64)
+        place[np.concatenate((np.flatnonzero(ascii_), other[plain], other[~plain]))] = np.arange(len(fresh))
+        return pa.concat_arrays(found).take(pa.array(place))
+
+    def _remember(self, words: pa.Array, ids: pa.Array, met: np.ndarray) -> None:
+        """Keeps ``words``; beyond CACHE_WORDS the half met last, beyond CACHE_BYTES the mark of the end alone."""
+        old = len(self.older)
+        if words.nbytes + ids.nbytes > CACHE_BYTES:
+            words, ids, met, old = words.take(pa.array([0])), ids.take(pa.array([0])), met[:1], 1
+        elif len(words) > CACHE_WORDS:
+            met[0] = self.number + 1
+            kept = pa.array(np.sort(np.argsort(-met, kind="stable")[: max(1, CACHE_WORDS // 2)]))
+            words, ids, met, old = words.take(kept), ids.take(kept), met[kept.to_numpy()], len(kept)
+        self.older, self.known, self.ids, self.met = words.slice(0, old), words.slice(old), ids, met
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an END after each text, and each text's count with the END."""
@@ -118,18 +137,37 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(apart)
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
-        words = split.flatten().dictionary_encode()
         per = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = self.of(words.dictionary.to_pylist())
-        distinct.append(np.array([END], dtype="<u2").tobytes())
-        size = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) // 2
-        ends = np.cumsum(per)
-        index = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(distinct) - 1)
-        if not len(index):
+        if not len(per):
             return np.zeros(0, dtype="<u2"), per
-        flat = pa.array(distinct, pa.large_binary()).take(pa.array(index))
-        ids = np.frombuffer(flat.buffers()[2], dtype="<u2", count=int(size[index].sum()))
-        return ids, np.add.reduceat(size[index], np.concatenate(([0], (ends + np.arange(1, len(per) + 1))[:-1])))
+        # The words remembered come first, so that they keep their numbers; number 0 is the mark of the end.
+        before = len(self.older) + len(self.known)
+        words = split.flatten().dictionary_encode()
+        numbered = pa.concat_arrays([self.older, self.known, words.dictionary]).dictionary_encode()
+        known, number = numbered.dictionary, numbered.indices.to_numpy()[before:]
+        found = pa.concat_arrays([self.ids, self.of(known.slice(before))])
+        self.number += 1
+        met = np.concatenate((self.met, np.zeros(len(known) - before, dtype=np.int32)))
+        met[number] = self.number
+        ends = np.cumsum(per)
+        index = np.insert(number[words.indices.to_numpy()], ends, 0)
+        size = (np.diff(np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1)) // 2).astype(np.int32)[index]
+        flat = found.take(pa.array(index))
+        self._remember(known, found, met)
+        ids = np.frombuffer(flat.buffers()[2], dtype="<u2", count=int(size.sum(dtype=np.int64)))
+        return ids, np.add.reduceat(size, np.concatenate(([0], (ends + np.arange(1, len(per) + 1))[:-1])), dtype=np.int64)
+
+
+def _lines(words: pa.Array) -> list[str]:
+    """The words in lines of a thousand, with blanks between."""
+    at = np.append(np.arange(0, len(words), 1000), len(words)) if len(words) else np.zeros(1, dtype=np.int64)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), words), pa.scalar(" ", words.type)).to_pylist()
+
+
+def _binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The ids up to each end as bytes."""
+    at = np.concatenate(([0], 2 * ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(ids)])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -164,13 +202,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, least: int = LEAST_USES, first
         room = SYMBOLS - base - made
         if room <= 0 or len(seq) < 2:
             break
+        # Pairs that are rare by a hash alone are left out; the others are counted as they are.
+        hashed = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(15)).astype(np.intp)
+        often = np.bincount(hashed, minlength=1 << 17) >= need
+        maybe = np.flatnonzero(often[hashed] & ~last[:-1])
         width = np.uint64(base + made)
-        pair = seq[:-1].astype(np.uint64) * width + seq[1:]
-        hashed = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        open_ = ~last[:-1]
-        often = np.bincount(hashed[open_], minlength=1 << 18) >= need
-        maybe = np.flatnonzero(open_ & often[hashed])
-        kinds, index, uses = np.unique(pair[maybe], return_inverse=True, return_counts=True)
+        kinds, index, uses = np.unique(seq[maybe] * width + seq[maybe + 1], return_inverse=True, return_counts=True)
         order = np.argsort(-uses, kind="stable")[: min(room, int((uses >= need).sum()))]
         if not len(order):
             need = need // 2 if need == least or need // 2 >= least else least

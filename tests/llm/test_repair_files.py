@@ -84,3 +84,30 @@ def test_encoding_holds_little(library):
     at = np.cumsum(counts) - counts
     for k in (0, 100, 269):
         assert ids[at[k] : at[k] + counts[k]].tolist() == library.encode(texts[k], add_special_tokens=False).ids + [R.END]
+
+
+def test_remembered_words_take_little(library):
+    """A hundred and fifty thousand words stay in some 50 bytes each, as no Python objects."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(3000)) for _ in range(50)]
+    encoder = R.WordEncoder(tokenizer_path())
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for k in range(0, 50, 10):
+        encoder.encode(pa.array(texts[k : k + 10]))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(encoder.known) + len(encoder.older) > 149_000 and held < 12 << 20
+
+
+@pytest.mark.parametrize("words, size", [(1, 1 << 20), (40, 1 << 20), (1000, 1)])
+def test_words_forgotten_are_encoded_again(library, monkeypatch, words, size):
+    monkeypatch.setattr(R, "CACHE_WORDS", words)
+    monkeypatch.setattr(R, "CACHE_BYTES", size, raising=False)
+    encoder = R.WordEncoder(tokenizer_path())
+    texts = [t or "" for t in TEXTS] + [f"word{k} straße{k % 3} WORD" + "é" * (k % 4) for k in range(60)]
+    for k in [*range(len(texts)), *range(len(texts))]:
+        ids, counts = encoder.encode(pa.array([texts[k], texts[(k * 7) % len(texts)]]))
+        both = [library.encode(texts[j], add_special_tokens=False).ids + [R.END] for j in (k, (k * 7) % len(texts))]
+        assert ids.tolist() == sum(both, []) and counts.tolist() == [len(x) for x in both]
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0]
