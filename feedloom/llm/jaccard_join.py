@@ -225,7 +225,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
     linked by every text it stands on; rows without doc_id link with nothing and have a null component_id. An empty table gives no rows. Shingles are
     compared by 64-bit hashes.
     """
-    rows = stored(text_of(docs).mapInArrow(sets_with_parts(percent, size), PARTS_SCHEMA), "parts")
+    rows = stored(text_of(docs).mapInArrow(T.tidy(sets_with_parts(percent, size)), PARTS_SCHEMA), "parts")
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stored(filled.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("node")), "nodes")
 
@@ -236,7 +236,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFr
     rows_in = members.count()
 
     wanted = small(stored(members.select(F.col("node").alias("doc_id")).distinct(), "wanted", rows_in))
-    sets = text_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets_of_nodes(size), SETS_SCHEMA)
+    sets = text_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(T.tidy(sets_of_nodes(size)), SETS_SCHEMA)
     # A doc_id on several texts is one document, so it joins the heads of all its sets.
     several = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same = None

@@ -45,9 +45,10 @@ for _k, _bytes in enumerate(
     _CLASS[list(_bytes)] = _k
 SHAPES = CLASS_COUNT**3
 MARKS = 3
-_ROWS = 512
+#: Texts scored at once; about 200 KB of memory go with each.
+_ROWS = 128
 #: Bytes of text whose words and shapes a worker holds at once, apart from a single longer text; about 100 bytes of memory go with each.
-PIECE_BYTES = 512 << 10
+PIECE_BYTES = 256 << 10
 
 
 def shape_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """The idf of every shape over all documents."""
-    rows = text_of(docs).select("text").mapInArrow(_frequencies, "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
+    rows = text_of(docs).select("text").mapInArrow(T.tidy(_frequencies), "term bigint, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
     held = np.zeros(SHAPES)
     every = 0
     for r in rows:
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "quality", per_label: in
         wanted = wanted | ((F.col("label") == label) & (share_of("knn", "doc_id") < part))
     chosen = F.broadcast(known.where(wanted))
     rows = (
-        text_of(docs).join(chosen, "doc_id").select("doc_id", "label", "text").mapInArrow(_sample_rows(idf), "doc_id bigint, label int, x binary").collect()
+        text_of(docs).join(chosen, "doc_id").select("doc_id", "label", "text").mapInArrow(T.tidy(_sample_rows(idf)), "doc_id bigint, label int, x binary").collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     width = SHAPES + MARKS
@@ -211,7 +212,7 @@ def with_scores(docs: DataFrame, model: Neighbours) -> DataFrame:
             for piece in T.pieces(batch, rows=_ROWS):
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(model.scores(piece.column("text")))], names=["doc_id", "score"])
 
-    return text_of(docs).mapInArrow(run, "doc_id bigint, score double")
+    return text_of(docs).mapInArrow(T.tidy(run), "doc_id bigint, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -236,4 +237,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             for piece in T.pieces(batch, rows=_ROWS):
                 yield piece.filter(pa.array(model.scores(piece.column("text")) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.tidy(run), docs.schema)

@@ -341,7 +341,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, partitions: int | No
 
     rows, by = text_of(docs), ("doc_id", F.xxhash64("text"))  # the sample for the ranges then holds no texts
     ordered = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    ordered.sortWithinPartitions(*by).mapInArrow(run, FILE_SCHEMA).write.parquet(path)
+    ordered.sortWithinPartitions(*by).mapInArrow(T.tidy(run), FILE_SCHEMA).write.parquet(path)
 
 
 def read_files(spark, path: str) -> DataFrame:
@@ -371,7 +371,7 @@ def read_files(spark, path: str) -> DataFrame:
                     names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = shards.mapInArrow(run, "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = shards.mapInArrow(T.tidy(run), "part int, shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return docs.join(starts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

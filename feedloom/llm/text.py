@@ -6,7 +6,8 @@ running sum for a whole batch, then mixed; equal words have equal hashes whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,6 +91,19 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20, row
         at = to
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving freed memory back to the system at a task's end: Spark keeps the worker, idle or for the next stage."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums over the bytes' values times powers, and the inverse powers: ``(sums[j] - sums[i]) * down[i]`` is the hash of bytes i to j."""
     up, down = POWERS.to(len(data) + 1)

@@ -175,3 +175,23 @@ def test_counting_grams_holds_little(chosen):
     every = {k: n for k, n in rows.items() if k >= 8 * toxicity_pu.WIDTH}
     assert every == {int(k): int(held[k]) for k in (np.unique(some) if chosen else np.flatnonzero(held))}
     assert rows[-9] == 500 and sum(rows[-1 - g] for g in range(8)) == 500
+
+
+def test_scoring_quality_holds_little():
+    """A thousand texts of 3 KB against 4,000 vectors: a worker holds the counts and likenesses of some of the texts at once."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefgh ABC 0123.,\n", dtype=np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(rng.choice(letters, 3000)).decode() for _ in range(1000)])], names=["text"])
+    vectors = rng.standard_normal((4000, 48)).astype(np.float32)
+    axes = rng.standard_normal((quality_knn.SHAPES + quality_knn.MARKS, 48)).astype(np.float32)
+    model = quality_knn.Neighbours(np.ones(quality_knn.SHAPES), axes, vectors, np.arange(4000) % 2.0, np.ones(4000), 25)
+    tracemalloc.start()
+    got = [model.scores(piece.column("text")) for piece in T.pieces(batch, rows=quality_knn._ROWS)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.concatenate(got)) == 1000 and peak < 36 << 20
+
+
+def test_tidy_gives_the_same_batches():
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, k + 1])], names=["x"]) for k in range(3)]
+    assert [b.to_pydict() for b in T.tidy(iter)(iter(batches))] == [b.to_pydict() for b in batches]
